@@ -76,7 +76,7 @@ def _split(code: np.ndarray, doc: np.ndarray, twin: np.ndarray, place: np.ndarra
     return first, later
 
 
-def late_windows(docs: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], buckets: int, across: bool = False, hold: int = 3_000_000) -> DataFrame:
+def late_windows(docs: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], buckets: int, across: bool = False, hold: int = 1_000_000) -> DataFrame:
     """Windows whose content also starts earlier, as ``_doc, _twin, _places`` (packed positions; many rows per document).
 
     ``windows`` turns a batch into arrays ``(compared hash, bucket hash, doc, twin, place)``.
