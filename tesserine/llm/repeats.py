@@ -18,9 +18,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packed import mix64
+
 LAST_ID = 2**63 - 1
 _PACKED = "bucket int, hashes binary, docs binary, twins binary, sizes binary, places binary, late_docs binary, late_twins binary, late_sizes binary, late_places binary"
-_LATE = "_doc long, _twin long, _places binary"
+_LATE = "_part int, docs binary, twins binary, sizes binary, places binary"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -76,17 +78,35 @@ def _split(code: np.ndarray, doc: np.ndarray, twin: np.ndarray, place: np.ndarra
     return first, later
 
 
-def late_windows(docs: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], buckets: int, across: bool = False, hold: int = 1_000_000) -> DataFrame:
-    """Windows whose content also starts earlier, as ``_doc, _twin, _places`` (packed positions; many rows per document).
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id, _text, _doc, _twin``: ``_doc`` orders the documents, a null id last.
 
-    ``windows`` turns a batch into arrays ``(compared hash, bucket hash, doc, twin, place)``.
-    A map task holds about ``hold`` windows before it sends them.
+    ``_twin`` tells rows with one id but other texts apart.  It is 0 throughout
+    where ids are unique, and then costs nothing in the packed lists.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_doc"))
+    unique = rows.groupBy("_doc").count().filter("count > 1").isEmpty()
+    return rows.withColumn("_twin", F.lit(0).cast("long") if unique else F.xxhash64("_text"))
+
+
+def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
+    """Any even spread of documents over parts; the same in map tasks and for the texts."""
+    return (mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
+
+def late_windows(docs: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], buckets: int, parts: int, across: bool = False, hold: int = 1_000_000) -> DataFrame:
+    """Windows whose content also starts earlier, as packed lists of document keys and positions, a few for each of ``parts`` groups of documents.
+
+    ``windows`` turns a batch (``_text, _doc, _twin``) into arrays ``(compared hash,
+    bucket hash, doc, twin, place)``.  A map task holds about ``hold`` windows
+    before it sends them.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in batches:
+            batch = batch.take(pa.array(np.argsort(batch.column(1).to_numpy(), kind="stable")))  # ids in order pack well
             for arrays in windows(batch):
                 held.append(arrays)
                 n += len(arrays[0])
@@ -120,13 +140,44 @@ def late_windows(docs: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[t
         doc, twin, place = (np.concatenate(x) for x in zip(*sent, strict=True))
         _, later = _split(code, doc, twin, place, across)
         doc, twin, place = (np.concatenate([x[later], *(k[i] for k in known)]) for i, x in enumerate((doc, twin, place)))
+        part = part_of(doc, parts)
+        order = np.lexsort((place, twin, doc, part))
+        doc, twin, place, part = doc[order], twin[order], place[order], part[order]
+        bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+        out = [_pack_places(doc[x], twin[x], place[x]) for x in map(slice, bounds, [*bounds[1:], len(part)])]
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.table([pa.array(part[bounds]), *(pa.array(list(c), pa.binary()) for c in columns)], [x.split()[0] for x in _LATE.split(", ")])
+
+    return docs.mapInArrow(send, _PACKED).groupBy("bucket").applyInArrow(decide, _LATE)
+
+
+def with_late(docs: DataFrame, late: DataFrame, parts: int, finish: Callable[[pa.Table, Callable], pa.Table], schema: str) -> DataFrame:
+    """Bring texts and late windows together, part by part.
+
+    ``finish`` gets the rows of a part (``_id, _text, _doc, _twin``) and a function
+    from a document key to the positions of its late windows.
+    """
+
+    def meet(texts: pa.Table, lists: pa.Table) -> pa.Table:
+        found = [_unpack_places(*x) for x in zip(*(lists.column(k).to_pylist() for k in ("docs", "twins", "sizes", "places")), strict=True)]
+        none = np.zeros(0, np.int64)
+        if not found:
+            return finish(texts, lambda doc, twin: none)
+        doc, twin, place = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((place, twin, doc))
         doc, twin, place = doc[order], twin[order], place[order]
         at = _runs(doc, twin)
-        places = [pack(x) for x in np.split(place, at[1:])] if len(at) else []
-        return pa.table({"_doc": doc[at], "_twin": twin[at], "_places": pa.array(places, pa.binary())})
+        of = {key: (a, b) for key, a, b in zip(zip(doc[at].tolist(), twin[at].tolist(), strict=True), at.tolist(), [*at[1:].tolist(), len(doc)], strict=True)}
+        return finish(texts, lambda doc, twin: place[slice(*of[doc, twin])] if (doc, twin) in of else none)
 
-    return docs.mapInArrow(send, _PACKED).groupBy("bucket").applyInArrow(decide, _LATE)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("_part", pa.array(part_of(batch.column("_doc").to_numpy(), parts)))
+
+    ready = docs.select("_id", "_text", "_doc", "_twin")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ready.schema)
+    placed = ready.mapInArrow(deal, f"{kinds}, _part int")
+    return placed.groupBy("_part").cogroup(late.groupBy("_part")).applyInArrow(meet, schema)
 
 
 def corpus_bytes(docs: DataFrame, text_col: str) -> int:

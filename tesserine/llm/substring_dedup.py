@@ -11,19 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .repeats import LAST_ID, corpus_bytes, late_windows, unpack
+from .repeats import corpus_bytes, keyed, late_windows, with_late
 
 _COMPARED, _SPREAD = 0xD6E8FEB86659FD93, 0xCA9B0C7EBA1DA115
 _SLICE = 1_000_000
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_doc`` orders the documents (a null id last); ``_twin`` tells rows with one id but other texts apart."""
-    return docs.select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_doc"), F.xxhash64(text_col).alias("_twin")
-    )
-
-
 def word_windows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Two hashes and the place of every window of ``width`` words that lies in one document."""
     for at, to in packed.slices(batch.column(0), _SLICE):
@@ -41,7 +34,7 @@ def word_windows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray
         yield packed.rolling(codes, width, _COMPARED)[whole], packed.rolling(packed.mix64(codes), width, _SPREAD)[whole], doc[row], twin[row], place
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, windows_per_bucket: int = 1_000_000) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, windows_per_bucket: int = 1_500_000, part_bytes: int = 8_000_000) -> DataFrame:
     """Remove every word covered by a window of ``width`` words that also starts earlier.
 
     Words are runs of bytes other than space and 0x09-0x0D.  Earlier means a
@@ -59,39 +52,37 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     adds its bits to the 64 compared.  The number of buckets follows the corpus
     (about ``windows_per_bucket`` each), so the memory of a task stays the same.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    buckets = max(8, corpus_bytes(docs, text_col) // (6 * windows_per_bucket))
-    late = late_windows(keyed.select("_text", "_doc", "_twin"), lambda b: word_windows(b, width), buckets)
-    gathered = late.groupBy("_doc", "_twin").agg(F.collect_list("_places").alias("_late"))
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, spans, kept = [], [], [], []
-            for text, late in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = (text or "").encode().split()  # bytes: exactly space and 0x09-0x0D separate
-                runs = np.zeros((0, 2), np.int64)
-                if late:
-                    edges = np.zeros(len(found) + 1, np.int32)
-                    starts = np.concatenate([unpack(x) for x in late])
-                    np.add.at(edges, starts, 1)
-                    np.add.at(edges, starts + width, -1)
-                    stay = np.cumsum(edges)[:-1] == 0
-                    runs = np.flatnonzero(np.diff(np.r_[True, stay, True])).reshape(-1, 2)
-                    kept.append(b" ".join(compress(found, stay)).decode())
-                else:
-                    kept.append(b" ".join(found).decode())
-                n_words.append(len(found))
-                n_removed.append(int((runs[:, 1] - runs[:, 0]).sum()))
-                spans.append([{"start": a, "end": b} for a, b in runs.tolist()])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())],
-                ["_id", "n_words", "n_removed", "spans", "kept"],
-            )
-
-    joined = keyed.join(gathered, ["_doc", "_twin"], "left").select("_id", "_text", "_late")
+    rows = keyed(docs, id_col, text_col)
+    size = corpus_bytes(rows, "_text")
+    buckets, parts = max(8, size // (6 * windows_per_bucket)), max(8, size // part_bytes)
+    late = late_windows(rows.select("_text", "_doc", "_twin"), lambda b: word_windows(b, width), buckets, parts)
+
+    def remove(texts: pa.Table, late_of) -> pa.Table:
+        n_words, n_removed, spans, kept = [], [], [], []
+        for text, doc, twin in zip(*(texts.column(c).to_pylist() for c in ("_text", "_doc", "_twin")), strict=True):
+            found = (text or "").encode().split()  # bytes: exactly space and 0x09-0x0D separate
+            starts = late_of(doc, twin)
+            runs = np.zeros((0, 2), np.int64)
+            if len(starts):
+                edges = np.zeros(len(found) + 1, np.int32)
+                np.add.at(edges, starts, 1)
+                np.add.at(edges, starts + width, -1)
+                stay = np.cumsum(edges)[:-1] == 0
+                runs = np.flatnonzero(np.diff(np.r_[True, stay, True])).reshape(-1, 2)
+                found_kept = compress(found, stay)
+            else:
+                found_kept = found
+            kept.append(b" ".join(found_kept).decode())
+            n_words.append(len(found))
+            n_removed.append(int((runs[:, 1] - runs[:, 0]).sum()))
+            spans.append([{"start": a, "end": b} for a, b in runs.tolist()])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        cells = [texts.column("_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())]
+        return pa.table(cells, ["_id", "n_words", "n_removed", "spans", "kept"])
+
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(remove, f"_id {kind}, n_words long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept string").withColumnRenamed("_id", id_col)
+    out = with_late(rows, late, parts, remove, f"_id {kind}, n_words long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept string")
+    return out.withColumnRenamed("_id", id_col)
 
 
 def digest(result: DataFrame, id_col: str = "doc_id") -> DataFrame:
