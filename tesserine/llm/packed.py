@@ -34,6 +34,11 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+def step(i: int, by: int) -> np.uint64:
+    """``i * by`` modulo 2**64."""
+    return np.uint64(i * int(by) % 2**64)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection that spreads every input bit."""
     x = x ^ (x >> np.uint64(30))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, sentencepiece_codec, substring_dedup, token_counts
+from . import decontaminate, html_extract, near_dedup, sentencepiece_codec, substring_dedup, token_counts, vector_dedup
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -19,6 +19,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL)))
 
@@ -27,17 +31,28 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(table(spark, sf_dir, "documents")))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
+        "op2_decontamination": op2_decontamination,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_near_dedup": op5_near_dedup,
         "op6_token_counts": op6_token_counts,
+        "op9_vector_dedup": op9_vector_dedup,
     }
 
 
