@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, near_dedup, sentencepiece_codec, substring_dedup, token_counts, vector_dedup
+from . import decontaminate, html_extract, language_id, near_dedup, sentencepiece_codec, substring_dedup, token_counts, toxicity, vector_dedup
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -40,10 +40,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), parts=5, held_out=0))
+    return scored.select("doc_id", (toxicity.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), parts=3, held_out=1)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -52,7 +68,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_near_dedup": op5_near_dedup,
         "op6_token_counts": op6_token_counts,
+        "op7_toxicity": op7_toxicity,
         "op9_vector_dedup": op9_vector_dedup,
+        "op10_language_id": op10_language_id,
+        "pipeline": pipeline,
     }
 
 
