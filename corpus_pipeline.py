@@ -44,12 +44,11 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows that also start earlier go; a document that loses none keeps its text as it is.
 
-    A document left without words goes, unless it had none before.
+    A document that loses all its words goes.
     """
-    cut = substring_dedup.dedup(docs).filter((F.col("n_removed") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "kept").dropDuplicates(["doc_id", "kept"])
-    joined = docs.join(cut, "doc_id", "left")
-    rest = joined.filter(F.col("kept").isNull() | (F.col("kept") != ""))
-    return _documents(rest.withColumn("text", F.coalesce("kept", "text")))
+    cut = substring_dedup.dedup(docs, carry=("lang", "source"))
+    rest = cut.filter((F.col("n_removed") == 0) | (F.col("kept") != ""))
+    return _documents(rest.withColumnRenamed("text_after", "text"))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

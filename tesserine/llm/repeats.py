@@ -78,13 +78,14 @@ def _split(code: np.ndarray, doc: np.ndarray, twin: np.ndarray, place: np.ndarra
     return first, later
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _text, _doc, _twin``: ``_doc`` orders the documents, a null id last.
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``_id, _text, _doc, _twin`` and the carried columns as ``_0, _1, ...``: ``_doc`` orders the documents, a null id last.
 
     ``_twin`` tells rows with one id but other texts apart.  It is 0 throughout
     where ids are unique, and then costs nothing in the packed lists.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_doc"))
+    extra = [F.col(c).alias(f"_{k}") for k, c in enumerate(carry)]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_doc"), *extra)
     unique = rows.groupBy("_doc").count().filter("count > 1").isEmpty()
     return rows.withColumn("_twin", F.lit(0).cast("long") if unique else F.xxhash64("_text"))
 
@@ -174,9 +175,8 @@ def with_late(docs: DataFrame, late: DataFrame, parts: int, finish: Callable[[pa
         for batch in batches:
             yield batch.append_column("_part", pa.array(part_of(batch.column("_doc").to_numpy(), parts)))
 
-    ready = docs.select("_id", "_text", "_doc", "_twin")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ready.schema)
-    placed = ready.mapInArrow(deal, f"{kinds}, _part int")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    placed = docs.mapInArrow(deal, f"{kinds}, _part int")
     return placed.groupBy("_part").cogroup(late.groupBy("_part")).applyInArrow(meet, schema)
 
 
