@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, near_dedup, sentencepiece_codec, substring_dedup, token_counts, toxicity, vector_dedup
+from . import decontaminate, html_extract, language_id, near_dedup, sentencepiece_codec, substring_dedup, suffix_dedup, token_counts, toxicity, vector_dedup
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -46,6 +46,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_near_dedup": op5_near_dedup,
         "op6_token_counts": op6_token_counts,
         "op7_toxicity": op7_toxicity,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_vector_dedup": op9_vector_dedup,
         "op10_language_id": op10_language_id,
         "pipeline": pipeline,

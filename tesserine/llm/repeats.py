@@ -95,6 +95,17 @@ def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
     return (mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
+def pack_by_part(doc: np.ndarray, twin: np.ndarray, place: np.ndarray, parts: int) -> pa.Table:
+    """Positions as packed lists, one row for each part of the documents."""
+    part = part_of(doc, parts)
+    order = np.lexsort((place, twin, doc, part))
+    doc, twin, place, part = doc[order], twin[order], place[order], part[order]
+    bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    out = [_pack_places(doc[x], twin[x], place[x]) for x in map(slice, bounds, [*bounds[1:], len(part)])]
+    columns = zip(*out, strict=True) if out else [[]] * 4
+    return pa.table([pa.array(part[bounds]), *(pa.array(list(c), pa.binary()) for c in columns)], [x.split()[0] for x in _LATE.split(", ")])
+
+
 def late_windows(docs: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], buckets: int, parts: int, across: bool = False, hold: int = 1_000_000) -> DataFrame:
     """Windows whose content also starts earlier, as packed lists of document keys and positions, a few for each of ``parts`` groups of documents.
 
@@ -141,13 +152,7 @@ def late_windows(docs: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[t
         doc, twin, place = (np.concatenate(x) for x in zip(*sent, strict=True))
         _, later = _split(code, doc, twin, place, across)
         doc, twin, place = (np.concatenate([x[later], *(k[i] for k in known)]) for i, x in enumerate((doc, twin, place)))
-        part = part_of(doc, parts)
-        order = np.lexsort((place, twin, doc, part))
-        doc, twin, place, part = doc[order], twin[order], place[order], part[order]
-        bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-        out = [_pack_places(doc[x], twin[x], place[x]) for x in map(slice, bounds, [*bounds[1:], len(part)])]
-        columns = zip(*out, strict=True) if out else [[]] * 4
-        return pa.table([pa.array(part[bounds]), *(pa.array(list(c), pa.binary()) for c in columns)], [x.split()[0] for x in _LATE.split(", ")])
+        return pack_by_part(doc, twin, place, parts)
 
     return docs.mapInArrow(send, _PACKED).groupBy("bucket").applyInArrow(decide, _LATE)
 
