@@ -151,6 +151,15 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, sketch: S
     return rows.mapInArrow(run, "_id long, _n long, _fa long, _fb long, _sketch binary")
 
 
+def band_codes(regs: np.ndarray, sketch: Sketch) -> np.ndarray:
+    """One hash for each row and band of ``sketch.rows`` registers; the band's number is part of it."""
+    groups = sketch.m // sketch.rows
+    code = np.tile(np.arange(groups, dtype=np.uint64) * _GOLD, (len(regs), 1))
+    for r in range(sketch.rows):
+        code = packed.mix64(code ^ regs[:, r :: sketch.rows][:, :groups] + packed.step(r + 1, _SHORT))
+    return code.view(np.int64)
+
+
 def _bands(classes: DataFrame, sketch: Sketch) -> DataFrame:
     """``_rep, _band``: one row for each class and band; the band number is part of the hash."""
     groups = sketch.m // sketch.rows
@@ -160,11 +169,8 @@ def _bands(classes: DataFrame, sketch: Sketch) -> DataFrame:
             if not batch.num_rows:
                 continue
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1).astype(np.uint64)
-            code = np.tile(np.arange(groups, dtype=np.uint64) * _GOLD, (batch.num_rows, 1))
-            for r in range(sketch.rows):
-                code = packed.mix64(code ^ regs[:, r :: sketch.rows][:, :groups] + packed.step(r + 1, _SHORT))
             take = pa.array(np.repeat(np.arange(batch.num_rows), groups))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(code.reshape(-1).view(np.int64))], ["_rep", "_band"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(band_codes(regs, sketch).reshape(-1))], ["_rep", "_band"])
 
     return classes.select("_rep", "_sketch").mapInArrow(run, "_rep long, _band long")
 
@@ -185,6 +191,52 @@ def _likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch, least: float)
     return pairs.join(one, "x").join(two, "y").select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(run, "x long, y long")
 
 
+def _across(placed: DataFrame, classes: DataFrame, sketch: Sketch, least: float, block: int = 1000) -> DataFrame:
+    """Pairs ``x < y`` that share a band, lie in different components and are likely similar, each once.
+
+    ``placed`` has ``_band, _rep, _in``.  A bucket with several components is dealt
+    to tasks as pairs of blocks of about ``block`` classes; a task compares the
+    registers of two blocks and returns only pairs that pass, in the first band
+    that they share.  So the pairs of a large bucket are compared, never listed.
+    """
+    groups = sketch.m // sketch.rows
+    split = placed.groupBy("_band").agg(F.min("_in").alias("_a"), F.max("_in").alias("_b"), F.count("*").alias("_size")).filter("_a <> _b")
+    mine = placed.join(split.select("_band", F.ceil(F.col("_size") / block).cast("int").alias("_blocks")), "_band")
+    own = F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int")
+    dealt = (
+        mine.withColumn("_own", own)
+        .join(classes.select("_rep", "_sketch", "_n"), "_rep")
+        .withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
+        .withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")})
+        .select("_band", "_lo", "_hi", "_own", "_rep", "_in", "_sketch", "_n")
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        low, high, own, rep, inside, size = (table.column(c).to_numpy() for c in ("_lo", "_hi", "_own", "_rep", "_in", "_n"))
+        regs = np.frombuffer(b"".join(table.column("_sketch").to_pylist()), np.uint16).reshape(len(rep), -1)
+        one = np.flatnonzero(own == low[0])
+        two = one if low[0] == high[0] else np.flatnonzero(own == high[0])
+        found = []
+        for at in range(0, len(one), 32):
+            rows = one[at : at + 32]
+            alike = (regs[rows][:, None, :] == regs[two][None, :, :]).sum(2)
+            i, j = np.nonzero((alike >= sketch.m * (least - 0.02)) & (inside[rows][:, None] != inside[two][None, :]))
+            i, j = rows[i], two[j]
+            found.append(np.stack([i, j])[:, (rep[i] < rep[j]) if low[0] == high[0] else np.ones(len(i), bool)])
+        i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        if len(i):
+            good = likely_similarity(regs[i], regs[j], size[i].astype(float), size[j].astype(float), sketch) >= least
+            i, j = i[good], j[good]
+        if len(i):
+            bands = (regs[i] == regs[j])[:, : groups * sketch.rows].reshape(len(i), groups, sketch.rows).all(2)
+            here = band_codes(regs[i].astype(np.uint64), sketch) == table.column("_band")[0].as_py()
+            first = bands.argmax(1)
+            i, j = i[here[np.arange(len(i)), first]], j[here[np.arange(len(j)), first]]
+        return pa.table({"x": np.minimum(rep[i], rep[j]), "y": np.maximum(rep[i], rep[j])})
+
+    return dealt.groupBy("_band", "_lo", "_hi").applyInArrow(compare, "x long, y long")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
     """Pairs whose full shingle sets have intersection * ``similarity[1]`` >= union * ``similarity[0]``."""
 
@@ -213,7 +265,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, similarity: tuple[i
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (75, 100), sketch: Sketch | None = None, margin: float = 0.2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (75, 100), sketch: Sketch | None = None, margin: float = 0.15
 ) -> DataFrame:
     """Components of documents whose sets of ``width``-word shingles are similar enough.
 
@@ -230,11 +282,11 @@ def near_duplicates(
        aggregated), so copies cost one row each whatever their number.
     2. Bands of registers give buckets.  In each, all classes are paired with one
        centre, the class that shares most buckets overall.  Pairs that the
-       likelihood puts ``margin`` or less below the threshold (over 5 standard
+       likelihood puts no more than ``margin`` below the threshold (over 4 standard
        errors) are verified on full sets, and components are built.
     3. A bucket whose classes now lie in one component has nothing to add.  In the
-       others every pair across components is a candidate as well, so no link
-       between components is lost; the round 2 centres keep these few.
+       others every pair across components is compared as well, block by block,
+       and verified if likely, so no link between components is lost.
     """
     sketch = sketch or Sketch()
     least = similarity[0] / similarity[1] - margin
@@ -255,12 +307,7 @@ def near_duplicates(
     first = components(links.union(member.select(F.col("_id").alias("x"), F.col("_rep").alias("y"))), "x", "y")
 
     placed = crowded.join(first.withColumnRenamed("node", "_rep"), "_rep", "left").select("_band", "_rep", F.coalesce("component", "_rep").alias("_in"))
-    split = placed.groupBy("_band").agg(F.min("_in").alias("_lo"), F.max("_in").alias("_hi")).filter(F.col("_lo") != F.col("_hi")).select("_band")
-    open_ = cut(placed.join(split, "_band"))
-    one, two = open_.select("_band", F.col("_rep").alias("x"), F.col("_in").alias("ix")), open_.select("_band", F.col("_rep").alias("y"), F.col("_in").alias("iy"))
-    across = one.join(two, "_band").filter((F.col("x") < F.col("y")) & (F.col("ix") != F.col("iy"))).select("x", "y").distinct()
-    tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = cut(_likely(across.join(tried, ["x", "y"], "left_anti"), classes, sketch, least))
+    more = cut(_across(placed, classes, sketch, least))
     if not more.isEmpty():
         extra = cut(_verified(more, text_of, width, similarity))
         if not extra.isEmpty():
