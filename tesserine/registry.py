@@ -30,3 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+def load() -> None:
+    """Import all modules that register queries."""
+    from .plans import coverage, lookup, statistics, traversals  # noqa: F401
