@@ -137,10 +137,10 @@ def bidirectional_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(down.join(under, "mid").groupBy(rels).agg(total).select(F.lit("down").alias("direction"), "rels", "n"))
 
 
-@register("vmodel_bridge", "select distinct o_custkey as requirement, l_partkey as part from orders join lineitem on l_orderkey = o_orderkey where o_custkey <= 20")
+@register("vmodel_bridge", "select distinct o_custkey as requirement, l_partkey as part from orders join lineitem on l_orderkey = o_orderkey")
 def vmodel_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A direct link from A to C wherever A links B and B links C."""
-    own = table(spark, sf_dir, "orders").filter(F.col("o_custkey") <= 20).select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("requirement"))
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("requirement"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part")).join(own, "l_orderkey").select("requirement", "part").distinct()
 
 

@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import all modules that register queries."""
-    from .plans import coverage, lookup, statistics, traversals  # noqa: F401
+    from .plans import coverage, lookup, statistics, texts, traversals, vectors  # noqa: F401
