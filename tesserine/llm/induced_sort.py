@@ -20,6 +20,8 @@ import tempfile
 
 import numpy as np
 
+from .packed import mix64
+
 #: Symbols below all bytes of UTF-8, whose largest is 0xF4: the text's end and the border of segments.
 END, BORDER, SHIFT = 0, 1, 2
 
@@ -93,10 +95,9 @@ def types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is of type S."""
     n = len(text)
     out = np.ones(n, bool)
-    change = np.flatnonzero(text[:-1] != text[1:])
-    if len(change):
-        nearest = change[np.minimum(np.searchsorted(change, np.arange(n - 1)), len(change) - 1)]
-        out[:-1] = text[nearest] < text[nearest + 1]
+    last = np.where(text[:-1] != text[1:], np.arange(n - 1, dtype=np.int32), np.int32(n - 2))
+    nearest = np.minimum.accumulate(last[::-1])[::-1]  # where the run of equal symbols ends
+    out[:-1] = text[nearest] < text[nearest + 1]
     return out
 
 
@@ -117,10 +118,10 @@ def _shared_symbols(words: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int)
     return np.minimum(out, depth)
 
 
-def sort_stars(words: np.ndarray, stars: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """S* suffixes in order of their first symbols (``depth`` or a few more), and the prefix each shares with its predecessor."""
-    order = stars.copy()
-    group = np.zeros(len(stars), np.int64)  # of each place in the order: where its group starts
+def _refined(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in order of their first ``depth`` symbols (or a few more): groups of equal ones are split eight symbols at a time."""
+    order = places.copy()
+    group = np.zeros(len(places), np.int64)  # of each place in the order: where its group starts
     for at in range(0, depth, 8):
         starts = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
         size = np.diff(np.r_[np.flatnonzero(starts), len(group)])
@@ -128,13 +129,42 @@ def sort_stars(words: np.ndarray, stars: np.ndarray, depth: int) -> tuple[np.nda
         if not len(open_):
             break
         key = words[order[open_] + at].astype(np.uint64)
-        again = np.lexsort((key, group[open_]))
+        again = np.lexsort((key, group[open_])) if at else np.argsort(key)
         order[open_], key = order[open_][again], key[again]
         fresh = np.r_[True, (key[1:] != key[:-1]) | (group[open_][1:] != group[open_][:-1])]
         group[open_] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(open_)), 0))]
-    shared = np.zeros(len(order), np.uint8)
-    if len(order) > 1:
-        shared[1:] = _shared_symbols(words, order[:-1], order[1:], depth)
+    return order
+
+
+def sort_stars(words: np.ndarray, stars: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """S* suffixes in order of their first symbols, and the prefix each shares with its predecessor.
+
+    Suffixes that agree all the way down are found by a hash, checked symbol by
+    symbol, and only one of each goes through the sort.
+    """
+    code = np.zeros(len(stars), np.uint64)
+    for at in range(0, depth, 8):
+        code = mix64(code ^ words[stars + at].astype(np.uint64))
+    by_code = np.argsort(code)
+    fresh = np.r_[True, np.diff(code[by_code]) != 0] if len(stars) else np.zeros(0, bool)
+    heads, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    mates = stars[by_code]
+    leads = mates[heads]
+    if any((words[mates + at] != words[leads[group] + at]).any() for at in range(0, depth, 8)):  # hashes collide: sort all
+        mates = leads = stars
+        heads = np.arange(len(stars))
+    sizes = np.diff(np.r_[heads, len(stars)])
+    of = np.empty(len(words), np.int32)
+    of[leads] = np.arange(len(leads))
+    ordered = _refined(words, leads, depth)
+    rank = of[ordered]
+    runs = sizes[rank]
+    first = np.cumsum(runs) - runs
+    order = mates[np.repeat(heads[rank] - first, runs) + np.arange(len(stars))]
+    shared = np.full(len(stars), depth, np.uint8)
+    if len(ordered):
+        shared[first[1:]] = _shared_symbols(words, ordered[:-1], ordered[1:], depth)
+        shared[0] = 0
     return order, shared
 
 

@@ -219,7 +219,7 @@ def _sort_shard(table: pa.Table, width: int, parts: int, memory_items: int) -> p
 
 def dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, runs_per_bucket: int = 2_000_000, part_bytes: int = 8_000_000,
-    corpus_bytes_per_shard: int = 12_000_000, hold: int = 1_000_000, memory_items: int = 8_000_000,
+    corpus_bytes_per_shard: int = 8_000_000, hold: int = 1_000_000, memory_items: int = 8_000_000,
 ) -> DataFrame:
     """Remove every byte covered by ``width`` bytes that also start in a document with a smaller id.
 
