@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 
 import ahocorasick
 import sentencepiece
@@ -21,6 +22,7 @@ import sentencepiece
 SPACE_MARK = "▁"
 _CACHED_CHARS = 48
 _CACHED_ITEMS = 300_000
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 class PieceModel:
@@ -40,17 +42,26 @@ class PieceModel:
         for piece in self.ids:
             self.matcher.add_word(piece[::-1])
         self.matcher.make_automaton()
-        self.segment = re.compile(self._segment_pattern())
-        self._fits: dict[tuple[str, str], bool] = {}
-
-    def _segment_pattern(self) -> str:
-        """Cut where no piece can reach across: before a space mark that follows another character, and around line breaks that no longer piece holds."""
-        crossing = any(SPACE_MARK in piece.lstrip(SPACE_MARK) for piece in self.ids)
-        if crossing:
-            return r"(?s).+"
-        alone = "".join(c for c in "\t\n\r" if not any(c in piece and len(piece) > 1 for piece in self.ids))
-        stop = "".join(re.escape(c) for c in alone)
-        return f"{SPACE_MARK}+[^{SPACE_MARK}{stop}]*|[^{SPACE_MARK}{stop}]+" + (f"|[{stop}]" if alone else "")
+        self.next_shorter = {p: next((p[:n] for n in range(len(p) - 1, 1, -1) if p[:n] in self.ids), p[0] if len(p) > 1 else "") for p in self.ids}
+        self._fits = Memo(self._merge_keeps, _CACHED_ITEMS // 2)
+        self.segment, self.part = map(re.compile, self._cuts())
+
+    def _cuts(self) -> tuple[str, str]:
+        """Patterns that cut where no piece can reach across: segments, and the finer parts of a segment.
+
+        Segments end before a space mark that follows another character, and around
+        line breaks that no longer piece holds.  Parts also end between a letter and
+        a punctuation mark that no piece has after a letter.
+        """
+        if any(SPACE_MARK in piece.lstrip(SPACE_MARK) for piece in self.ids):
+            return r"(?s).+", r"(?s).+"
+        inner = [piece for piece in self.ids if len(piece) > 1]
+        stop = "".join(re.escape(c) for c in "\t\n\r" if not any(c in piece for piece in inner))
+        letter = re.compile(f"[{_LETTERS}]")
+        reached = {b for piece in inner for a, b in zip(piece, piece[1:], strict=False) if letter.match(a)}
+        marks = "".join(re.escape(c) for c in string.punctuation if c not in reached)
+        segment = f"{SPACE_MARK}+[^{SPACE_MARK}{stop}]*|[^{SPACE_MARK}{stop}]+" + (f"|[{stop}]" if stop else "")
+        return segment, f"(?s).(?:[^{marks}]+|(?<![{_LETTERS}])[{marks}])*" if marks else r"(?s).+"
 
     def segments(self, text: str) -> list[str]:
         """The text as the model sees it (one space put before it, spaces marked), cut into parts that merge separately."""
@@ -78,21 +89,11 @@ class PieceModel:
                 heapq.heappush(heap, (-score[p], h, p))
         return [p for p in parts if p]
 
-    def fits(self, a: str, b: str) -> bool:
-        """Whether ``a`` and ``b`` stay as they are when merged side by side (``a`` may be empty)."""
-        known = self._fits.get((a, b))
-        if known is None:
-            if len(self._fits) > _CACHED_ITEMS:
-                self._fits.clear()
-            known = self._fits[a, b] = self.merge(a + b) == ([a, b] if a else [b])
-        return known
-
-    def shorter(self, token: str) -> str:
-        """The next shorter match at a token's start: a piece, or its first character."""
-        for n in range(len(token) - 1, 1, -1):
-            if token[:n] in self.ids:
-                return token[:n]
-        return token[0] if len(token) > 1 else ""
+    def _merge_keeps(self, pair: tuple[str, str]) -> bool:
+        """Whether two adjacent tokens stay as they are when merged side by side (the first may be empty)."""
+        a, b = pair
+        self._fits.trim()
+        return self.merge(a + b) == ([a, b] if a else [b])
 
     def tokens(self, s: str) -> list[str]:
         """Encode one segment by backtracking."""
@@ -103,23 +104,23 @@ class PieceModel:
             if length > longest[start]:
                 longest[start] = length
         failed, out, at = bytearray(n // 8 + 1), [], 0
-        token = s[: longest[0]] if n else ""
+        fits, shorter = self._fits, self.next_shorter
+        before, token = "", s[: longest[0]] if n else ""
         while at < n:
-            before = out[-1] if out else ""
             while token:
                 to = at + len(token)
-                if not failed[to >> 3] >> (to & 7) & 1 and self.fits(before, token):
+                if not failed[to >> 3] >> (to & 7) & 1 and fits[before, token]:
                     break
-                token = self.shorter(token)
+                token = shorter.get(token, "")  # a single character has none
             if token:
                 out.append(token)
-                at += len(token)
+                before, at = token, to
                 token = s[at : at + longest[at]] if at < n else ""
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 token = out.pop()
                 at -= len(token)
-                token = self.shorter(token)
+                before, token = out[-1] if out else "", shorter.get(token, "")
         return out
 
     def to_ids(self, tokens: list[str]) -> list[int]:
@@ -135,7 +136,7 @@ class PieceModel:
         return out
 
     def encode(self, text: str, end: bool = False) -> list[int]:
-        out = [i for s in self.segments(text) for i in self.to_ids(self.tokens(s))]
+        out = [i for s in self.segments(text) for part in self.part.findall(s) for i in self.to_ids(self.tokens(part))]
         return [*out, self.end] if end else out
 
     def surface(self, ids: list[int]) -> str:
@@ -181,18 +182,25 @@ def _utf8(raw: bytearray) -> str:
 
 
 class Memo(dict):
-    """Results for short segments, looked up at C speed; bounded, since :meth:`trim` empties it when it is full."""
+    """Results for short keys, looked up at C speed, in bounded space.
+
+    When it is full, :meth:`trim` sets everything aside; what is asked for again
+    comes back from there, so frequent keys survive and rare ones go.
+    """
 
     def __init__(self, make, most: int = _CACHED_ITEMS):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.aside = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.aside.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= _CACHED_CHARS:
             self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.most:
+            self.aside = dict(self)
             self.clear()

@@ -16,8 +16,14 @@ from .piece_bpe import Memo, PieceModel
 def _codec(path: str):
     """One model and its memos for each Python worker."""
     model = PieceModel(path)
-    ids_of = Memo(lambda s: " ".join(map(str, model.to_ids(model.tokens(s)))))
-    text_of = Memo(lambda joined: model.surface([int(i) for i in joined.split()]))
+    of_part = Memo(lambda s: " ".join(map(str, model.to_ids(model.tokens(s)))), 150_000)
+
+    def encoded(segment: str) -> str:
+        of_part.trim()
+        return " ".join(map(of_part.__getitem__, model.part.findall(segment)))
+
+    ids_of = Memo(encoded, 200_000)
+    text_of = Memo(lambda joined: model.surface([int(i) for i in joined.split()]), 200_000)
     return model, ids_of, text_of
 
 

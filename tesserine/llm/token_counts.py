@@ -40,7 +40,13 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
         if "counts" not in held:
-            held["counts"] = Memo(lambda s: len(model.to_ids(model.merge(s))))
+            parts = held["parts"] = Memo(lambda s: len(model.to_ids(model.merge(s))), 150_000)
+
+            def counted(segment: str) -> int:
+                parts.trim()
+                return sum(map(parts.__getitem__, model.part.findall(segment)))
+
+            held["counts"] = Memo(counted)
         counts = held["counts"]
         whole = dict.fromkeys(proved.value, 1)
         counts.update(whole)
@@ -48,9 +54,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             totals = []
             for text in batch.column(1).to_pylist():
                 totals.append(sum(map(counts.__getitem__, model.segments(text or ""))))
-                if len(counts) > counts.most:
-                    counts.trim()
-                    counts.update(whole)
+                counts.trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(totals, pa.int64())], ["_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
