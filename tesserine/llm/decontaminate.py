@@ -90,11 +90,11 @@ def overlaps(
     if seeds.count() <= broadcast_rows:
         seeds = F.broadcast(seeds)
     rows = docs.select(F.col(id_col).alias("_id"), _hashes(F.col(text_col)).alias("_codes"))
-    hits = _seeded(rows, ["_id"], masks, longest).join(seeds, "_seed").withColumn("_from", F.col("_local") - F.col("_item_at"))
+    hits = _seeded(rows, ["_id"], masks, longest).join(seeds, "_seed").withColumn("_shift", F.col("_local") - F.col("_item_at"))
 
     span = F.least(F.size("_test"), F.lit(window))
     enough = F.ceil(span * F.lit(agreement))
-    equal = F.transform("_test", lambda x, k: F.when(F.get("_part", F.col("_from") + k) == x, 1).otherwise(0))
+    equal = F.transform("_test", lambda x, k: F.when(F.get("_part", F.col("_shift") + k) == x, 1).otherwise(0))
     added = lambda a, x: a + x
     sums = F.transform(F.sequence(F.lit(1), F.size("_test") - span + 1), lambda s: F.aggregate(F.slice(equal, s, span), F.lit(0), added))
     best = F.when(F.aggregate(equal, F.lit(0), added) >= enough, F.array_max(sums))
