@@ -80,5 +80,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _decontamination_sql() -> str:
+    """The same decision without hashes: seeds as token lists, every aligned token compared, windows by frames."""
+    split = decontaminate._SPLIT.replace("'", "''")
+    tokens = f"list_filter(regexp_split_to_array(lower(text), '{split}'), lambda x: x <> '')"
+    raw = f"regexp_split_to_array(lower(text), '{split}')"
+    picks = [[i for i, bit in enumerate(mask) if bit == "1"] for mask in decontaminate.MASKS]
+    shortest = min(map(len, decontaminate.MASKS))
+
+    def seeds(rows: str, key: str) -> str:
+        each = [f"select {key}, p, {k} as mask, list_transform({own}, lambda i: c[p + 1 + i]) as seed from {rows} where p + {len(decontaminate.MASKS[k])} <= len(c)" for k, own in enumerate(picks)]
+        return " union all ".join(each)
+
+    return f"""with d as (select distinct doc_id, {raw} as c from documents where text is not null), i as (select distinct item_id, {tokens} as c from benchmark where text is not null),
+    dp as (select doc_id, c, unnest(range(len(c) - {shortest} + 1)) as p from d), ip as (select item_id, c, unnest(range(len(c) - {shortest} + 1)) as p from i),
+    ds as ({seeds("dp", "doc_id")}), s as ({seeds("ip", "item_id")}),
+    hits as (select distinct doc_id, item_id, ds.p - s.p as f from ds join s on ds.mask = s.mask and ds.seed = s.seed),
+    k as (select doc_id, item_id, f, len(i.c) as n, least(len(i.c), {decontaminate.WINDOW}) as w, unnest(range(len(i.c))) as j, i.c as test, d.c as own from hits join d using (doc_id) join i using (item_id)),
+    e as (select doc_id, item_id, f, n, w, j, case when f + j >= 0 and own[f + j + 1] = test[j + 1] then 1 else 0 end as same from k),
+    r as (select doc_id, item_id, f, w, j, sum(same) over (partition by doc_id, item_id, f order by j rows between {decontaminate.WINDOW - 1} preceding and current row) as equal from e),
+    b as (select doc_id, item_id, f, w, max(equal) as equal from r where j + 1 >= w group by all)
+    select doc_id, item_id, max(equal)::bigint as n_equal, max(w)::bigint as n_window, count(*) as n_places from b where equal >= ceil(w * {decontaminate.AGREEMENT}) group by 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL where it can say what an operator does; the others are tested against brute force in ``tests/llm``."""
+    words = "string_split_regex(trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g'), ' '), ' ')"
+    return {
+        "op2_decontamination": _decontamination_sql(),
+        "op4_substring_dedup": f"""with d as (select doc_id, case when coalesce(text, '') = '' or trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g'), ' ') = '' then [] else {words} end as w from documents),
+    p as (select doc_id, w, unnest(range(len(w) - 19)) as s from d), x as (select doc_id, s, row_number() over (partition by md5(array_to_string(w[s + 1 : s + 20], ' ')) order by doc_id, s) > 1 as late from p),
+    c as (select distinct doc_id, unnest(range(s, s + 20)) as k from x where late), g as (select doc_id, list(k) as gone from c group by 1),
+    o as (select doc_id, w, coalesce(gone, []) as gone from d left join g using (doc_id))
+    select doc_id, len(w)::bigint as n_words, len(gone)::bigint as n_removed, sha256(array_to_string(case when len(gone) = 0 then w else list_filter(w, lambda v, i: not list_contains(gone, i - 1)) end, ' ')) as kept_sha256 from o""",
+        "op9_vector_dedup": """with recursive e as (select vec_id, label, embedding::double[] as v from embeddings where embedding is not null and label is not null), l as (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and a.vec_id <> b.vec_id
+    where list_cosine_similarity(a.v, b.v) >= 0.93), n as (select a, count(*) as k from l group by 1), r as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from r join l on l.a = r.b)
+    select vec_id, coalesce(k, 0) as n_links, m.c as component_id, vec_id = m.c as kept from embeddings left join n on n.a = vec_id join (select a, min(b) as c from r group by 1) m on m.a = vec_id""",
+    }
