@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut as checkpoint
+
 
 def dispatchers(calls: DataFrame) -> DataFrame:
     """``node``: callers that reach two or more different callees under case labels."""
@@ -14,7 +16,7 @@ def dispatchers(calls: DataFrame) -> DataFrame:
     return cases.filter(F.col("n") >= 2).select(F.col("caller").alias("node"))
 
 
-def propagate(public: DataFrame, calls: DataFrame, accesses: DataFrame, most: int = 4, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def propagate(public: DataFrame, calls: DataFrame, accesses: DataFrame, most: int = 4, cut: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
     """``node, target, depth``: what each public function reaches through at most ``most`` calls and doesn't access itself.
 
     Dispatchers met on the way count, but are not expanded: their cases belong to

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut as checkpoint
 
-def reach(start: DataFrame, edges: DataFrame, most: int, least: int = 1, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+
+def reach(start: DataFrame, edges: DataFrame, most: int, least: int = 1, cut: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
     """``start, node, depth``: what each start reaches in ``least`` to ``most`` hops, at its smallest such depth; never the start itself.
 
     ``start`` has a column ``node``.  A breadth-first loop of joins: each round
-    expands only pairs that are new, so cycles end.  ``cut`` may checkpoint rounds.
+    expands only pairs that are new, so cycles end.  ``cut`` writes each round to the checkpoint folder, so plans stay short.
     """
     links = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct()
     front = start.select(F.col("node").alias("start"), "node").distinct()
@@ -26,7 +28,7 @@ def reach(start: DataFrame, edges: DataFrame, most: int, least: int = 1, cut: Ca
     return seen.filter(F.col("depth") >= least)
 
 
-def shortest_paths(start: DataFrame, targets: DataFrame, edges: DataFrame, most: int, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def shortest_paths(start: DataFrame, targets: DataFrame, edges: DataFrame, most: int, cut: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
     """``start, node, length, path``: one shortest path from each start to each target it reaches, the least of equal ones.
 
     Edges are followed in both directions.  The frontier keeps one path for each
@@ -45,7 +47,7 @@ def shortest_paths(start: DataFrame, targets: DataFrame, edges: DataFrame, most:
     return seen.join(targets.select("node").distinct(), "node", "left_semi").select("start", "node", "length", "path")
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, most: int, cut: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
     """Topological levels by peeling: ``node, level``; members of cycles and what hangs on them get a null level.
 
     Each round removes the nodes that nothing left points at; edges of removed
