@@ -40,7 +40,7 @@ def markdown_sections(spark: SparkSession, path: str) -> DataFrame:
     body = F.when(titled, F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(1)))).otherwise(F.col("_l"))
     body = F.when(titled & (F.size("_l") == 1), F.array()).otherwise(F.transform(body, lambda x: x["line"]))
     title = F.when(titled, F.regexp_extract(first["line"], r"^#{1,6}\s+(.*?)\s*#*$", 1))
-    return grouped.select("path", "section_no", F.when(titled, F.length(first["_h"])).alias("level"), title.alias("title"), F.trim(F.array_join(body, "\n")).alias("body"))
+    return grouped.select("path", "section_no", F.when(titled, F.length(first["_h"])).alias("level"), title.alias("title"), F.trim(F.array_join(body, "\n"), F.lit(" \n\r\t")).alias("body"))
 
 
 def c_functions(spark: SparkSession, path: str) -> DataFrame:
