@@ -31,11 +31,12 @@ def sessions(events: DataFrame, gap: str = "1 hour", late: str = "10 minutes") -
     return grouped.select("user_id", "started", "last_seen", "n")
 
 
-def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
+def rate_limited(events: DataFrame, limit: int, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
     """Every event with its count in the moving window of its key, and whether it exceeds the limit.
 
     The state of a key is the times still inside the window, so it is bounded by the
-    traffic of that window, and it expires when the key falls silent.
+    traffic of that window, and it goes when the watermark has left the key's last
+    window behind.
     """
     span = pd.Timedelta(seconds=seconds)
 
@@ -51,11 +52,12 @@ def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
             held.append(ts)
             counts.append(len(held))
         state.update(([t.value for t in held],))
-        state.setTimeoutDuration(seconds * 1000)
+        last = held[-1].value // 1_000_000 + seconds * 1000
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "n": counts, "limited": [c > limit for c in counts]})
 
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(
-        step, "event_id long, user_id long, n long, limited boolean", "times array<long>", "append", "ProcessingTimeTimeout"
+    return events.select("user_id", "event_id", "ts").withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(
+        step, "event_id long, user_id long, n long, limited boolean", "times array<long>", "append", "EventTimeTimeout"
     )
 
 

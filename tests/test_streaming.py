@@ -4,7 +4,10 @@ from tesserine.streaming import events
 
 def drain(spark, df, name, mode="append"):
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    try:
+        assert query.awaitTermination(120)
+    finally:
+        query.stop()
     return spark.table(name).collect()
 
 
