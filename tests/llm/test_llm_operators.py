@@ -180,12 +180,35 @@ def test_parser_survives_broken_markup():
     assert html_extract.main_text("<p>a &lt; b</p><style>p{}") == "a < b"
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
 def test_levenshtein_automaton_equals_distance():
-    trie = toxicity.Trie.of({"moron": False, "worthless": False, "lowei": True, "scum": False})
-    expect = {"moron": 0, "morron": 1, "m0ron": 1, "mooorn": None, "wrthless": 1, "loweixyz": 0, "lowiexx": None, "lweiabc": 1, "scum": 0, "scun": None, "other": None, "": None}
-    for word, distance in expect.items():
-        found = toxicity.matches(trie, word)
-        assert (found and found[1]) == distance, word
+    terms = {"moron": False, "worthless": False, "lowei": True, "scum": False}
+    trie, rnd = toxicity.Trie.of(terms), random.Random(8)
+    scanner = toxicity.Scanner(terms, frozenset())
+    words = ["moron", "m0ron", "mooorn", "wrthless", "loweixyz", "lweiabc", "lowiexx", "scum", "scun", "other", ""]
+    for term in terms:
+        for _ in range(150):
+            letters = list(term + rnd.choice(["", "ab", "n"]))
+            for _ in range(rnd.randint(0, 2)):
+                at = rnd.randrange(len(letters) + 1)
+                letters[at : at + rnd.randint(0, 1)] = rnd.choice(["", "m", "e", "o"])
+            words.append("".join(letters))
+    for word in words:
+        near = []
+        for term, stem in terms.items():
+            distance = min(edit_distance(term, word[:n]) for n in range(len(word) + 1)) if stem else edit_distance(term, word)
+            if distance <= toxicity.allowed_edits(term):
+                near.append((distance, term))
+        expect = min(near)[::-1] if near else None
+        assert toxicity.matches(trie, word) == scanner.find(word) == expect, word
     assert toxicity.matches(trie, "moro", frozenset({"moro"})) is None
 
 
