@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.chunking import overlap_chunks, sections
+from ..operators.nearest import best_columns
 from ..registry import register
 from ..tables import table
 
@@ -51,12 +56,12 @@ def stemmed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy(T.stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n"))
 
 
-@register(
-    "token_index_search",
-    f"""with q as (select item_id, unnest(list_distinct({_WORDS})) as w from benchmark where item_id < 5), n as (select item_id, count(*) as k from q group by 1),
+_TOKEN_SEARCH = f"""with q as (select item_id, unnest(list_distinct({_WORDS})) as w from benchmark where item_id < 5), n as (select item_id, count(*) as k from q group by 1),
     d as (select doc_id, unnest(list_distinct({_WORDS})) as w from documents), h as (select item_id, doc_id, count(*) as hits from q join d using (w) group by 1, 2)
-    select item_id, doc_id, round(hits / k, 6) as score from h join n using (item_id) qualify row_number() over (partition by item_id order by hits / k desc, doc_id) <= 10""",
-)
+    select item_id, doc_id, round(hits / k, 6) as score from h join n using (item_id) qualify row_number() over (partition by item_id order by hits / k desc, doc_id) <= 10"""
+
+
+@register("token_index_search", _TOKEN_SEARCH)
 def token_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the query's words found in each document, ten best for each of five queries.
 
@@ -71,6 +76,51 @@ def token_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
+# Queries of a block: their words go along with one scan of the documents.
+TOKEN_QUERIES = 1000
+
+
+@register("token_index_search_whole", _TOKEN_SEARCH.replace("item_id < 5", "item_id % 50 = 0"))
+def token_index_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over every item whose id is divisible by 50, in blocks of queries of a bounded size.
+
+    A task holds the postings of a block's words and keeps the ten best of each batch.
+    """
+    asked = table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0).select("item_id", F.array_distinct(T.words(F.col("text"))).alias("w")).filter(F.size("w") > 0)
+    blocks = max(-(-asked.count() // TOKEN_QUERIES), 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("_w")).filter(F.size("_w") > 0)
+    found = None
+    for block in range(blocks):
+        queries = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
+        postings: dict[str, list[int]] = {}
+        for i, r in enumerate(queries):
+            for w in r["w"]:
+                postings.setdefault(w, []).append(i)
+        given = spark.sparkContext.broadcast(({w: np.array(at) for w, at in postings.items()}, np.array([r["item_id"] for r in queries], np.int64), np.array([len(r["w"]) for r in queries], np.float64)))
+        part = docs.mapInArrow(_token_hits(given), "item_id long, doc_id long, score double")
+        found = part if found is None else found.unionByName(part)
+    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("_r") <= 10)
+    return best.select("item_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _token_hits(given):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        postings, items, sizes = given.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000).sort_by("doc_id")
+                hits = np.zeros((len(items), part.num_rows))
+                for d, words in enumerate(part.column(1).to_pylist()):
+                    met = [postings[w] for w in words if w in postings]
+                    if met:
+                        hits[:, d] = np.bincount(np.concatenate(met), minlength=len(items))
+                share = np.where(hits > 0, hits / sizes[:, None], -np.inf)
+                i, d = best_columns(share, 10)
+                yield pa.RecordBatch.from_arrays([pa.array(items[i]), part.column(0).take(pa.array(d)), pa.array(share[i, d])], ["item_id", "doc_id", "score"])
+
+    return search
+
+
 @register(
     "score_node",
     f"""with t as (select p_partkey, lower(p_name) as n, lower(p_type) as d, len(list_intersect(list_distinct(list_filter(regexp_split_to_array('large steel', '[^a-z0-9_]+'), lambda w: length(w) >= 3)),

@@ -111,3 +111,36 @@ def test_incremental_changes(spark):
     listed = frame(spark, [("a",)], "path string")
     assert {(r.path, r.change_type) for r in incremental.changes(after, after, listed).collect()} == {("a", "MODIFIED")}
     assert incremental.changes(before.limit(0), after).count() == 3
+
+
+def test_nearest_equals_brute_force_over_several_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from tesserine.operators import nearest
+
+    monkeypatch.setattr(nearest, "POINTS", 64)
+    monkeypatch.setattr(nearest, "QUERIES", 3)
+    vectors = np.random.default_rng(5).standard_normal((300, 8)).round(2)
+    vectors[100:160] = vectors[3]  # a hot vector: ties go by id
+    rows = [(i, i % 3, v.tolist()) for i, v in enumerate(vectors)] + [(300, None, [0.0] * 8)]
+    points = spark.createDataFrame(rows, "vec_id long, label long, vector array<double>").repartition(3)
+    found = nearest.nearest(points, points.filter("vec_id % 50 = 0"), 4, by_label=True).collect()
+    unit = np.array([r[2] for r in rows])
+    got, want = {}, {}
+    for r in found:
+        got.setdefault((r.query_id, r.label), []).append((-r.score, r.vec_id))
+    for q in range(0, 301, 50):
+        scores = nearest.cosines(unit, unit[q : q + 1])[0]
+        for i, label, _ in rows:
+            if i != q:
+                want.setdefault((q, label), []).append((-scores[i], i))
+    assert {k: sorted(v)[:4] for k, v in got.items()} == {k: sorted(v)[:4] for k, v in want.items()}
+
+
+def test_whole_query_sets_hold_every_fiftieth_row(spark, small):
+    from tesserine import registry
+
+    registry.load()
+    for key in ("knn_cosine", "knn_multi_collection", "rrf_weighted"):
+        ids = {r.query_id for r in registry.queries()[f"{key}_whole"](spark, small).select("query_id").distinct().collect()}
+        assert ids == set(range(0, 500, 50))
