@@ -37,7 +37,6 @@ JUNK = frozenset(
     "header masthead footer sidebar aside widget widgets comment comments respond reply replies discussion disqus notice notices cookie cookies consent gdpr "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager toc skip".split()
 )
-FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table dl figure".split())
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z!?])(?:[^>]*>|.*\Z)|[^<]+|<", re.S
@@ -52,6 +51,7 @@ class Node:
     marks: str = ""
     drop: bool = False
     parent: Node | None = None
+    core: bool = False  # is or holds an article or main
     children: list = field(default_factory=list)
 
 
@@ -108,6 +108,10 @@ def parse(page: str) -> Node:
         marks, drop = _judged(name, attributes)
         node = Node(name, marks, drop, top)
         top.children.append(node)
+        if name in ("article", "main"):
+            at = node
+            while at is not None and not at.core:
+                at.core, at = True, at.parent
         if name in VOID or attributes.rstrip().endswith("/") and name in ("svg", "path"):
             continue
         top = node
@@ -122,8 +126,7 @@ def _print(node: Node, out: list[tuple[Node, int]], seed: int, inside: bool = Fa
     for child in node.children:
         parts.append(" ".join(child.split()) if isinstance(child, str) else format(_print(child, out, seed, inside), "x"))
     code = xxhash.xxh3_64_intdigest("\x1f".join(parts), seed) >> 1
-    whole = node.tag in ("#root", "html", "body", "head", "article", "main")
-    if node.tag in BLOCK and not whole and not (inside and node.tag in FLOW | {"li"}):
+    if node.tag in BLOCK and node.tag not in ("#root", "html", "body", "head") and not inside and not node.core:
         out.append((node, code))
     return code
 
@@ -151,11 +154,12 @@ def _all_text(node: Node) -> list[str]:
     return out
 
 
-def subtree_hashes(page: str | None, host: str) -> list[int]:
-    """Distinct hashes of the page's subtrees that may be template parts of its host."""
+def subtree_hashes(page: str | None, host: str) -> tuple[int, list[int]]:
+    """A hash of the page's text without furniture, and the distinct hashes of its subtrees that may be template parts of its host (-1 if there is none, so that the page counts)."""
+    root = _depth_safe(page)
     found: list[tuple[Node, int]] = []
-    _print(_depth_safe(page), found, xxhash.xxh3_64_intdigest(host))
-    return sorted({code for _, code in found})
+    _print(root, found, xxhash.xxh3_64_intdigest(host))
+    return xxhash.xxh3_64_intdigest(_read(root)) >> 1, sorted({code for _, code in found}) or [-1]
 
 
 def main_text(page: str | None, host: str = "", recurring: Set[int] = frozenset()) -> str:
@@ -167,6 +171,11 @@ def main_text(page: str | None, host: str = "", recurring: Set[int] = frozenset(
     for node, code in found:
         if code in recurring:
             node.drop = True
+    return _read(root)
+
+
+def _read(root: Node) -> str:
+    """The blocks of the tree's articles, or of all of it if it has none, without what is dropped."""
     cores: list[Node] = []
 
     def seek(node: Node) -> None:
@@ -212,19 +221,20 @@ def _host() -> F.Column:
 
 
 def extract(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, least_share: float = 0.02, broadcast_rows: int = 500_000
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, least_share: float = 0.02, broadcast_rows: int = 500_000, enough_pages: int = 100
 ) -> DataFrame:
     """Main text of every page: ``id_col``, ``url_col``, ``text``, one row per input row.
 
     A subtree is a template part if it occurs in at least ``least_pages`` pages of
-    its host and in ``least_share`` of them.  Running text inside ``article`` or
-    ``main`` (paragraphs, headings, lists, tables) never counts as template, since
+    its host and in ``least_share`` of them or in ``enough_pages``.  Pages of one
+    text count as one page, so copies of a page make no template.  Nothing inside
+    ``article`` or ``main`` and nothing that holds one counts as template, since
     copied passages recur as well.  Null or empty html gives an empty text; a null
     url or one without host belongs to the host ``''``; repeated rows give repeated
     results; other columns are ignored.
 
-    Counting shuffles one (host, hash) pair per subtree, pre-aggregated, so a host
-    with a third of all pages only adds counts.  The recurring hashes (seeded by
+    Counting shuffles one (host, text, hash) triple per subtree and distinct page, then
+    pre-aggregated counts, so a host with a third of all pages only adds counts.  The recurring hashes (seeded by
     their host) are broadcast while there are at most ``broadcast_rows``; beyond
     that each page gets its own by a join on the hash, which AQE splits where one is hot.
     """
@@ -233,16 +243,19 @@ def extract(
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(map(subtree_hashes, batch.column(1).to_pylist(), batch.column(0).to_pylist()))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            take = pa.array(np.repeat(np.arange(len(found)), sizes))
-            codes = np.fromiter((c for f in found for c in f), np.int64, int(sizes.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(codes)], ["_host", "_page", "_code"])
+            sizes = np.fromiter((len(f) for _, f in found), np.int64, len(found))
+            take = np.repeat(np.arange(len(found)), sizes)
+            codes = np.fromiter((c for _, f in found for c in f), np.int64, int(sizes.sum()))
+            texts = np.fromiter((t for t, _ in found), np.int64, len(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), batch.column(2).take(pa.array(take)), pa.array(texts[take]), pa.array(codes)], ["_host", "_page", "_text", "_code"])
 
     page_key = F.xxhash64("_id", "_url", "_html")
-    printed = rows.select("_host", "_html", page_key.alias("_page")).mapInArrow(prints, "_host string, _page long, _code long")
-    sizes = rows.groupBy("_host").agg(F.count("*").alias("_pages"))
-    counted = printed.groupBy("_host", "_code").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least_pages)
-    recurring = cut(counted.join(sizes, "_host").filter(F.col("_n") >= least_share * F.col("_pages")).select("_code"))
+    printed = rows.select("_host", "_html", page_key.alias("_page")).mapInArrow(prints, "_host string, _page long, _text long, _code long")
+    once = printed.select("_host", "_text", "_code").distinct()
+    sizes = once.groupBy("_host", "_text").agg(F.count("_code").alias("_codes")).groupBy("_host").agg(F.count("*").alias("_pages"))
+    counted = once.groupBy("_host", "_code").agg(F.count("*").alias("_n")).filter((F.col("_n") >= least_pages) & (F.col("_code") >= 0))
+    often = (F.col("_n") >= enough_pages) | (F.col("_n") >= least_share * F.col("_pages"))
+    recurring = cut(counted.join(sizes, "_host").filter(often).select("_code"))
     if recurring.count() <= broadcast_rows:
         shared = pages.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in recurring.toLocalIterator()))
         given = rows.select("_id", "_url", "_html", "_host", F.lit(None).cast("array<bigint>").alias("_marks"))

@@ -173,6 +173,20 @@ def test_templates_go_and_articles_stay(spark):
         assert got[20] == "" and got[None] == "" and len(got) == 10
 
 
+def test_articles_and_copied_pages_are_no_template(spark):
+    table = lambda k: f"<div><article><div><h1>Item {k}</h1><table><tr><th>Feature<td>Yes</table><ul><li>fast</ul></div></article></div><div>Legal words</div>"
+    rows = [(k, "https://a.example/", table(k)) for k in range(5)]
+    rows += [(10 + k, "https://b.example/", "<div><h1>Copied</h1><p>One story</div>") for k in range(3)]
+    rows += [(20 + k, "https://c.example/", f"<div><p>Story {k}</div><div>Rare box</div>" if k < 3 else f"<p>Story {k}") for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got[2] == "Item 2\nFeature\nYes\nfast"
+    assert got[11] == "Copied\nOne story"
+    assert got[20] == "Story 0\nRare box"
+    got = {r.page_id: r.text for r in html_extract.extract(pages, enough_pages=3).collect()}
+    assert got[20] == "Story 0"
+
+
 def test_parser_survives_broken_markup():
     assert html_extract.main_text("<article><p>in <b>bold<p>next<ul><li>1<li>2</ul></article><footer>no</footer>") == "in bold\nnext\n1\n2"
     assert html_extract.main_text("<div>" * 3000 + "deep") == "deep"
