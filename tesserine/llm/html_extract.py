@@ -29,14 +29,16 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot li dd dt option legend summary figcaption".split())
 SCOPE = frozenset("table td th caption html body template button object".split())
-# What is never main text, by element name, role and words of class or id.
+# What is never main text, by element name, role, parts of a class or id, and whole classes or ids.
 NEVER = frozenset("head script style noscript template iframe object svg canvas nav header footer aside form menu button select textarea input dialog audio video math title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar advertisement".split())
-JUNK = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs "
-    "header masthead footer sidebar aside widget widgets comment comments respond reply replies discussion disqus notice notices cookie cookies consent gdpr "
-    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager toc skip".split()
+JUNK_PARTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo breadcrumb breadcrumbs masthead disqus cookie cookies consent gdpr popup newsletter".split())
+JUNK = JUNK_PARTS | frozenset(
+    "promotion banner nav navbar navigation menu submenu header footer sidebar aside widget widgets comment comments respond reply replies discussion notice notices "
+    "modal overlay subscribe subscription signup login share sharing social related recommended pagination pager toc skip".split()
 )
+# Never dropped for a class, id or role; nor is what holds an article or main.
+KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z!?])(?:[^>]*>|.*\Z)|[^<]+|<", re.S
@@ -52,21 +54,22 @@ class Node:
     drop: bool = False
     parent: Node | None = None
     core: bool = False  # is or holds an article or main
+    marked: bool = False  # dropped for a class, id or role alone
     children: list = field(default_factory=list)
 
 
-def _judged(tag: str, attributes: str) -> tuple[str, bool]:
-    """What of an element's attributes counts in its hash, and whether the element can't be main text."""
+def _judged(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """What of an element's attributes counts in its hash, whether the element can't be main text, and whether only for its class, id or role."""
     drop = tag in NEVER
     if not attributes.strip():
-        return "", drop
+        return "", drop, False
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     marks = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().strip()
-    if marks:
-        drop = drop or bool(JUNK.intersection(_WORDS.findall(marks))) or found.get("role", "").lower() in ROLES
+    marked = bool(marks) and tag not in KEPT and (bool(JUNK.intersection(marks.split()) or JUNK_PARTS.intersection(_WORDS.findall(marks))) or found.get("role", "").lower() in ROLES)
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-    return marks, (drop or hidden) and tag not in ("html", "body", "main")
+    drop = (drop or hidden) and tag not in ("html", "body", "main")
+    return marks, drop or marked, marked and not drop
 
 
 def parse(page: str) -> Node:
@@ -105,13 +108,13 @@ def parse(page: str) -> Node:
                 elif at.tag in BLOCK and at.tag not in peers and not peers:
                     break
                 at = at.parent
-        marks, drop = _judged(name, attributes)
-        node = Node(name, marks, drop, top)
+        marks, drop, marked = _judged(name, attributes)
+        node = Node(name, marks, drop, top, marked=marked)
         top.children.append(node)
         if name in ("article", "main"):
             at = node
             while at is not None and not at.core:
-                at.core, at = True, at.parent
+                at.core, at.drop, at = True, at.drop and not at.marked, at.parent
         if name in VOID or attributes.rstrip().endswith("/") and name in ("svg", "path"):
             continue
         top = node

@@ -187,6 +187,16 @@ def test_articles_and_copied_pages_are_no_template(spark):
     assert got[20] == "Story 0"
 
 
+def test_furniture_words_never_take_an_article_or_a_heading():
+    text = html_extract.main_text
+    assert text("<div class='layout has-sidebar'><article><p>one</article></div>") == "one"
+    assert text("<div class='sidebar'><article><p>one</article></div>") == "one"
+    assert text("<div id='content-sidebar-wrap'><p>one</div><div class='sidebar'>two</div>") == "one"
+    assert text("<article class='post comments-open related'><h1 class='post-header header'>Title</h1><p>one</article>") == "Title\none"
+    assert text("<div class='header-and-content'><p>one</div><div class='ad-slot'>two</div><div role='banner'>three</div>") == "one"
+    assert text("<div hidden><article>one</article></div><p>two") == "two"
+
+
 def test_parser_survives_broken_markup():
     assert html_extract.main_text("<article><p>in <b>bold<p>next<ul><li>1<li>2</ul></article><footer>no</footer>") == "in bold\nnext\n1\n2"
     assert html_extract.main_text("<div>" * 3000 + "deep") == "deep"
