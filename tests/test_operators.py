@@ -144,3 +144,23 @@ def test_whole_query_sets_hold_every_fiftieth_row(spark, small):
     for key in ("knn_cosine", "knn_multi_collection", "rrf_weighted"):
         ids = {r.query_id for r in registry.queries()[f"{key}_whole"](spark, small).select("query_id").distinct().collect()}
         assert ids == set(range(0, 500, 50))
+
+
+def test_sentences_with_abbreviations_are_ranked(spark, small):
+    import re
+
+    from tesserine import registry
+    from tesserine.plans import texts
+
+    registry.load()
+    docs = spark.createDataFrame([(-1, "See Dr. Smith, e.g. the other one. The end of the day! No. 5 vs. the rest etc. of the lot? Yes."), (-2, None), (-3, " ")], "doc_id long, text string")
+    docs = docs.union(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
+    want = set()
+    for doc, text in docs.collect():
+        held = re.sub(r"\b(e\.g|i\.e|etc|vs|Dr|No)\.", "\\1\x01", text or "", flags=re.A)
+        parts = [s.strip(" ").replace("\x01", ".") for s in re.split("\x02", re.sub(r"([.!?])[ \t\n\x0b\f\r]+", "\\1\x02", held))]
+        rated = [(-(s.lower().count("the") + (40 <= len(s) <= 200)), i + 1) for i, s in enumerate(s for s in parts if s)]
+        want |= {(doc, place, -minus) for minus, place in sorted(rated)[:3]}
+    assert {tuple(r) for r in texts.top_sentences(docs).collect()} == want
+    all_docs = {doc for doc, *_ in want if doc >= 0}
+    assert {r.doc_id for r in registry.queries()["sentence_top_whole"](spark, small).collect()} == all_docs
