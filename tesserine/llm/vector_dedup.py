@@ -55,6 +55,36 @@ def fit_quantiser(unit: np.ndarray, chunk: int = 16, rounds: int = 50, seed: int
     return Quantiser(mean, basis @ rotation, chunk)
 
 
+def fit_quantisers(unit: np.ndarray, chunk: int, least: float, radius: int, missed: float = 0.001, most: int = 16, trials: int = 20_000) -> tuple[list[Quantiser], int, float]:
+    """Quantisers with other rotations until few pairs escape all of them; the radius; the share that escapes.
+
+    The share is measured on sample vectors, each paired with a vector at a cosine
+    of exactly ``least`` to it: half of these lie in a random direction, half in that
+    of a difference of sample vectors; the worse half counts.  The radius grows until
+    it drops at most a tenth of ``missed``.  Centring shrinks the vectors but not
+    their differences, so a strong common mean calls for more quantisers.
+    """
+    found = [fit_quantiser(unit, chunk)]
+    if len(unit) < 2 or unit.shape[1] < 2:
+        return found, max(radius, found[0].bits), 0.0
+    rng = np.random.default_rng(11)
+    x = unit[rng.integers(len(unit), size=trials)]
+    away = rng.standard_normal(x.shape)
+    away[::2] = (unit[rng.integers(len(unit), size=trials)] - unit[rng.integers(len(unit), size=trials)])[::2] + 1e-6 * away[::2]
+    away -= (away * x).sum(1, keepdims=True) * x
+    y = least * x + np.sqrt(max(1 - least * least, 0)) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    escaped = np.ones(trials, bool)
+    while True:
+        apart = np.bitwise_count(found[-1].codes(x) ^ found[-1].codes(y)).astype(np.int64)
+        whole = apart.sum(1)
+        radius = max(radius, *(int(np.quantile(whole[k::2], 1 - missed / 10, method="higher")) for k in (0, 1)))
+        escaped &= ~((apart.min(1) <= 2) & (whole <= radius))
+        share = float(max(escaped[::2].mean(), escaped[1::2].mean()))
+        if share <= missed or len(found) == most:
+            return found, radius, share
+        found.append(fit_quantiser(unit, chunk, seed=7 + len(found)))
+
+
 def _vectors(column: pa.Array) -> tuple[list[np.ndarray], list[int]]:
     """Unit vectors of the rows that have one, and their row numbers; null, zero, empty or not finite ones have none."""
     good, rows = [], []
@@ -81,7 +111,8 @@ def links(
 
     The rotation is fitted on at most ``sample_rows`` classes, those with the
     smallest hashes; every class is indexed.  Codes are cut into chunks of
-    ``chunk`` bits, a table each.  Both sides of a pair enter a table under their
+    ``chunk`` bits, a table each, under as many rotations as ``fit_quantisers`` finds
+    needed; it may also raise ``radius``.  Both sides of a pair enter a table under their
     own chunk and all chunks one bit away, so chunks up to two bits apart meet;
     pairs whose whole codes differ in more than ``radius`` bits are dropped
     before the original vectors decide.
@@ -97,7 +128,8 @@ def links(
     width = size[0] if size else 1
     sample = classes.filter(F.size("_vector") == width).orderBy(F.xxhash64("_key"), "_rep").limit(sample_rows).select("_vector").toArrow()
     unit, _ = _vectors(sample.column(0).combine_chunks())
-    quantiser = fit_quantiser(np.array(unit).reshape(len(unit), width), chunk)
+    quantisers, radius, _ = fit_quantisers(np.array(unit).reshape(len(unit), width), chunk, least, radius)
+    quantiser = quantisers[0]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = np.r_[0, 1 << np.arange(quantiser.chunk, dtype=np.int64)]
@@ -108,39 +140,40 @@ def links(
                 by_width.setdefault(len(v), []).append(k)
             for n, ks in by_width.items():
                 block, at = np.array([unit[k] for k in ks]), np.array([rows[k] for k in ks])
-                if n == width:
-                    codes = quantiser.codes(block)
-                else:  # another width can't be compared with the rotation: one table by width, decided by the vectors
-                    codes = np.zeros((len(at), quantiser.tables), np.int64)
-                shifts = np.arange(quantiser.tables, dtype=np.uint64) * np.uint64(quantiser.chunk)
-                whole = pa.array(np.bitwise_or.reduce(codes.astype(np.uint64) << shifts, axis=1).view(np.int64))
-                keys = codes[:, :, None] ^ near[None, None, :] | n << 20
-                take = pa.array(np.repeat(np.arange(len(at)), quantiser.tables * len(near)))
-                table = pa.array(np.tile(np.repeat(np.arange(quantiser.tables, dtype=np.int32), len(near)), len(at)))
-                rep, label = batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([rep.take(take), label.take(take), table, pa.array(keys.reshape(-1)), whole.take(take)], ["_rep", "_label", "_table", "_cell", "_code"])
-
-    cells = classes.select("_rep", "_label", "_vector").mapInArrow(index, "_rep long, _label long, _table int, _cell long, _code long")
+                for group, own in enumerate(quantisers if n == width else quantisers[:1]):
+                    if n == width:
+                        codes = own.codes(block)
+                    else:  # another width can't be compared with the rotation: one table by width, decided by the vectors
+                        codes = np.zeros((len(at), quantiser.tables), np.int64)
+                    shifts = np.arange(quantiser.tables, dtype=np.uint64) * np.uint64(quantiser.chunk)
+                    whole = pa.array(np.bitwise_or.reduce(codes.astype(np.uint64) << shifts, axis=1).view(np.int64))
+                    keys = codes[:, :, None] ^ near[None, None, :] | n << 20
+                    take = pa.array(np.repeat(np.arange(len(at)), quantiser.tables * len(near)))
+                    table = pa.array(np.tile(np.repeat(np.arange(quantiser.tables, dtype=np.int32), len(near)), len(at)))
+                    rep, label = batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([rep.take(take), label.take(take), table, pa.array(np.full(len(take), group, np.int32)), pa.array(keys.reshape(-1)), whole.take(take)], ["_rep", "_label", "_table", "_group", "_cell", "_code"])
+
+    cells = classes.select("_rep", "_label", "_vector").mapInArrow(index, "_rep long, _label long, _table int, _group int, _cell long, _code long")
     return classes, members, _rerank(_candidates(cells, quantiser.chunk, radius), classes, least)
 
 
 def _candidates(cells: DataFrame, chunk: int, radius: int) -> DataFrame:
     """Pairs ``x < y`` that meet in a table, each once.
 
-    Two codes may meet in several tables and cells.  The pair counts only in its
+    Two codes of one rotation may meet in several tables and cells.  The pair counts only in its
     first table with chunks at most two bits apart, there in the cell of ``x``, or,
     at two bits, in the cell that differs from ``x`` in the lower of them.
     """
-    one = cells.select("_label", "_table", "_cell", F.col("_rep").alias("x"), F.col("_code").alias("cx"))
-    two = cells.select("_label", "_table", "_cell", F.col("_rep").alias("y"), F.col("_code").alias("cy"))
+    one = cells.select("_label", "_table", "_group", "_cell", F.col("_rep").alias("x"), F.col("_code").alias("cx"))
+    two = cells.select("_label", "_table", "_group", "_cell", F.col("_rep").alias("y"), F.col("_code").alias("cy"))
     mask = (1 << chunk) - 1
     apart = f"bit_count(shiftrightunsigned(cx ^ cy, {chunk} * {{t}}) & {mask}L)"
     earlier = " and ".join(f"(_table <= {t} or {apart.format(t=t)} > 2)" for t in range(64 // chunk - 1)) or "true"
     part = f"(shiftrightunsigned(cx ^ cy, {chunk} * _table) & {mask}L)"
     own = f"((_cell & {mask}L) ^ (shiftrightunsigned(cx, {chunk} * _table) & {mask}L))"
     place = f"case when bit_count({part}) <= 1 then {own} = 0 else {own} = ({part} & -{part}) end"
-    met = one.join(two, ["_label", "_table", "_cell"])
-    return met.filter("x < y").filter(F.expr(f"bit_count(cx ^ cy) <= {radius}")).filter(F.expr(place)).filter(F.expr(earlier)).select("x", "y")
+    met = one.join(two, ["_label", "_table", "_group", "_cell"])
+    return met.filter("x < y").filter(F.expr(f"bit_count(cx ^ cy) <= {radius}")).filter(F.expr(place)).filter(F.expr(earlier)).select("x", "y").distinct()
 
 
 def _rerank(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:

@@ -297,6 +297,25 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[i] == (0, i, True) for i in (400, 401, 402, 403, 404, 405)) and got[None] == (0, None, True)
 
 
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.7])
+def test_vector_recall_with_a_common_mean(spark, common):
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(np.sqrt(common) * unit(np.ones(64)) + np.sqrt(1 - common) * unit(rng.standard_normal((1000, 64))))
+    away = rng.standard_normal(x.shape)
+    away = unit(away - (away * x).sum(1, keepdims=True) * x)
+    y = 0.9305 * x + np.sqrt(1 - 0.9305**2) * away
+    ids = np.r_[50 * np.arange(1000), 50 * np.arange(1000) + 1]
+    every = np.r_[x, y]
+    rows = [(int(i), 0, v.tolist()) for i, v in zip(ids, every, strict=True)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
+    got = {(r.x, r.y) for r in vector_dedup.links(vectors)[2].collect()}
+    near = np.argwhere(x @ every.T >= 0.93)
+    want = {tuple(sorted((int(ids[q]), int(ids[p])))) for q, p in near if ids[q] != ids[p]}  # queries: ids divisible by 50
+    print("recall", common, len(want & got) / len(want))
+    assert len(want & got) >= 0.995 * len(want) and len(want) >= 1000
+
+
 def test_words_and_hashes_do_not_cross_rows():
     import pyarrow as pa
 
