@@ -14,6 +14,12 @@ def pack_group(items: pd.DataFrame, budgets: dict[str, int], cap: int) -> pd.Dat
 
     ``items``: ``item_id, slot, score, tokens``; ties go by id.
     """
+    kept = fill_slots(items, budgets)
+    return kept[kept["tokens"].cumsum() <= cap]
+
+
+def fill_slots(items: pd.DataFrame, budgets: dict[str, int]) -> pd.DataFrame:
+    """What the slots take, best first, before the hard cap."""
     items = items.sort_values(["score", "item_id"], ascending=[False, True], kind="stable")
     budget = dict(budgets)
     taken: dict[str, list[int]] = {}
@@ -38,15 +44,32 @@ def pack_group(items: pd.DataFrame, budgets: dict[str, int], cap: int) -> pd.Dat
         for s in full:
             budget[s] += spare // len(full)
             used[s] = fill(s)
-    kept = items.loc[[i for own in taken.values() for i in own]].sort_values(["score", "item_id"], ascending=[False, True], kind="stable")
-    return kept[kept["tokens"].cumsum() <= cap]
+    return items.loc[[i for own in taken.values() for i in own]].sort_values(["score", "item_id"], ascending=[False, True], kind="stable")
 
 
 def pack(items: DataFrame, budgets: dict[str, int], cap: int) -> DataFrame:
-    """``query_id, item_id, slot, score, tokens`` that fit, query by query (greedy with skips is no running sum)."""
+    """``query_id, item_id, slot, score, tokens`` that fit, query by query (greedy with skips is no running sum).
+
+    A size once refused never fits again, so of each size only the best ``total
+    budget / tokens`` items of a slot can be taken, and only these are grouped.
+    Items without tokens always fit their slot; they stay out of the groups and go
+    only where the hard cap came before them.
+    """
     columns = ["query_id", "item_id", "slot", "score", "tokens"]
-    one = lambda pdf: pack_group(pdf, budgets, cap)[columns]
-    return items.select(*columns).groupBy("query_id").applyInPandas(one, items.select(*columns).schema)
+    own = items.select(*columns).filter(F.col("slot").isin(*budgets))
+    rank = F.row_number().over(Window.partitionBy("query_id", "slot", "tokens").orderBy(F.desc_nulls_last("score"), "item_id"))
+    few = own.filter(F.col("tokens") > 0).withColumn("_r", rank).filter(F.col("_r") * F.col("tokens") <= sum(budgets.values())).drop("_r")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        taken = fill_slots(group, budgets)
+        over = taken["tokens"].cumsum() > cap
+        return pd.concat([taken[~over], taken[over].head(1)])[columns].assign(_over=[False] * int((~over).sum()) + [True] * int(over.any()))
+
+    packed = few.groupBy("query_id").applyInPandas(one, few.select(*columns, F.lit(False).alias("_over")).schema)
+    first = packed.filter("_over").select(F.col("query_id").alias("_q"), F.col("score").alias("_s"), F.col("item_id").alias("_i"))
+    zero = own.filter(F.col("tokens") == 0).join(first, F.col("query_id").eqNullSafe(F.col("_q")), "left")
+    before = F.expr("_i is null or score > _s or (score is not null and _s is null) or (score <=> _s and item_id < _i)")
+    return packed.filter("not _over").select(*columns).unionByName(zero.filter(before).select(*columns))
 
 
 def running_budget(items: DataFrame, budget: int) -> DataFrame:

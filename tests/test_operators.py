@@ -164,3 +164,24 @@ def test_sentences_with_abbreviations_are_ranked(spark, small):
     assert {tuple(r) for r in texts.top_sentences(docs).collect()} == want
     all_docs = {doc for doc, *_ in want if doc >= 0}
     assert {r.doc_id for r in registry.queries()["sentence_top_whole"](spark, small).collect()} == all_docs
+
+
+def test_pack_bounds_its_groups_and_equals_the_whole_group(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n = 4000
+    items = pd.DataFrame({"query_id": np.where(np.arange(n) % 3, 1, np.arange(n) % 40), "item_id": np.arange(n), "slot": rng.choice(["a", "b", "c"], n), "score": rng.integers(0, 50, n) * 1.0, "tokens": rng.choice([0, 0, 7, 30, 45, 300], n)})
+    budgets = {"a": 100, "b": 150, "d": 80}
+    for cap in (60, 1000):
+        want = {(q, i) for q, own in items.groupby("query_id") for i in packing.pack_group(own, budgets, cap)["item_id"]}
+        got = packing.pack(spark.createDataFrame(items), budgets, cap).collect()
+        assert len(got) == len(want) and {(r.query_id, r.item_id) for r in got} == want
+    whole = packing.fill_slots
+
+    def bounded(group, budgets):
+        assert len(group) < 300
+        return whole(group, budgets)
+
+    monkeypatch.setattr(packing, "fill_slots", bounded)
+    packing.pack(spark.createDataFrame(items), budgets, 60).collect()
