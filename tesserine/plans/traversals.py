@@ -186,12 +186,18 @@ def topo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select item_id, r_name as name from benchmark, region where contains(lower(text), lower(r_name)) union all select item_id, w from (select item_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) as w from benchmark) where w in ('the', 'of')",
 )
 def text_mention_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links from texts to the names they mention: the few names go along as a literal list, the texts are scanned once."""
-    names = [r[0] for r in table(spark, sf_dir, "region").select("r_name").orderBy("r_name").limit(1000).collect()]
-    texts = table(spark, sf_dir, "benchmark")
-    inside = F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(F.lower("text"), F.lower(n)))
+    """Links from texts to the names they mention."""
+    return mentions(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "region").select(F.col("r_name").alias("name")))
+
+
+def mentions(texts: DataFrame, names: DataFrame, block: int = 1000) -> DataFrame:
+    """``item_id, name`` of all names in each text, and of two fixed words: names meet the texts in lists of about ``block``."""
+    blocks = max(-(-names.count() // block), 1)
+    lists = names.groupBy(F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).alias("_block")).agg(F.collect_list("name").alias("_names")).select("_names")
+    inside = F.filter("_names", lambda n: F.contains(F.lower("text"), F.lower(n)))
     words = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))), lambda w: w.isin("the", "of"))
-    return texts.select("item_id", F.explode(F.concat(inside, words)).alias("name"))
+    named = texts.select("item_id", "text").crossJoin(lists).select("item_id", F.explode(inside).alias("name"))
+    return named.unionByName(texts.select("item_id", F.explode(words).alias("name")))
 
 
 @register(

@@ -185,3 +185,11 @@ def test_pack_bounds_its_groups_and_equals_the_whole_group(spark, monkeypatch):
 
     monkeypatch.setattr(packing, "fill_slots", bounded)
     packing.pack(spark.createDataFrame(items), budgets, 60).collect()
+
+
+def test_mentions_of_more_than_a_thousand_names(spark):
+    from tesserine.plans.traversals import mentions
+
+    texts = spark.createDataFrame([(1, "see n0007x and N1499X of it"), (2, None)], "item_id long, text string")
+    names = spark.createDataFrame([(f"n{i:04}x",) for i in range(1500)] + [("n1499x",), (None,)], "name string")
+    assert sorted(tuple(r) for r in mentions(texts, names).collect()) == [(1, "n0007x"), (1, "n1499x"), (1, "n1499x"), (1, "of")]
