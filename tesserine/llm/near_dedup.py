@@ -176,7 +176,7 @@ def _bands(classes: DataFrame, sketch: Sketch) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch, least: float) -> DataFrame:
-    """Pairs ``x, y`` whose estimated similarity is at least ``least``."""
+    """Pairs ``x, y`` (and their sets' sizes ``nx, ny``) whose estimated similarity is at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,61 +184,162 @@ def _likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch, least: float)
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
             nx, ny = (batch.column(i).to_numpy().astype(float) for i in (4, 5))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(likely_similarity(x, y, nx, ny, sketch) >= least))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1, 4, 5)], ["x", "y", "nx", "ny"]).filter(pa.array(likely_similarity(x, y, nx, ny, sketch) >= least))
 
     one = classes.select(F.col("_rep").alias("x"), F.col("_sketch").alias("sx"), F.col("_n").alias("nx"))
     two = classes.select(F.col("_rep").alias("y"), F.col("_sketch").alias("sy"), F.col("_n").alias("ny"))
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(run, "x long, y long")
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(run, "x long, y long, nx long, ny long")
+
+
+def _pairs(band: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, most: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows to compare, at most about ``most`` at a time; rows come sorted by band, block pair and own block."""
+    n = len(band)
+    if not n:
+        return
+    head = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+    size = np.diff(np.r_[head, n])
+    small = (size <= 64) & (low[head] == high[head])
+    for k in np.unique(size[small & (size > 1)]):
+        i, j = np.triu_indices(int(k), 1)
+        starts = head[small & (size == k)]
+        step = max(most // len(i), 1)
+        for at in range(0, len(starts), step):
+            base = starts[at : at + step, None]
+            yield (base + i).ravel(), (base + j).ravel()
+    for at, k in zip(head[~small], size[~small], strict=True):
+        rows = np.arange(at, at + k)
+        if low[at] == high[at]:
+            for r in rows[:-1]:
+                yield np.full(at + k - r - 1, r), np.arange(r + 1, at + k)
+        else:
+            one, two = rows[own[rows] == low[at]], rows[own[rows] == high[at]]
+            for r in one if len(two) else []:
+                yield np.full(len(two), r), two
+
+
+def _candidates(table: pa.Table, sketch: Sketch, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of a group's rows, and pairs of places in it: likely similar, in different components, here in the first band that they share."""
+    names = ("_band", "_lo", "_hi", "_own", "_in", "_n")
+    band, low, high, own, inside, size = (table.column(c).to_numpy() for c in names)
+    order = np.lexsort((own, high, low, band))
+    band, low, high, own, inside, size = (x[order] for x in (band, low, high, own, inside, size))
+    regs = np.frombuffer(b"".join(table.column("_sketch").to_pylist()), np.uint16).reshape(len(order), -1)[order]
+    found = []
+    groups = sketch.m // sketch.rows
+    for i, j in _pairs(band, low, high, own):
+        apart = inside[i] != inside[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            continue
+        same = regs[i] == regs[j]
+        near = same.sum(1) >= sketch.m * (least - 0.02)
+        i, j, same = i[near], j[near], same[near]
+        if not len(i):
+            continue
+        good = likely_similarity(regs[i], regs[j], size[i].astype(float), size[j].astype(float), sketch) >= least
+        i, j, same = i[good], j[good], same[good]
+        if len(i):
+            first = np.logical_and.reduce([same[:, r :: sketch.rows][:, :groups] for r in range(sketch.rows)]).argmax(1)
+            here = band_codes(regs[i].astype(np.uint64), sketch)[np.arange(len(i)), first] == band[i]
+            found.append(np.stack([i[here], j[here]]))
+    i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return order, i, j
+
+
+class _Sets:
+    """Sorted sets of hashes as numbers, to count what one shares with many others."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.sizes = np.array([len(b) // 8 for b in blobs], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        known, numbers = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)
+        self.numbers, self.marked = numbers.astype(np.int32), np.zeros(len(known), bool)
+
+    def own(self, k: int) -> np.ndarray:
+        return self.numbers[self.ends[k] - self.sizes[k] : self.ends[k]]
 
+    def similar(self, one: int, others: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+        mine = self.own(one)
+        self.marked[mine] = True
+        both = np.array([np.count_nonzero(self.marked[self.own(k)]) for k in others.tolist()], np.int64)
+        self.marked[mine] = False
+        return both * similarity[1] >= (len(mine) + self.sizes[others] - both) * similarity[0]
 
-def _across(placed: DataFrame, classes: DataFrame, sketch: Sketch, least: float, block: int = 1000) -> DataFrame:
-    """Pairs ``x < y`` that share a band, lie in different components and are likely similar, each once.
+
+def _across(placed: DataFrame, classes: DataFrame, rows: DataFrame, width: int, similarity: tuple[int, int], sketch: Sketch, least: float, block: int = 1000, block_bytes: int = 8_000_000) -> DataFrame:
+    """Links ``x, y`` that join different components, enough of them to connect all that pairs sharing a band can.
 
     ``placed`` has ``_band, _rep, _in``.  A bucket with several components is dealt
-    to tasks as pairs of blocks of about ``block`` classes; a task compares the
-    registers of two blocks and returns only pairs that pass, in the first band
-    that they share.  So the pairs of a large bucket are compared, never listed.
+    out as pairs of blocks, each of about ``block`` classes and ``block_bytes`` of
+    sets; block pairs are packed into groups of even size.  First the registers of
+    a group's block pairs are compared, and only classes with a likely partner in
+    another component go on, one row for each block pair.  Then their full sets
+    meet in the same blocks and decide every likely pair whose classes are not yet
+    connected.  So pairs are compared inside tasks, never listed.
     """
-    groups = sketch.m // sketch.rows
-    split = placed.groupBy("_band").agg(F.min("_in").alias("_a"), F.max("_in").alias("_b"), F.count("*").alias("_size")).filter("_a <> _b")
-    mine = placed.join(split.select("_band", F.ceil(F.col("_size") / block).cast("int").alias("_blocks")), "_band")
-    own = F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int")
-    dealt = (
-        mine.withColumn("_own", own)
-        .join(classes.select("_rep", "_sketch", "_n"), "_rep")
+    held = placed.join(classes.select("_rep", "_n"), "_rep")
+    split = (
+        held.groupBy("_band").agg(F.min("_in").alias("_a"), F.max("_in").alias("_b"), F.count("*").alias("_size"), F.sum("_n").alias("_total")).filter("_a <> _b")
+        .select("_band", F.ceil(F.greatest(F.col("_size") / block, F.col("_total") * 8 / block_bytes)).cast("int").alias("_blocks"))
+    )
+    dealt = cut(
+        held.join(split, "_band")
+        .withColumn("_own", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
-        .withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")})
-        .select("_band", "_lo", "_hi", "_own", "_rep", "_in", "_sketch", "_n")
+        .select("_band", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "_own", "_rep", "_in", "_n")
     )
 
-    def compare(table: pa.Table) -> pa.Table:
-        low, high, own, rep, inside, size = (table.column(c).to_numpy() for c in ("_lo", "_hi", "_own", "_rep", "_in", "_n"))
-        regs = np.frombuffer(b"".join(table.column("_sketch").to_pylist()), np.uint16).reshape(len(rep), -1)
-        one = np.flatnonzero(own == low[0])
-        two = one if low[0] == high[0] else np.flatnonzero(own == high[0])
-        found = []
-        for at in range(0, len(one), 32):
-            rows = one[at : at + 32]
-            alike = (regs[rows][:, None, :] == regs[two][None, :, :]).sum(2)
-            i, j = np.nonzero((alike >= sketch.m * (least - 0.02)) & (inside[rows][:, None] != inside[two][None, :]))
-            i, j = rows[i], two[j]
-            found.append(np.stack([i, j])[:, (rep[i] < rep[j]) if low[0] == high[0] else np.ones(len(i), bool)])
-        i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        if len(i):
-            good = likely_similarity(regs[i], regs[j], size[i].astype(float), size[j].astype(float), sketch) >= least
-            i, j = i[good], j[good]
-        if len(i):
-            bands = (regs[i] == regs[j])[:, : groups * sketch.rows].reshape(len(i), groups, sketch.rows).all(2)
-            here = band_codes(regs[i].astype(np.uint64), sketch) == table.column("_band")[0].as_py()
-            first = bands.argmax(1)
-            i, j = i[here[np.arange(len(i)), first]], j[here[np.arange(len(j)), first]]
-        return pa.table({"x": np.minimum(rep[i], rep[j]), "y": np.maximum(rep[i], rep[j])})
-
-    return dealt.groupBy("_band", "_lo", "_hi").applyInArrow(compare, "x long, y long")
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs whose full shingle sets have intersection * ``similarity[1]`` >= union * ``similarity[0]``."""
+    def packed_groups(members: DataFrame, most_rows: int) -> DataFrame:
+        n, total = members.agg(F.count("*"), F.sum("_n")).first()
+        groups = max(256, n // most_rows, (total or 0) * 8 // block_bytes)
+        return members.withColumn("_group", F.pmod(F.xxhash64("_band", "_lo", "_hi"), F.lit(groups)))
+
+    def likely(table: pa.Table) -> pa.Table:
+        order, i, j = _candidates(table, sketch, least)
+        go = order[np.unique(np.concatenate([i, j]))]
+        return table.select(["_band", "_lo", "_hi", "_own", "_rep", "_in", "_n"]).take(pa.array(go))
+
+    def decide(table: pa.Table) -> pa.Table:
+        order, i, j = _candidates(table, sketch, least)
+        blobs = table.column("_set").to_pylist()
+        sets = _Sets([blobs[k] for k in order])
+        rep, inside = table.column("_rep").to_numpy()[order], table.column("_in").to_numpy()[order].tolist()
+        lead = {c: c for c in inside}
+
+        def top(c: int) -> int:
+            while lead[c] != c:
+                lead[c] = c = lead[lead[c]]
+            return c
+
+        out: list[tuple[int, int]] = []
+        by_first = np.argsort(i, kind="stable")
+        i, j = i[by_first], j[by_first]
+        heads = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+        for a, b in zip(heads, [*heads[1:], len(i)], strict=True) if len(i) else []:
+            x = int(i[a])
+            mine = top(inside[x])
+            open_ = np.array([y for y in j[a:b].tolist() if top(inside[y]) != mine], np.int64)
+            if len(open_):
+                for y in open_[sets.similar(x, open_, similarity)].tolist():
+                    if top(inside[y]) != top(inside[x]):
+                        lead[top(inside[y])] = top(inside[x])
+                        out.append((int(rep[x]), int(rep[y])))
+        x, y = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"x": x, "y": y})
+
+    names = "_band long, _lo int, _hi int, _own int, _rep long, _in long, _n long"
+    seen = packed_groups(dealt, 20_000).join(classes.select("_rep", "_sketch"), "_rep")
+    chosen = cut(seen.groupBy("_group").applyInArrow(likely, names))
+    full = packed_groups(chosen, 20_000).join(classes.select("_rep", "_sketch"), "_rep").join(_sets(rows, chosen.select("_rep"), width), "_rep")
+    return full.groupBy("_group").applyInArrow(decide, "x long, y long")
+
+
+def _sets(rows: DataFrame, needed: DataFrame, width: int, broadcast_ids: int = 4_000_000) -> DataFrame:
+    """``_rep, _set``: the sorted shingle hashes of the rows whose id is in ``needed``.
+
+    Up to ``broadcast_ids`` ids go to the texts' scan, so texts are not shuffled;
+    more are joined by a shuffle.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,20 +349,46 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, similarity: tuple[i
                 blobs = [hashes[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(blobs, pa.binary())], ["_rep", "_set"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(shared * similarity[1] >= (len(both) - shared) * similarity[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(good, pa.bool_()))
+    ids = cut(needed.distinct())
+    if ids.count() <= broadcast_ids:
+        ids = F.broadcast(ids)
+    return rows.join(ids, "_rep").select("_rep", "_text").mapInArrow(sets, "_rep long, _set binary").filter(F.octet_length("_set") > 0)
+
 
-    needed = pairs.select(F.col("x").alias("_rep")).union(pairs.select(F.col("y").alias("_rep"))).distinct()
-    full = rows.join(needed, "_rep").select("_rep", "_text").mapInArrow(sets, "_rep long, _set binary")
-    one, two = full.withColumnsRenamed({"_rep": "x", "_set": "sx"}), full.withColumnsRenamed({"_rep": "y", "_set": "sy"})
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "sx", "sy").mapInArrow(compare, "x long, y long")
+def _verified(pairs: DataFrame, rows: DataFrame, width: int, similarity: tuple[int, int], block: int = 500, block_bytes: int = 4_000_000) -> DataFrame:
+    """Pairs of a class ``x`` and its centre ``y`` whose full shingle sets have intersection * ``similarity[1]`` >= union * ``similarity[0]``.
+
+    The classes of a centre are dealt into blocks of about ``block`` classes and
+    ``block_bytes`` of sets; each block gets the centre's set once.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        rep, centre = table.column("_rep").to_numpy(), table.column("_centre").to_numpy()
+        block = table.column("_block").to_numpy()
+        order = np.lexsort((rep != centre, block, centre))
+        blobs = table.column("_set").to_pylist()
+        sets = _Sets([blobs[k] for k in order])
+        rep, centre, block = rep[order], centre[order], block[order]
+        heads = np.flatnonzero(np.r_[True, (centre[1:] != centre[:-1]) | (block[1:] != block[:-1])])
+        found = []
+        for a, b in zip(heads, [*heads[1:], len(rep)], strict=True):
+            leads = a + int((rep[a:b] == centre[a]).sum())  # texts of one id are all its own
+            for k in range(a, leads):
+                others = np.arange(leads, b)
+                if len(others):
+                    found.append(others[sets.similar(k, others, similarity)])
+        good = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pa.table({"x": rep[good], "y": centre[good]})
+
+    pairs = cut(pairs)
+    blocks = pairs.groupBy("y").agg(F.max("ny").alias("ny"), F.ceil(F.greatest(F.count("*") / block, F.sum("nx") * 8 / block_bytes)).cast("int").alias("_blocks"))
+    members = pairs.join(blocks.select("y", "_blocks"), "y").select(F.col("y").alias("_centre"), F.pmod(F.xxhash64("x"), F.col("_blocks")).cast("int").alias("_block"), F.col("x").alias("_rep"), F.col("nx").alias("_n"))
+    centres = blocks.select(F.col("y").alias("_centre"), F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_block"), F.col("y").alias("_rep"), F.col("ny").alias("_n"))
+    both = cut(members.union(centres))
+    n, total = both.agg(F.count("*"), F.sum("_n")).first()
+    groups = max(256, n // 2_000, (total or 0) * 8 // block_bytes)
+    full = both.join(_sets(rows, both.select("_rep"), width), "_rep").withColumn("_group", F.pmod(F.xxhash64("_centre", "_block"), F.lit(groups)))
+    return full.groupBy("_group").applyInArrow(compare, "x long, y long")
 
 
 def near_duplicates(
@@ -303,15 +430,13 @@ def near_duplicates(
     weight = crowded.groupBy("_rep").agg(F.sum("_size").alias("_w"))
     centre = crowded.join(weight, "_rep").groupBy("_band").agg(F.min(F.struct(-F.col("_w"), F.col("_rep"))).alias("_c"))
     stars = crowded.join(centre, "_band").select(F.col("_rep").alias("x"), F.col("_c._rep").alias("y")).filter(F.col("x") != F.col("y")).distinct()
-    links = cut(_verified(cut(_likely(stars, classes, sketch, least)), text_of, width, similarity))
+    links = cut(_verified(_likely(stars, classes, sketch, least), text_of, width, similarity))
     first = components(links.union(member.select(F.col("_id").alias("x"), F.col("_rep").alias("y"))), "x", "y")
 
     placed = crowded.join(first.withColumnRenamed("node", "_rep"), "_rep", "left").select("_band", "_rep", F.coalesce("component", "_rep").alias("_in"))
-    more = cut(_across(placed, classes, sketch, least))
-    if not more.isEmpty():
-        extra = cut(_verified(more, text_of, width, similarity))
-        if not extra.isEmpty():
-            first = components(first.select(F.col("node").alias("x"), F.col("component").alias("y")).union(extra), "x", "y")
+    extra = cut(_across(placed, classes, text_of, width, similarity, sketch, least))
+    if not extra.isEmpty():
+        first = components(first.select(F.col("node").alias("x"), F.col("component").alias("y")).union(extra), "x", "y")
 
     out = sketched.join(first.withColumnRenamed("node", "_id"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
     kept = F.coalesce(F.col("_id") == F.col("component"), F.lit(True))
