@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -24,6 +25,7 @@ from .packed import mix64
 
 #: Symbols below all bytes of UTF-8, whose largest is 0xF4: the text's end and the border of segments.
 END, BORDER, SHIFT = 0, 1, 2
+_BYTES = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 
 
 class SymbolQueues:
@@ -102,37 +104,44 @@ def types(text: np.ndarray) -> np.ndarray:
 
 
 def _words(text: np.ndarray, depth: int) -> np.ndarray:
-    """A view of the text: at each place eight symbols as one big-endian number, zeros beyond the end."""
-    padded = np.r_[text, np.zeros(depth + 16, np.uint8)]
-    return np.ndarray((len(text) + depth + 8,), dtype=">u8", buffer=padded, strides=(1,))
+    """At each place eight symbols as one number, the first one highest; zeros beyond the end, as far as ``depth`` reaches."""
+    n = len(text) + depth + 8
+    words = np.zeros(n + 8, np.uint64)
+    words[: len(text)] = text
+    for k in (1, 2, 4):  # pairs, then fours, then eights
+        words[:-k] = words[:-k] << np.uint64(8 * k) | words[k:]
+        words[-k:] = 0
+    return words[:n]
 
 
 def _shared_symbols(words: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """How many of the first ``depth`` symbols two lists of suffixes share, pair by pair."""
     out, live = np.zeros(len(a), np.int64), np.arange(len(a))
     for at in range(0, depth, 8):
-        diff = words[a[live] + at].astype(np.uint64) ^ words[b[live] + at].astype(np.uint64)
-        for k in range(8):
-            out[live] += (diff >> np.uint64(56 - 8 * k)) == 0
+        diff = words[a[live] + at] ^ words[b[live] + at]
+        out[live] += 8 - np.searchsorted(_BYTES, diff, side="right")  # leading bytes that agree
         live = live[diff == 0]
     return np.minimum(out, depth)
 
 
 def _refined(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` symbols (or a few more): groups of equal ones are split eight symbols at a time."""
-    order = places.copy()
-    group = np.zeros(len(places), np.int64)  # of each place in the order: where its group starts
-    for at in range(0, depth, 8):
-        starts = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
-        size = np.diff(np.r_[np.flatnonzero(starts), len(group)])
-        open_ = np.flatnonzero(np.repeat(size > 1, size))
-        if not len(open_):
+    """Suffixes in order of their first ``depth`` symbols (or a few more): groups of equal ones are split by as many further symbols as fit one number with the group's."""
+    order = places[np.argsort(words[places])]
+    key, at = words[order], 8
+    fresh = np.r_[True, key[1:] != key[:-1]] if len(order) else np.zeros(0, bool)  # where a group starts
+    rows = np.arange(len(order))
+    while at < depth and len(rows):
+        crowded = np.r_[~fresh[1:], False] | ~fresh
+        rows, fresh = rows[crowded], fresh[crowded]
+        if not len(rows):
             break
-        key = words[order[open_] + at].astype(np.uint64)
-        again = np.lexsort((key, group[open_])) if at else np.argsort(key)
-        order[open_], key = order[open_][again], key[again]
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (group[open_][1:] != group[open_][:-1])]
-        group[open_] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(open_)), 0))]
+        group = (np.cumsum(fresh) - 1).astype(np.uint64)
+        symbols = (64 - int(group[-1] + np.uint64(1)).bit_length()) // 8
+        key = group << np.uint64(8 * symbols) | words[order[rows] + at] >> np.uint64(64 - 8 * symbols)
+        again = np.argsort(key)
+        order[rows], key = order[rows][again], key[again]
+        fresh = np.r_[True, key[1:] != key[:-1]]
+        at += symbols
     return order
 
 
@@ -144,13 +153,14 @@ def sort_stars(words: np.ndarray, stars: np.ndarray, depth: int) -> tuple[np.nda
     """
     code = np.zeros(len(stars), np.uint64)
     for at in range(0, depth, 8):
-        code = mix64(code ^ words[stars + at].astype(np.uint64))
+        code = mix64(code ^ words[stars + at])
     by_code = np.argsort(code)
     fresh = np.r_[True, np.diff(code[by_code]) != 0] if len(stars) else np.zeros(0, bool)
     heads, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
     mates = stars[by_code]
     leads = mates[heads]
-    if any((words[mates + at] != words[leads[group] + at]).any() for at in range(0, depth, 8)):  # hashes collide: sort all
+    rest, own = mates[~fresh], leads[group[~fresh]]
+    if any((words[rest + at] != words[own + at]).any() for at in range(0, depth, 8)):  # hashes collide: sort all
         mates = leads = stars
         heads = np.arange(len(stars))
     sizes = np.diff(np.r_[heads, len(stars)])
@@ -168,7 +178,7 @@ def sort_stars(words: np.ndarray, stars: np.ndarray, depth: int) -> tuple[np.nda
     return order, shared
 
 
-def equal_windows(text: np.ndarray, depth: int, memory_items: int = 8_000_000) -> list[tuple[np.ndarray, np.ndarray]]:
+def equal_windows(text: np.ndarray, depth: int, memory_items: int = 8_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes in order, by first symbol: pairs of places and whether each shares ``depth`` symbols with the one before.
 
     ``text`` ends with the one END symbol.
@@ -178,7 +188,6 @@ def equal_windows(text: np.ndarray, depth: int, memory_items: int = 8_000_000) -
     words = _words(text, depth)
     order, shared = sort_stars(words, np.flatnonzero(star).astype(np.int32), depth)
     seeds = np.searchsorted(text[order], np.arange(258))
-    out: list[tuple[np.ndarray, np.ndarray]] = []
     with tempfile.TemporaryDirectory() as folder:  # this task's own, gone with it
         queues, larger = SymbolQueues(folder, "l", memory_items), SymbolQueues(folder, "done", memory_items)
         state = _Shared(depth)
@@ -232,5 +241,4 @@ def equal_windows(text: np.ndarray, depth: int, memory_items: int = 8_000_000) -
             if len(l_place) and len(s_place):
                 lcp[len(l_place)] = _shared_symbols(words, l_place[-1:], s_place[-1:], depth)[0]
             if len(place):
-                out.append((place, lcp >= depth))
-    return out
+                yield place, lcp >= depth

@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
+from .common import cut
 from .induced_sort import BORDER, END, SHIFT, equal_windows
 from .repeats import _LATE, _pack_places, _unpack_places, corpus_bytes, keyed, pack, pack_by_part, unpack, with_late
 
 GRAM = 25
 _BASE = 0xC2B2AE3D27D4EB4F
 _SLICE = 500_000
-_SEND = "bucket int, codes binary, seen binary, docs binary, twins binary, sizes binary, places binary, known_docs binary, known_twins binary, known_sizes binary, known_places binary"
+_SEND = "bucket int, codes binary, more binary, docs binary, twins binary, sizes binary, places binary, known_docs binary, known_twins binary, known_sizes binary, known_places binary"
 _SEGMENTS = "shard int, content binary, widths binary, docs binary, twins binary, times binary, lows binary, late_docs binary, late_twins binary, late_sizes binary, late_places binary"
 
 
@@ -51,22 +52,39 @@ def least_hash_runs(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[
     return low[starts], row[starts], starts - offsets[row[starts]], stop - starts
 
 
-def _shared(code: np.ndarray, doc: np.ndarray, twin: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masks over occurrences: in the smallest document of its hash, and hash in several documents (or known to be)."""
+def _shared(code: np.ndarray, doc: np.ndarray, twin: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over occurrences: in the smallest document of its hash; hash in several documents; and, at the first of each hash, occurrences elsewhere and all of them.
+
+    ``more``: further occurrences in other documents, known already.
+    """
     order = np.lexsort((twin, doc, code))
     c, d, t = code[order], doc[order], twin[order]
     head = np.r_[True, c[1:] != c[:-1]] if len(c) else np.zeros(0, bool)
     at = np.flatnonzero(head)
-    lead = np.repeat(at, np.diff(np.r_[at, len(c)]))
+    size = np.diff(np.r_[at, len(c)])
+    lead = np.repeat(at, size)
     inside = (d == d[lead]) & (t == t[lead])
-    many = np.logical_or.reduceat(~inside | seen[order], at)[np.cumsum(head) - 1] if len(c) else inside
     first, wide = np.zeros(len(c), bool), np.zeros(len(c), bool)
-    first[order], wide[order] = inside, many
-    return first, wide
+    others, every = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+    if len(c):
+        apart = np.add.reduceat((~inside).astype(np.int64) + more[order], at)
+        first[order], wide[order] = inside, np.repeat(apart > 0, size)
+        others[order[at]], every[order[at]] = apart, np.add.reduceat(1 + more[order], at)
+    return first, wide, others, every
+
+
+def _deal_code(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of a hash, and its key: the bucket and 40 further bits."""
+    code = packed.mix64(code)
+    bucket = ((code >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+    return bucket, code & np.uint64(2**40 - 1) | bucket.astype(np.uint64) << np.uint64(40)
 
 
-def _shared_runs(docs: DataFrame, width: int, buckets: int, parts: int, hold: int) -> DataFrame:
-    """Runs whose hash occurs in several documents, packed by part; hashes of 40 bits, a false one only costs work later."""
+def _shared_runs(docs: DataFrame, width: int, buckets: int, parts: int, hold: int, hot_runs: int) -> DataFrame:
+    """Runs whose hash occurs in several documents, packed by part; keys of 40 bits and a bucket, a false one only costs work later.
+
+    Keys with at least ``hot_runs`` runs come as the places of rows with part -1.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -75,7 +93,7 @@ def _shared_runs(docs: DataFrame, width: int, buckets: int, parts: int, hold: in
             for at, to in packed.slices(batch.column(0), _SLICE):
                 code, row, place, _ = least_hash_runs(*packed.buffers(batch.column(0).slice(at, to - at)), width)
                 doc, twin = (batch.column(k).slice(at, to - at).to_numpy()[row] for k in (1, 2))
-                held.append((packed.mix64(code), doc, twin, place))
+                held.append((code, doc, twin, place))
                 n += len(code)
                 if n >= hold:
                     yield deal(held)
@@ -85,9 +103,8 @@ def _shared_runs(docs: DataFrame, width: int, buckets: int, parts: int, hold: in
 
     def deal(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         code, doc, twin, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        bucket = ((code >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
-        code = code & np.uint64(2**40 - 1)
-        first, wide = _shared(code | bucket.astype(np.uint64) << np.uint64(40), doc, twin, np.zeros(len(code), bool))
+        bucket, code = _deal_code(code, buckets)
+        first, _, others, _ = _shared(code, doc, twin, np.zeros(len(code), np.int64))
         order = np.argsort(bucket, kind="stable")
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         out: list[list] = [[] for _ in _SEND.split(", ")]
@@ -95,7 +112,7 @@ def _shared_runs(docs: DataFrame, width: int, buckets: int, parts: int, hold: in
             rows = order[bounds[b] : bounds[b + 1]]
             go, known = rows[first[rows]], rows[~first[rows]]
             brief = np.ascontiguousarray(code[go].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-            cells = [int(b), brief, np.packbits(wide[go]).tobytes(), *_pack_places(doc[go], twin[go], place[go]), *_pack_places(doc[known], twin[known], place[known])]
+            cells = [int(b), brief, pack(others[go]), *_pack_places(doc[go], twin[go], place[go]), *_pack_places(doc[known], twin[known], place[known])]
             for column, cell in zip(out, cells, strict=True):
                 column.append(cell)
         names = [x.split()[0] for x in _SEND.split(", ")]
@@ -110,11 +127,16 @@ def _shared_runs(docs: DataFrame, width: int, buckets: int, parts: int, hold: in
             wide = np.zeros((len(blob) // 5, 8), np.uint8)
             wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
             codes.append(wide.view(np.uint64).ravel())
-        seen = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(c)).astype(bool) for b, c in zip(columns["seen"], codes, strict=True)])
         doc, twin, place = (np.concatenate(x) for x in zip(*sent, strict=True))
-        _, wide = _shared(np.concatenate(codes), doc, twin, seen)
+        code = np.concatenate(codes)
+        _, wide, _, every = _shared(code, doc, twin, np.concatenate([unpack(b) for b in columns["more"]]))
+        hot = np.sort(code[every >= hot_runs].view(np.int64) | columns["bucket"][0] << 40)
         doc, twin, place = (np.concatenate([x[wide], *(k[i] for k in known)]) for i, x in enumerate((doc, twin, place)))
-        return pack_by_part(doc, twin, place, parts)
+        runs = pack_by_part(doc, twin, place, parts)
+        if not len(hot):
+            return runs
+        none = np.zeros(len(hot), np.int64)
+        return pa.concat_tables([runs, pa.table([pa.array([-1], pa.int32()), *(pa.array([x], pa.binary()) for x in _pack_places(none, none, hot))], runs.schema.names)])
 
     return docs.mapInArrow(send, _SEND).groupBy("bucket").applyInArrow(decide, _LATE)
 
@@ -154,22 +176,44 @@ class _Pieces:
         return [content, *(pack(np.array(x, np.int64)) for x in numbers), *_pack_places(doc[order], twin[order], place[order])]
 
 
-def _segments(texts: pa.Table, late_of, width: int, shards: int) -> pa.Table:
-    """The bytes of a part's shared runs, by shard."""
+def _segments(texts: pa.Table, late_of, width: int, shards: int, buckets: int, hot: np.ndarray) -> pa.Table:
+    """The bytes of a part's shared runs, by shard; runs with a hot hash go window by window, dealt by the whole window's hash."""
     by_shard: dict[int, _Pieces] = {}
     rows = sorted(zip(texts.column("_doc").to_pylist(), texts.column("_twin").to_pylist(), texts.column("_text").to_pylist(), strict=True), key=lambda r: r[:2])
-    done = None
+
+    def deal(held: list[tuple[tuple[int, int], bytes, np.ndarray]]) -> None:
+        data = b"".join(raw for _, raw, _ in held)
+        offsets = np.cumsum([0, *(len(raw) for _, raw, _ in held)])
+        flat = np.frombuffer(data, np.uint8)
+        code, row, place, count = least_hash_runs(flat, offsets, width)
+        at = offsets[row] + place
+        wanted = np.concatenate([offsets[k] + starts for k, (_, _, starts) in enumerate(held)])
+        own = np.flatnonzero(np.isin(at, wanted))
+        code, row, place, count, at = code[own], row[own], place[own], count[own], at[own]
+        shard = packed.mix64(packed.mix64(code) + np.uint64(1)) % np.uint64(shards)
+        crowded = np.isin(_deal_code(code, buckets)[1].view(np.int64), hot) if len(hot) else np.zeros(len(code), bool)
+        for s, k, lo, n, start in zip(*(x[~crowded].tolist() for x in (shard, row, place, count, at)), strict=True):
+            pieces = by_shard.get(s) or by_shard.setdefault(s, _Pieces(width))
+            pieces.add(data[start : start + n + width - 1], held[k][0], [lo])
+        if crowded.any():
+            shard = packed.rolling(packed.byte_codes(flat), width, _BASE) % np.uint64(shards)
+            for k, lo, n, start in zip(*(x[crowded].tolist() for x in (row, place, count, at)), strict=True):
+                for j in range(n):
+                    by_shard.setdefault(int(shard[start + j]), _Pieces(width)).add(data[start + j : start + j + width], held[k][0], [lo + j])
+
+    held, size, done = [], 0, None
     for doc, twin, text in rows:
         starts = late_of(doc, twin)
         if not len(starts) or (doc, twin) == done:
             continue
         done = doc, twin
-        raw = (text or "").encode()
-        code, _, place, count = least_hash_runs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), width)
-        own = np.flatnonzero(np.isin(place, starts))
-        shard = packed.mix64(packed.mix64(code[own]) + np.uint64(1)) % np.uint64(shards)
-        for s, lo, n in zip(shard.tolist(), place[own].tolist(), count[own].tolist(), strict=True):
-            by_shard.setdefault(s, _Pieces(width)).add(raw[lo : lo + n + width - 1], done, [lo])
+        held.append((done, (text or "").encode(), starts))
+        size += len(held[-1][1])
+        if size >= _SLICE:
+            deal(held)
+            held, size = [], 0
+    if held:
+        deal(held)
     columns = list(zip(*([s, *p.cells()] for s, p in by_shard.items()), strict=True)) or [()] * 11
     return pa.table([pa.array(list(c), pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(columns)], [x.split()[0] for x in _SEGMENTS.split(", ")])
 
@@ -219,7 +263,7 @@ def _sort_shard(table: pa.Table, width: int, parts: int, memory_items: int) -> p
 
 def dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, runs_per_bucket: int = 2_000_000, part_bytes: int = 8_000_000,
-    corpus_bytes_per_shard: int = 8_000_000, hold: int = 1_000_000, memory_items: int = 8_000_000,
+    corpus_bytes_per_shard: int = 8_000_000, hold: int = 1_000_000, memory_items: int = 8_000_000, hot_runs: int = 500_000,
 ) -> DataFrame:
     """Remove every byte covered by ``width`` bytes that also start in a document with a smaller id.
 
@@ -233,15 +277,21 @@ def dedup(
 
     Buckets, shards and parts follow the size of the corpus, so tasks keep their
     size.  A run that a third of all documents share reaches its shard once for
-    each part; the shard's queues spill to the task's own temporary files.
+    each part.  Runs with a hash that occurs ``hot_runs`` times (more in corpora so
+    large that over a million hashes could) need not be equal, so their windows are
+    dealt one by one, by a hash of the whole window: equal ones still meet, and no
+    shard has them all.  A shard's queues spill to the task's own temporary files.
     """
     if width < GRAM:
         raise ValueError(f"width must be at least {GRAM}")
     rows = keyed(docs, id_col, text_col)
     size = corpus_bytes(rows, "_text")
     buckets, parts, shards = (max(8, size // x) for x in (13 * runs_per_bucket, part_bytes, corpus_bytes_per_shard))
-    runs = _shared_runs(rows.select("_text", "_doc", "_twin"), width, buckets, parts, hold)
-    pieces = with_late(rows, runs, parts, lambda texts, late_of: _segments(texts, late_of, width, shards), _SEGMENTS)
+    hot_runs = max(hot_runs, size // 1_000_000)  # at most a million hot hashes, 8 MB
+    runs = cut(_shared_runs(rows.select("_text", "_doc", "_twin"), width, buckets, parts, hold, hot_runs))
+    hot = np.concatenate([np.zeros(0, np.int64), *(unpack(r["places"]) for r in runs.filter("_part = -1").select("places").toLocalIterator())])
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
+    pieces = with_late(rows, runs.filter("_part >= 0"), parts, lambda texts, late_of: _segments(texts, late_of, width, shards, buckets, hot.value), _SEGMENTS)
     late = pieces.groupBy("shard").applyInArrow(lambda t: _sort_shard(t, width, parts, memory_items), _LATE)
 
     def remove(texts: pa.Table, late_of) -> pa.Table:

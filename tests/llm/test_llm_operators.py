@@ -84,13 +84,20 @@ def test_substring_dedup_equals_brute_force(spark):
     assert substring_dedup.dedup(documents(spark, texts).limit(0)).count() == 0
 
 
-def test_suffix_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("hot_runs", [500_000, 3])
+def test_suffix_dedup_equals_brute_force(spark, hot_runs):
+    """Every second run goes window by window with ``hot_runs`` 3; queues spill all the time."""
     texts = corpus(40)
     raw = [(t or "").encode() for t in texts]
-    got = {r.doc_id: r for r in suffix_dedup.dedup(documents(spark, texts), memory_items=500).collect()}
+    found = suffix_dedup.dedup(documents(spark, texts), memory_items=500, hot_runs=hot_runs)
+    got = {r.doc_id: r for r in found.collect()}
+    short = {r.doc_id: r for r in suffix_dedup.digest(found).collect()}
     for d, cover in enumerate(brute_windows(raw, 50, True)):
-        assert (got[d].n_bytes, got[d].n_removed) == (len(raw[d]), sum(cover))
-        assert bytes(got[d].kept) == bytes(b for b, c in zip(raw[d], cover, strict=True) if not c)
+        kept = bytes(b for b, c in zip(raw[d], cover, strict=True) if not c)
+        assert (got[d].n_bytes, got[d].n_removed, bytes(got[d].kept)) == (len(raw[d]), sum(cover), kept)
+        edges = np.flatnonzero(np.diff(np.r_[0, np.array(cover, int), 0])).reshape(-1, 2).tolist()
+        assert [[s.start, s.end] for s in got[d].spans] == edges
+        assert (short[d].n_spans, short[d].kept_sha256) == (len(edges), hashlib.sha256(kept).hexdigest())
 
 
 @pytest.mark.parametrize("depth", [3, 9, 20])
@@ -99,7 +106,7 @@ def test_induced_order(depth):
     for memory in (5, 10**6):
         parts = [bytes(rng.integers(97, 97 + k % 4 + 1, 30).astype(np.uint8)) for k in range(25)]
         text = np.frombuffer(b"\x01" + b"\x01".join(bytes(b + 2 for b in p) for p in parts + parts[:9]) + b"\x01\x00", np.uint8)
-        found = np.concatenate([p for p, _ in reversed(induced_sort.equal_windows(text, depth, memory))])
+        found = np.concatenate([p for p, _ in reversed(list(induced_sort.equal_windows(text, depth, memory)))])
         assert sorted(found.tolist()) == list(range(len(text)))
         starts = [bytes(text[p : p + depth]) for p in found]
         assert starts == sorted(starts)
