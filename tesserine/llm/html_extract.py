@@ -45,6 +45,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[a-z]+")
+_RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW}
 
 
 @dataclass(slots=True)
@@ -55,6 +56,7 @@ class Node:
     parent: Node | None = None
     core: bool = False  # is or holds an article or main
     marked: bool = False  # dropped for a class, id or role alone
+    code: int = 0  # hash of the subtree
     children: list = field(default_factory=list)
 
 
@@ -75,39 +77,46 @@ def _judged(tag: str, attributes: str) -> tuple[str, bool, bool]:
 def parse(page: str) -> Node:
     """A lenient element tree: unclosed and misplaced tags, cut-off pages and stray ``<`` never fail."""
     root = top = Node("#root")
-    raw = ""
-    for m in _TOKEN.finditer(page):
+    opened: dict[str, int] = {}
+    place = 0
+
+    def back_to(node: Node) -> None:
+        nonlocal top
+        while top is not node:
+            opened[top.tag] -= 1
+            top = top.parent
+
+    while place < len(page):
+        m = _TOKEN.match(page, place)
+        place = m.end()
         slash, name, attributes = m.group(1), m.group(2), m.group(3)
         if name is None:
             piece = m.group()
-            if not raw and (piece[0] != "<" or piece == "<"):
+            if piece[0] != "<" or piece == "<":
                 top.children.append(html.unescape(piece) if "&" in piece else piece)
             continue
         name = name.lower()
-        if raw:
-            if not (slash and name == raw):
-                continue
-            raw = ""
         if slash:
-            at = top
+            at = top if opened.get(name) else root
             while at.parent is not None and at.tag != name:
                 if at.tag in ("td", "th", "article") and name not in ("tr", "table", "tbody", "article", "main", "body", "html"):
                     at = root
                     break
                 at = at.parent
             if at.parent is not None:
-                top = at.parent
+                back_to(at.parent)
             continue
         if name in CLOSES_P or name in ("li", "dd", "dt", "tr", "td", "th", "option"):
             peers = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ())
             stop = ("ul", "ol", "dl", "select") if name in ("li", "dd", "dt", "option") else ()
-            at = top
+            at = closed = top
             while at.parent is not None and at.tag not in stop and (at.tag not in SCOPE or at.tag in peers):
                 if at.tag == "p" or at.tag in peers:
-                    top = at.parent
+                    closed = at.parent
                 elif at.tag in BLOCK and at.tag not in peers and not peers:
                     break
                 at = at.parent
+            back_to(closed)
         marks, drop, marked = _judged(name, attributes)
         node = Node(name, marks, drop, top, marked=marked)
         top.children.append(node)
@@ -118,78 +127,54 @@ def parse(page: str) -> Node:
         if name in VOID or attributes.rstrip().endswith("/") and name in ("svg", "path"):
             continue
         top = node
-        raw = name if name in RAW else ""
+        opened[name] = opened.get(name, 0) + 1
+        if name in RAW:  # no markup inside, up to its own end tag
+            end = _RAW_END[name].search(page, place)
+            if end or name in ("script", "style"):
+                node.children.append(page[place : end.start() if end else len(page)])
+                place = end.start() if end else len(page)
+            else:  # never closed: empty
+                back_to(node.parent)
     return root
 
 
-def _print(node: Node, out: list[tuple[Node, int]], seed: int, inside: bool = False) -> int:
-    """Hash a subtree by element names, class marks and text, seeded by the host; note those that may be template parts."""
-    parts = [node.tag, node.marks]
-    inside = inside or node.tag in ("article", "main")
-    for child in node.children:
-        parts.append(" ".join(child.split()) if isinstance(child, str) else format(_print(child, out, seed, inside), "x"))
-    code = xxhash.xxh3_64_intdigest("\x1f".join(parts), seed) >> 1
-    if node.tag in BLOCK and node.tag not in ("#root", "html", "body", "head") and not inside and not node.core:
-        out.append((node, code))
-    return code
-
-
-def _depth_safe(page: str | None) -> Node:
-    root = parse(page or "")
-    stack = [(root, 0)]
-    while stack:  # nesting beyond any real page is flattened, so recursion stays shallow
-        node, depth = stack.pop()
-        if depth > 200:
-            node.children = [c for c in _all_text(node)]
-            continue
-        stack += [(c, depth + 1) for c in node.children if isinstance(c, Node)]
-    return root
+def _preorder(root: Node) -> Iterator[tuple[Node, bool]]:
+    """Every element, parents first, and whether it is or lies inside an article or main; without recursion, so any nesting will do."""
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        inside = inside or node.tag in ("article", "main")
+        yield node, inside
+        stack += [(child, inside) for child in reversed(node.children) if not isinstance(child, str)]
 
 
-def _all_text(node: Node) -> list[str]:
-    out, stack = [], list(reversed(node.children))
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif not x.drop:
-            stack += reversed(x.children)
-    return out
+def _print(root: Node, seed: int) -> list[Node]:
+    """Hash all subtrees by element names, class marks and text, seeded by the host; returns those that may be template parts."""
+    nodes = list(_preorder(root))
+    for node, _ in reversed(nodes):  # children before their parents
+        parts = [node.tag, node.marks, *(" ".join(c.split()) if isinstance(c, str) else format(c.code, "x") for c in node.children)]
+        node.code = xxhash.xxh3_64_intdigest("\x1f".join(parts), seed) >> 1
+    return [node for node, inside in nodes if node.tag in BLOCK and node.tag not in ("#root", "html", "body", "head") and not inside and not node.core]
 
 
 def subtree_hashes(page: str | None, host: str) -> tuple[int, list[int]]:
     """A hash of the page's text without furniture, and the distinct hashes of its subtrees that may be template parts of its host (-1 if there is none, so that the page counts)."""
-    root = _depth_safe(page)
-    found: list[tuple[Node, int]] = []
-    _print(root, found, xxhash.xxh3_64_intdigest(host))
-    return xxhash.xxh3_64_intdigest(_read(root)) >> 1, sorted({code for _, code in found}) or [-1]
+    root = parse(page or "")
+    found = _print(root, xxhash.xxh3_64_intdigest(host))
+    return xxhash.xxh3_64_intdigest(_read(root)) >> 1, sorted({node.code for node in found}) or [-1]
 
 
 def main_text(page: str | None, host: str = "", recurring: Set[int] = frozenset()) -> str:
     """The page's blocks, without subtrees whose hash is in ``recurring`` and without page furniture."""
-    root = _depth_safe(page)
-    found: list[tuple[Node, int]] = []
-    if recurring:
-        _print(root, found, xxhash.xxh3_64_intdigest(host))
-    for node, code in found:
-        if code in recurring:
+    root = parse(page or "")
+    for node in _print(root, xxhash.xxh3_64_intdigest(host)) if recurring else ():
+        if node.code in recurring:
             node.drop = True
     return _read(root)
 
 
-def _read(root: Node) -> str:
-    """The blocks of the tree's articles, or of all of it if it has none, without what is dropped."""
-    cores: list[Node] = []
-
-    def seek(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, Node) and not child.drop:
-                if child.tag in ("article", "main"):
-                    cores.append(child)
-                else:
-                    seek(child)
-
-    seek(root)
+def _blocks(roots: list[Node], without: Set[int] = frozenset()) -> list[str]:
+    """The text blocks under ``roots`` in page order, without what is dropped and the elements (by ``id``) in ``without``."""
     blocks: list[str] = []
     open_block: list[str] = []
 
@@ -199,24 +184,43 @@ def _read(root: Node) -> str:
             blocks.append(text)
         open_block.clear()
 
-    def read(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                open_block.append(child)
-            elif not child.drop:
-                edge = child.tag in BLOCK
-                if edge:
-                    close()
-                elif child.tag == "br":
-                    open_block.append("\n")
-                read(child)
-                if edge:
-                    close()
-
-    for core in cores or [root]:
-        read(core)
-        close()
-    return "\n".join(blocks)
+    stack: list = []
+    for root in reversed(roots):
+        stack += [None, *reversed(root.children), None]
+    while stack:
+        child = stack.pop()
+        if child is None:
+            close()
+        elif isinstance(child, str):
+            open_block.append(child)
+        elif not child.drop and id(child) not in without:
+            if child.tag in BLOCK:
+                close()
+                stack.append(None)
+            elif child.tag == "br":
+                open_block.append("\n")
+            stack += reversed(child.children)
+    close()
+    return blocks
+
+
+def _read(root: Node) -> str:
+    """The blocks of the tree's articles if they have at least half of its text, else all of it; without what is dropped."""
+    cores: list[Node] = []
+    stack = [root]
+    while stack:
+        for child in reversed(stack.pop().children):
+            if not isinstance(child, str) and not child.drop:
+                if child.tag in ("article", "main"):
+                    cores.append(child)
+                else:
+                    stack.append(child)
+    if not cores:
+        return "\n".join(_blocks([root]))
+    order = {id(node): k for k, (node, _) in enumerate(_preorder(root))}
+    cores.sort(key=lambda node: order[id(node)])
+    inside, outside = _blocks(cores), _blocks([root], {id(c) for c in cores})
+    return "\n".join(inside if sum(map(len, inside)) >= sum(map(len, outside)) else _blocks([root]))
 
 
 def _host() -> F.Column:

@@ -333,3 +333,69 @@ def test_words_and_hashes_do_not_cross_rows():
     assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)] == ["ab", "cd", "cd", "é", "x"]
     codes = packed.span_hashes(data, starts, ends)
     assert codes[1] == codes[2] and len(set(codes.tolist())) == 4
+
+
+def test_html_raw_text_and_deep_pages():
+    text = html_extract.main_text
+    assert text("<p>one</p><script>for(i=0;i<n;i++){}</script><p>main text</p>") == "one\nmain text"
+    assert text("<script>var a='<!--';</script><p>main text</p>") == "main text"
+    assert text('<SCRIPT>if(a<b && c=="x"){d()}</Script ><p>body</p>') == "body"
+    assert text("<title>a <b> c<p>text</p>") == "a c\ntext"
+    assert text("<p>kept</p><script>never closed <p>no</p>") == "kept"
+    assert text("<div>" * 300 + "<p>alpha</p><p>beta</p>") == "alpha\nbeta"
+    assert text("<b>" * 20_000 + "<p>alpha</p></i>" * 2000 + "x") == "\n".join(["alpha"] * 2000 + ["x"])
+    assert text("<div class='post-with-comments'><p>main text</p></div>") == "main text"
+    assert text("<article><p>short teaser</p></article><div class=content>the real body of the page</div>") == "short teaser\nthe real body of the page"
+    assert text("<div>side</div><article><p>the real body of the page</p></article>") == "the real body of the page"
+
+
+def brute_pages(pages, least_pages=3, least_share=0.02, enough=100):
+    """Main texts by comparing every subtree of a host's pages with every other one, structure by structure."""
+
+    def shape(node):
+        return (node.tag, node.marks, tuple(" ".join(c.split()) if isinstance(c, str) else shape(c) for c in node.children))
+
+    def parts(node, inside=False):
+        inside = inside or node.tag in ("article", "main")
+        for child in node.children:
+            if not isinstance(child, str):
+                if child.tag in html_extract.BLOCK - {"html", "body", "head"} and not inside and not child.core and child.tag not in ("article", "main"):
+                    yield child
+                yield from parts(child, inside)
+
+    by_host = {}
+    for key, url, page in pages:
+        by_host.setdefault((url or "").split("/")[2] if "//" in (url or "") else "", []).append((key, html_extract.parse(page or "")))
+    out = {}
+    for own in by_host.values():
+        texts = {html_extract._read(root) for _, root in own}
+        seen = [(html_extract._read(root), [shape(n) for n in parts(root)]) for _, root in own]
+        for key, root in own:
+            for node in list(parts(root)):
+                mine = shape(node)
+                n = len({text for text, shapes in seen if any(s == mine for s in shapes)})
+                if n >= least_pages and (n >= enough or n >= least_share * len(texts)):
+                    node.drop = True
+            out[key] = html_extract._read(root)
+    return out
+
+
+def test_html_templates_equal_brute_force(spark):
+    """Furniture without tell-tale tags or classes goes only because it recurs on its host."""
+    rnd = random.Random(5)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefg") for _ in range(rnd.randint(2, 6))) for _ in range(n))
+    pages = []
+    for host in range(4):
+        bar, foot = f"<div><ul><li>{words(2)}<li>{words(1)}</ul></div>", f"<div class=x{host}><p>{words(6)}</p><p>{words(3)}</p></div>"
+        for k in range(12):
+            own = "".join(f"<p>{words(rnd.randint(1, 9))}</p>" for _ in range(rnd.randint(1, 4)))
+            body = rnd.choice([f"<div>{own}</div>", f"<article>{own}<p>said on all</p></article>", own])
+            pages.append((len(pages), f"http://h{host}.example/{k}", rnd.choice([bar, ""]) + body + rnd.choice([foot, foot, f"<div>{words(3)}</div>"])))
+        pages.append((len(pages), f"http://h{host}.example/copy", pages[-1][2]))
+    pages += [(len(pages), None, None), (len(pages) + 1, "http://h0.example/e", ""), (len(pages) + 2, "nohost", "<p>alone</p>")]
+    wanted = brute_pages(pages)
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
+    assert got == wanted
+    assert any(html_extract.main_text(page) != wanted[key] for key, _, page in pages)
+    assert html_extract.extract(frame.limit(0)).count() == 0
