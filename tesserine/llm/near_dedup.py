@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import cut
+from .common import cut, small_batches
 from .components import components
 
 _SHINGLE_BASE = 0xA0761D6478BD642F
@@ -191,7 +191,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch, least: float)
     return pairs.join(one, "x").join(two, "y").select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(run, "x long, y long, nx long, ny long")
 
 
-def _pairs(band: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, most: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(band: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, most: int = 10_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows to compare, at most about ``most`` at a time; rows come sorted by band, block pair and own block."""
     n = len(band)
     if not n:
@@ -415,6 +415,7 @@ def near_duplicates(
        others every pair across components is compared as well, block by block,
        and verified if likely, so no link between components is lost.
     """
+    small_batches(docs.sparkSession)
     sketch = sketch or Sketch()
     least = similarity[0] / similarity[1] - margin
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))

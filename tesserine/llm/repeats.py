@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .packed import mix64
 
 LAST_ID = 2**63 - 1
@@ -84,6 +85,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] =
     ``_twin`` tells rows with one id but other texts apart.  It is 0 throughout
     where ids are unique, and then costs nothing in the packed lists.
     """
+    small_batches(docs.sparkSession)
     extra = [F.col(c).alias(f"_{k}") for k, c in enumerate(carry)]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_doc"), *extra)
     unique = rows.groupBy("_doc").count().filter("count > 1").isEmpty()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 _WORD = re.compile(r"[^\W_]+(?:[*@$!][^\W_]+)*")
 _QUOTES = "\"“”„«»‹›‘’"
@@ -21,7 +21,7 @@ REPORTING = frozenset("said says called wrote word words term quote quoted quote
 ADDRESSING = frozenset("you your youre yourself du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes vosotros".split())
 #: Features of a document, in this order.
 FEATURES = ("exact", "misspelled", "quoted", "addressed", "repeated", "dense")
-_MEMO = 300_000
+_MEMO = 100_000
 _STEM_LENGTHS = range(4, 9)
 
 
@@ -82,8 +82,8 @@ def matches(trie: Trie, word: str, clean: frozenset[str] = frozenset()) -> tuple
     return (best[1], best[0]) if best else None
 
 
-class Scanner:
-    """Looks up words: a cheap necessary test, then the automaton; results are remembered in bounded space.
+class Finder:
+    """The nearest term of a word: a cheap necessary test, then the automaton.
 
     With one edit, one half of the term is intact: the word starts with the first
     half, or has the second within one place of where it belongs.
@@ -104,7 +104,6 @@ class Scanner:
         for at, to, piece in inner:
             places.setdefault((at, to), set()).add(piece)
         self.places = sorted((at, to, pieces) for (at, to), pieces in places.items())
-        self.memo = _Memo(self.find)
 
     def find(self, word: str) -> tuple[str, int] | None:
         for n, pieces in self.heads:
@@ -118,6 +117,13 @@ class Scanner:
                 return matches(self.trie, word, self.clean)
         return None
 
+
+class Scanner:
+    """The features of texts; what was found for a word is remembered in bounded space, which goes with the scanner."""
+
+    def __init__(self, terms: dict[str, bool], clean: frozenset[str]):
+        self.memo = _Memo(Finder(terms, clean).find)
+
     def features(self, text: str, window: int = 6) -> list[float]:
         """The features of a whole text; hits are judged by the ``window`` words on either side."""
         folded = text.lower()
@@ -245,6 +251,7 @@ def learn(
     left out; an id with several labels counts as toxic if one says so.  None if
     the sample has not both labels.
     """
+    small_batches(docs.sparkSession)
     given = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).filter(fold(id_col, parts) != held_out)
     one = given.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_toxic"))
     chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
@@ -281,6 +288,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """
     if model is None:
         return docs.select(F.col(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast("array<double>").alias("features"))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held: dict[str, Scanner] = {}  # filled in each Python worker
 

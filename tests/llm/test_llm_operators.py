@@ -223,7 +223,7 @@ def edit_distance(a, b):
 def test_levenshtein_automaton_equals_distance():
     terms = {"moron": False, "worthless": False, "lowei": True, "scum": False}
     trie, rnd = toxicity.Trie.of(terms), random.Random(8)
-    scanner = toxicity.Scanner(terms, frozenset())
+    scanner = toxicity.Finder(terms, frozenset())
     words = ["moron", "m0ron", "mooorn", "wrthless", "loweixyz", "lweiabc", "lowiexx", "scum", "scun", "other", ""]
     for term in terms:
         for _ in range(150):
