@@ -18,71 +18,92 @@ from ..tables import table
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda w: length(w) >= 3)"
 
+#: Questions made from the parts' names and numbers, with named things, modules and phrases of each kind; the same text for Spark and the oracles.
+QUESTIONS = """select p_partkey as id, case p_partkey % 9
+    when 0 then 'What calls Mod_' || cast(p_partkey as string) || '_Init and which register offset does it depend on? Is it ASIL relevant?'
+    when 1 then 'Explain how to configure the clock for the ' || p_name || ' unit, with an example'
+    when 2 then 'List all requirements and functions of the ADC and SPI modules that implement PRQ-' || cast(p_partkey as string) || ' or compare ADC_Read with Spi_Init'
+    when 3 then 'Adc_Init ' || p_name
+    when 4 then 'describe the ' || p_name || ' relationships, parents and children of Adc_DeInit versus Can_Write in the safety concept, and explain why the interrupt handler polls the status register at all?'
+    when 5 then 'How many ' || p_name || ' orders are there per customer and supplier?'
+    when 6 then 'SteelWidgetConfig' || cast(p_partkey as string) || ' initialization order for ' || p_type || ' parts'
+    when 7 then p_name
+    else 'Which functional tests ship the ordered parts: "' || p_name || '", to all nations and regions?' end as text from {part}"""
+_Q = "with q as (" + QUESTIONS.format(part="part") + ") "
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, text``"""
+    return spark.sql(QUESTIONS, part=table(spark, sf_dir, "part"))
+
+
+_IDENT = "(contains(w, '_') or regexp_matches(substr(w, 2), '[A-Z]') or regexp_matches(w, '[0-9]') or length(w) > 12)"
+_STRIP = "^[?.,!:;\"'']+|[?.,!:;\"'']+$"
+
 
 @register(
     "keyword_extract",
-    f"""with k as (select item_id, {_WORDS} as w from benchmark), u as (select item_id, list_filter(w, lambda x, i: x not in ({_STOP}) and list_position(w, x) = i) as d from k)
-    select item_id, array_to_string(list_concat(list_filter(d, lambda x: contains(x, '_')), list_filter(d, lambda x: not contains(x, '_')))[1:7], ' ') as keywords from u""",
+    _Q + rf"""select id, array_to_string(list_concat(list_filter(b, lambda x, i: list_position(list_transform(b, lambda y: lower(y)), lower(x)) = i), case when len(g) > 1 then [array_to_string(g[1:3], ' ')] else [] end)[1:7], '; ') as keywords
+    from (select id, g, list_concat(n, g) as b from (select id,
+    list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda w: regexp_replace(w, '{_STRIP}', '', 'g')), lambda w: length(w) >= 3 and w not in ({_STOP}) and not {_IDENT}) as g,
+    list_filter(regexp_extract_all(text, '([A-Za-z][A-Za-z0-9_]{{5,}})', 1), lambda w: lower(w) not in ({_STOP}) and {_IDENT}) as n from q))""",
 )
 def keyword_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
+    return questions(spark, sf_dir).select("id", F.array_join(T.keywords(F.col("text")), "; ").alias("keywords"))
 
 
 @register(
     "entity_extract",
-    f"""with f as (select doc_id, regexp_extract_all(text, '{T.ENTITY_PATTERN}') as e from documents), d as (select doc_id, list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y)), lower(x)) = i) as e from f)
-    select doc_id, len(e) as n_entities, array_to_string(e[1:5], ' ') as first_entities from d where len(e) > 0""",
+    _Q + f"""select id, len(d) as n_entities, array_to_string(d[1:5], ' ') as first_entities from (select id, list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y)), lower(x)) = i) as d
+    from (select id, list_concat(list_concat(regexp_extract_all(text, '{T.ENTITY_PATTERNS[0]}', 1), list_filter(regexp_extract_all(text, '{T.ENTITY_PATTERNS[1]}', 1), lambda x: length(x) >= 5)), regexp_extract_all(text, '{T.ENTITY_PATTERNS[2]}', 1)) as e from q))""",
 )
 def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", T.entities(F.col("text")).alias("_e")).filter(F.size("_e") > 0)
-    return found.select("doc_id", F.size("_e").cast("long").alias("n_entities"), F.array_join(F.slice("_e", 1, 5), " ").alias("first_entities"))
+    found = questions(spark, sf_dir).select("id", T.entities(F.col("text")).alias("_e"))
+    n = F.size(F.array_distinct(F.transform("_e", F.lower))).cast("long")
+    return found.select("id", n.alias("n_entities"), F.array_join(T.distinct_by_case(F.col("_e"), 5), " ").alias("first_entities"))
+
+
+@register("aggregation_intent", _Q + f"select id, regexp_matches(lower(text), '{'|'.join(T.LIST_PATTERNS)}') as wants_list from q")
+def aggregation_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir).select("id", T.is_list_question(F.col("text")).alias("wants_list"))
 
 
 @register(
     "identifier_tokens",
-    r"""select p_partkey, array_to_string(list_filter(string_split(lower(regexp_replace(regexp_replace(p_name || '_' || p_brand, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 2), ' ') as tokens from part""",
+    r"""select p_partkey, array_to_string(list_filter(t, lambda w, i: list_position(t, w) = i), ' ') as tokens from (select p_partkey, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(replace(n, '_', ' '), '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')), '\s+'), lambda w: length(w) >= 2) as t
+    from (select p_partkey, p_name || '_' || p_type || 'Item_ADCChannel' || p_brand as n from part))""",
 )
 def identifier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.identifier_parts(F.concat_ws("_", "p_name", "p_brand")), " ").alias("tokens"))
+    name = F.concat("p_name", F.lit("_"), "p_type", F.lit("Item_ADCChannel"), "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.identifier_parts(name), " ").alias("tokens"))
 
 
 def _stem_sql(w: str) -> str:
     return "case " + " ".join(f"when ends_with({w}, '{s}') and length({w}) > {len(s) + 3} then substr({w}, 1, length({w}) - {len(s)})" for s in T.SUFFIXES) + f" else {w} end"
 
 
+def _stems_sql(text: str) -> str:
+    return f"list_distinct(list_transform(regexp_extract_all(lower({text}), '[a-z]{{3,}}'), lambda w: {_stem_sql('w')}))"
+
+
 @register("stemmed_words", f"with w as (select unnest({_WORDS}) as w from benchmark) select {_stem_sql('w')} as stem, count(*) as n from w group by 1")
 def stemmed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("w"))
     return each.groupBy(T.stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n"))
 
 
-_TOKEN_SEARCH = f"""with q as (select item_id, unnest(list_distinct({_WORDS})) as w from benchmark where item_id < 5), n as (select item_id, count(*) as k from q group by 1),
+_TOKEN_SEARCH = f"""with q as (select item_id, unnest(list_distinct({_WORDS})) as w from benchmark where item_id % 50 = 0), n as (select item_id, count(*) as k from q group by 1),
     d as (select doc_id, unnest(list_distinct({_WORDS})) as w from documents), h as (select item_id, doc_id, count(*) as hits from q join d using (w) group by 1, 2)
     select item_id, doc_id, round(hits / k, 6) as score from h join n using (item_id) qualify row_number() over (partition by item_id order by hits / k desc, doc_id) <= 10"""
 
 
-@register("token_index_search", _TOKEN_SEARCH)
-def token_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the query's words found in each document, ten best for each of five queries.
-
-    The few query words are literals, so documents are filtered in the scan and no
-    posting list is shuffled.
-    """
-    queries = {r["item_id"]: r["w"] for r in table(spark, sf_dir, "benchmark").filter(F.col("item_id") < 5).select("item_id", F.array_distinct(T.words(F.col("text"))).alias("w")).collect()}
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("_w"))
-    share = [F.struct(F.lit(i).alias("item_id"), (F.size(F.array_intersect("_w", F.array(*map(F.lit, w)))) / len(w)).alias("score")) for i, w in queries.items() if w]
-    each = docs.select("doc_id", F.explode(F.array(*share)).alias("_s")).select("doc_id", "_s.item_id", "_s.score").filter(F.col("score") > 0)
-    best = each.withColumn("_r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("_r") <= 10)
-    return best.select("item_id", "doc_id", F.round("score", 6).alias("score"))
-
-
 # Queries of a block: their words go along with one scan of the documents.
 TOKEN_QUERIES = 1000
 
 
-@register("token_index_search_whole", _TOKEN_SEARCH.replace("item_id < 5", "item_id % 50 = 0"))
-def token_index_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over every item whose id is divisible by 50, in blocks of queries of a bounded size.
+@register("token_index_search", _TOKEN_SEARCH)
+def token_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the query's words found in each document, ten best for every item whose id is divisible by 50, in blocks of queries of a bounded size.
 
     A task holds the postings of a block's words and keeps the ten best of each batch.
     """
@@ -123,57 +144,99 @@ def _token_hits(given):
 
 @register(
     "score_node",
-    f"""with t as (select p_partkey, lower(p_name) as n, lower(p_type) as d, len(list_intersect(list_distinct(list_filter(regexp_split_to_array('large steel', '[^a-z0-9_]+'), lambda w: length(w) >= 3)),
-    list_distinct(list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9_]+'), lambda w: length(w) >= 3)))) as o from part)
-    select p_partkey, case when n = 'large steel' then 2.0 when contains(n, 'large steel') then 1.0 when contains(d, 'large steel') then 0.6 when o > 0 then round(0.3 + 0.05 * o, 6) else 0.2 end::double as score from t""",
+    """select p_partkey, case when n = k then 2.0 when contains(n, k) then 1.0 when contains(d, k) then 0.6 when o > 0 then round(0.3 + 0.05 * o, 6) else 0.2 end::double as score
+    from (select p_partkey, lower(p_name) as n, lower(p_type) as d, k, len(list_intersect(string_split(k, ' '), string_split(lower(p_name), ' '))) as o
+    from (select *, case p_partkey % 4 when 0 then 'cold widget' when 1 then 'widget' when 2 then 'small' else 'old small gizmo' end as k from part))""",
 )
 def score_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", T.match_score(F.lit("large steel"), F.col("p_name"), F.col("p_type")).alias("score"))
+    kind = F.col("p_partkey") % 4
+    asked = F.when(kind == 0, "cold widget").when(kind == 1, "widget").when(kind == 2, "small").otherwise("old small gizmo")
+    return table(spark, sf_dir, "part").select("p_partkey", T.match_score(asked, F.col("p_name"), F.col("p_type")).alias("score"))
 
 
-# What each label is about.
-LABEL_WORDS = {"Customer": "person buys account segment the", "Order": "purchase date total and for", "Part": "thing brand size type of", "Supplier": "ships stock vendor with from", "Region": "area continent that", "Nation": "country land this"}
+#: What each label is about; the first three are defaults.
+LABELS = {
+    "Requirement": "what the product must implement, by customer", "Function": "callable operations that are implemented in modules", "Module": "a unit with functions and its configuration",
+    "TestCase": "functional tests, which verify requirements", "Register": "hardware register with offset and fields", "Order": "ordered parts, per customer and supplier",
+    "Part": "shipped things by brand, size and type", "Supplier": "ships parts to nations", "Nation": "nations and their regions", "ConfigParam": "configured parameter values such as clocks",
+}
+_LABEL_ROWS = ", ".join(f"({k}, '{label}', '{about}')" for k, (label, about) in enumerate(LABELS.items()))
 
 
 @register(
     "infer_labels",
-    "with l(label, about) as (values " + ", ".join(f"('{k}', '{v}')" for k, v in LABEL_WORDS.items()) + f"""), w as (select item_id, unnest(list_distinct({_WORDS})) as w from benchmark),
-    a as (select label, unnest(string_split(about, ' ')) as w from l) select item_id, label, 2 * count(*) as score from w join a using (w) group by 1, 2""",
+    _Q + f""", l as (select k, label, (select list_distinct(list_transform(list_filter(regexp_split_to_array(lower(regexp_replace(label, '([a-z])([A-Z])', '\\1 \\2', 'g')), ' '), lambda w: length(w) >= 2), lambda w: {_stem_sql('w')}))) as names, {_stems_sql('about')} as about from (values {_LABEL_ROWS}) v(k, label, about)),
+    s as (select id, k, label, case when contains(lower(text), lower(label)) then 5 else 0 end + 2 * len(list_intersect({_stems_sql('text')}, names)) + 0.5 * len(list_intersect({_stems_sql('text')}, about)) as score from q, l),
+    r as (select *, row_number() over (partition by id order by score desc, label) as place from s), t as (select id, label, 0 as late, place, k from r where score > 0 and place <= 7 union all select id, label, 1, 0, k from r where k < 3 and not (score > 0 and place <= 7))
+    select id, array_to_string((list(label order by late, place, k))[1:10], ' ') as labels from t group by 1""",
 )
 def infer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two points for each word of the question that describes a label."""
-    pairs = F.create_map(*(F.lit(x) for w, labels in _labels_by_word().items() for x in (w, labels)))
-    each = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("w"))
-    named = each.select("item_id", F.explode(F.split(F.try_element_at(pairs, F.col("w")), " ")).alias("label"))
-    return named.groupBy("item_id", "label").agg((2 * F.count("*")).alias("score"))
+    """The seven best labels of each question, then those of the first three that are not among them; the catalogue is one row."""
+    catalogue = spark.sql(f"select * from values {_LABEL_ROWS} as t(k, label, about)")
+    known = catalogue.select(F.struct("k", "label", F.array_distinct(F.transform(T.identifier_parts(F.col("label")), T.stem)).alias("names"), T.stems(F.col("about")).alias("about")).alias("l"))
+    rows = questions(spark, sf_dir).crossJoin(F.broadcast(known.agg(F.array_sort(F.collect_list("l")).alias("_l")))).withColumn("_q", T.stems(F.col("text")))
+    score = lambda x: F.when(F.contains(F.lower("text"), F.lower(x["label"])), 5.0).otherwise(0.0) + 2.0 * F.size(F.array_intersect("_q", x["names"])) + 0.5 * F.size(F.array_intersect("_q", x["about"]))
+    scored = F.filter(F.transform("_l", lambda x: F.struct((-score(x)).alias("minus"), x["label"].alias("label"))), lambda x: x["minus"] < 0)
+    best = F.transform(F.slice(F.array_sort(scored), 1, 7), lambda x: x["label"])
+    defaults = F.transform(F.slice("_l", 1, 3), lambda x: x["label"])
+    return rows.select("id", F.array_join(F.slice(F.concat(best, F.array_except(defaults, best)), 1, 10), " ").alias("labels"))
+
 
+def _any_sql(column: str, phrases: tuple[str, ...]) -> str:
+    return "(" + " or ".join(f"contains({column}, '{p}')" for p in phrases) + ")::int"
 
-def _labels_by_word() -> dict[str, str]:
-    out: dict[str, list[str]] = {}
-    for label, about in LABEL_WORDS.items():
-        for word in about.split():
-            out.setdefault(word, []).append(label)
-    return {w: " ".join(labels) for w, labels in out.items()}
 
+def _hits_sql(column: str, patterns: tuple[str, ...], flags: str = "(?i)") -> str:
+    return "(" + " + ".join(f"regexp_matches({column}, '{flags}{p}')::int" for p in patterns) + ")"
 
-_COUNTS = " or ".join(f"contains(lower(text), '{p}')" for p in T.COUNT_PHRASES)
-_POINTS = r"""(len(list_filter(string_split(text, ' '), lambda w: w <> '')) > 12)::int + (len(list_filter(string_split(text, ' '), lambda w: w <> '')) > 30)::int
-    + contains(lower(text), ' and ')::int + contains(text, ',')::int + (len(string_split(text, '.')) > 3)::int"""
 
+_COUNTED = f"""c as (select id, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as n, len(list_distinct(list_concat({', '.join(f"regexp_extract_all(text, '{p}')" for p in T.NAMED_PATTERNS)}))) as names,
+    {_hits_sql('upper(text)', tuple(rf"\b{m}\b" for m in T.MODULES), '')} as modules, {_hits_sql('text', T.STRUCTURE_PATTERNS)} as structure, {_hits_sql('text', T.MEANING_PATTERNS)} as meaning from q),
+    p as (select *, case when n > 20 then 2 when n > 10 then 1 else 0 end + case when names >= 3 then 2 when names >= 1 then 1 else 0 end + case when modules >= 2 then 2 else 0 end + {_any_sql('lower(text)', T.REGISTER_WORDS)}
+    + {_any_sql('lower(text)', T.SAFETY_WORDS)} + (length(text) - length(replace(text, '?', '')) > 1 or contains(lower(text), ' and '))::int + 2 * {_any_sql('lower(text)', T.COMPARE_WORDS)} as points from c)"""
+_CLASS = "case when points >= 4 then 'complex' when points >= 2 then 'medium' else 'simple' end"
+_STRATEGY = """case when names >= 1 and n <= 5 then ('exact', 1.0) when structure >= 2 then ('graph_heavy', 0.85) when meaning >= 2 and names = 0 then ('vector_heavy', 0.3)
+    when structure >= 1 and names >= 1 then ('graph_heavy', 0.75) when meaning >= 1 then ('vector_heavy', 0.4) else ('hybrid', 0.6) end"""
 
-@register("query_complexity", f"select item_id, {_POINTS} as points, case when points >= 4 then 'complex' when points >= 2 then 'medium' else 'simple' end as complexity from benchmark")
+
+@register("query_complexity", _Q + f", {_COUNTED} select id, points, {_CLASS} as complexity from p")
 def query_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = T.complexity(F.col("text"))
-    return table(spark, sf_dir, "benchmark").select("item_id", points.alias("points"), T.complexity_class(points).alias("complexity"))
+    return questions(spark, sf_dir).select("id", points.alias("points"), T.complexity_class(points).alias("complexity"))
+
+
+@register("query_strategy", _Q + f", {_COUNTED} select id, s[1] as strategy, s[2]::double as alpha from (select id, {_STRATEGY} as s from p)")
+def query_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir).select("id", T.strategy(F.col("text")).alias("_s")).select("id", "_s.strategy", "_s.alpha")
+
+
+#: A sample of a domain's terms and their aliases; callers bring their own.
+SYNONYMS = {"adc": ["analog to digital converter", "adc driver"], "spi": ["serial peripheral interface", "spi driver", "qspi"], "init": ["initialization", "startup"], "isr": ["interrupt service routine", "interrupt handler", "irq"], "polling": ["status polling", "poll", "busy wait"], "asil": ["safety level", "safety rating"]}
+_TERMS = ", ".join(
+    f"case when regexp_matches(lower(text), '\\b{t}\\b') then case when not contains(lower(text), '{min(a, key=len)}') then '{min(a, key=len)}' end"
+    f" when {_any_sql('lower(text)', tuple(x for x in a if len(x) > 3))} = 1 and not contains(lower(text), '{t}') then '{t}' end" for t, a in SYNONYMS.items()
+)
+
+
+@register("synonym_expansion", _Q + f"select id, array_to_string((list_filter([{_TERMS}], lambda x: x is not null))[1:5], ', ') as added from q")
+def synonym_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir).select("id", F.array_join(T.expanded(F.col("text"), SYNONYMS), ", ").alias("added"))
+
+
+_BUDGET = "case " + _CLASS + " when 'simple' then 4000 when 'medium' then 8000 else 12000 end"
 
 
 @register(
-    "query_strategy",
-    f"""with r as (select item_id, case when regexp_matches(lower(text), '[a-z]+_[a-z]+') then ('exact', 1.0) when {_COUNTS} then ('graph_heavy', 0.85) when contains(lower(text), 'ing ') then ('vector_heavy', 0.3)
-    when contains(lower(text), 'with') then ('trace', 0.75) when length(text) < 120 then ('short', 0.4) else ('balanced', 0.6) end as s from benchmark) select item_id, s[1] as strategy, s[2]::double as alpha from r""",
+    "query_enhancement",
+    _Q + f", {_COUNTED} select id, {_CLASS} as complexity, s[1] as strategy, s[2]::double as alpha, names::bigint as n_entities, modules::bigint as n_modules, {_BUDGET} as total_budget, (5000 * {_BUDGET} // 8000)::bigint as api_functions from (select *, {_STRATEGY} as s from p)",
 )
-def query_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", T.strategy(F.col("text")).alias("_s")).select("item_id", "_s.strategy", "_s.alpha")
+def query_enhancement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities, modules, complexity, strategy and budgets of every question in one pass."""
+    text = F.col("text")
+    kind = T.complexity_class(T.complexity(text))
+    modules = T.hits(F.upper(text), tuple(rf"\b{m}\b" for m in T.MODULES), "")
+    rows = questions(spark, sf_dir).select("id", kind.alias("complexity"), T.strategy(text).alias("_s"), F.size(T.named_things(text)).cast("long").alias("n_entities"), modules.cast("long").alias("n_modules"), T.token_budget(kind).alias("_b"))
+    return rows.select("id", "complexity", "_s.strategy", "_s.alpha", "n_entities", "n_modules", F.col("_b.total").alias("total_budget"), "_b.api_functions")
 
 
 @register("token_estimate", "select doc_id, case when coalesce(length(text), 0) = 0 then 0 else greatest(1, length(text) // 4) end as tokens from documents")
@@ -221,34 +284,24 @@ def mask_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.mask_secrets(F.col("text"))).alias("masked_md5"))
 
 
+_SENTENCES = rf"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\b({T.ABBREVIATIONS})\.', '\1' || chr(1), 'g'), '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '')"""
+_SENTENCE_SCORE = "round(case when n between 10 and 40 then 0.5 when n < 5 then -0.3 else 0.0 end + case when contains(lower(sentence), 'the') then 1.0 else 0.0 end" + "".join(f" + case when regexp_matches(sentence, '{p}') then {bonus} else 0.0 end" for p, bonus in T.SENTENCE_BONUS) + ", 6)"
+
+
 @register(
     "sentence_top",
-    r"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)), lambda x: trim(x)), lambda x: x <> '') as l from documents where not regexp_matches(text, '\b(e\.g|i\.e|etc|vs|Dr|No)\.')),
-    u as (select doc_id, unnest(l) as sentence, generate_subscripts(l, 1) as place from s), c as (select *, length(sentence) - length(replace(lower(sentence), 'the', 'th')) + case when length(sentence) between 40 and 200 then 1 else 0 end as score from u)
-    select doc_id, place, score from c qualify row_number() over (partition by doc_id order by score desc, place) <= 3""",
+    rf"""with s as (select doc_id, {_SENTENCES} as l from documents), u as (select doc_id, unnest(l) as sentence, generate_subscripts(l, 1) as place from s),
+    c as (select doc_id, place, sentence, len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda w: w <> '')) as n from u)
+    select doc_id, place, {_SENTENCE_SCORE}::double as score from c qualify row_number() over (partition by doc_id order by {_SENTENCE_SCORE} desc, place) <= 3""",
 )
 def sentence_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best sentences of every document by term hits and a length bonus.
+    """The three best sentences of every document by query terms, length and technical content; abbreviations end no sentence.
 
     A document's sentences are ranked inside its own array, so nothing is shuffled.
-    Its SQL leaves out documents with abbreviations, so they are left out here;
-    ``sentence_top_whole`` has all.
     """
-    return top_sentences(table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"\b(e\.g|i\.e|etc|vs|Dr|No)\.")))
-
-
-@register("sentence_top_whole")
-def sentence_top_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all documents, those with abbreviations too, which end no sentence."""
-    return top_sentences(table(spark, sf_dir, "documents"))
-
-
-def top_sentences(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, score`` of the three best sentences of each text."""
-    hits = lambda s: F.length(s) - F.length(F.replace(F.lower(s), F.lit("the"), F.lit("th")))
-    rated = F.transform(T.sentences(F.col("text")), lambda s, i: F.struct((-(hits(s) + F.length(s).between(40, 200).cast("int"))).alias("minus"), (i + 1).alias("place")))
-    best = docs.select("doc_id", F.explode(F.slice(F.array_sort(rated), 1, 3)).alias("_s"))
-    return best.select("doc_id", F.col("_s.place").cast("long").alias("place"), (-F.col("_s.minus")).cast("long").alias("score"))
+    rated = F.transform(T.sentences(F.col("text")), lambda s, i: F.struct((-T.sentence_score(s, ("the",))).alias("minus"), (i + 1).alias("place")))
+    best = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.slice(F.array_sort(rated), 1, 3)).alias("_s"))
+    return best.select("doc_id", F.col("_s.place").cast("long").alias("place"), (-F.col("_s.minus")).alias("score"))
 
 
 @register(
