@@ -178,15 +178,20 @@ def sort_stars(words: np.ndarray, stars: np.ndarray, depth: int) -> tuple[np.nda
     return order, shared
 
 
-def equal_windows(text: np.ndarray, depth: int, memory_items: int = 8_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All suffixes in order, by first symbol: pairs of places and whether each shares ``depth`` symbols with the one before.
+def equal_windows(text: np.ndarray, depth: int, memory_items: int = 8_000_000, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Suffixes in order, by first symbol: pairs of places and whether each shares ``depth`` symbols with the one before.
 
-    ``text`` ends with the one END symbol.
+    ``text`` ends with the one END symbol.  With ``wanted`` (places, ascending) only
+    these and what induces them are sorted: from each wanted suffix up to the next
+    S* suffix behind it; a few more may come along.
     """
     small = types(text)
     star = small & np.r_[False, ~small[:-1]]
     words = _words(text, depth)
-    order, shared = sort_stars(words, np.flatnonzero(star).astype(np.int32), depth)
+    stars = np.flatnonzero(star).astype(np.int32)
+    if wanted is not None:
+        stars = stars[np.unique(np.searchsorted(stars, wanted, side="right"))]  # the last S* is the text's end, so each has one
+    order, shared = sort_stars(words, stars, depth)
     seeds = np.searchsorted(text[order], np.arange(258))
     with tempfile.TemporaryDirectory() as folder:  # this task's own, gone with it
         queues, larger = SymbolQueues(folder, "l", memory_items), SymbolQueues(folder, "done", memory_items)

@@ -239,7 +239,9 @@ def _sort_shard(table: pa.Table, width: int, parts: int, memory_items: int) -> p
     _, rank = np.unique(np.array([k for k, _ in own], np.int64).reshape(-1, 2), axis=0, return_inverse=True)
     rank = rank.ravel()
     late_at: list[np.ndarray] = []
-    for place, equal in equal_windows(text, width, memory_items) if own else []:
+    starts = np.repeat(begin, sizes - width + 1)
+    starts += np.arange(len(starts)) - np.repeat(np.cumsum(sizes - width + 1) - (sizes - width + 1), sizes - width + 1)
+    for place, equal in equal_windows(text, width, memory_items, starts) if own else []:
         group = np.cumsum(~equal)
         many = equal.copy()
         many[:-1] |= equal[1:]

@@ -110,6 +110,13 @@ def test_induced_order(depth):
         assert sorted(found.tolist()) == list(range(len(text)))
         starts = [bytes(text[p : p + depth]) for p in found]
         assert starts == sorted(starts)
+        wanted = np.flatnonzero(rng.random(len(text) - 1) < 0.3)
+        some = list(induced_sort.equal_windows(text, depth, memory, wanted))[::-1]
+        places = np.concatenate([p for p, _ in some])
+        starts = [bytes(text[p : p + depth]) for p in places]
+        assert set(wanted) <= set(places.tolist()) and starts == sorted(starts)
+        same = np.concatenate([e for _, e in some])
+        assert all(e == (a == b and len(a) == depth) for a, b, e in zip(starts[:-1], starts[1:], same[1:], strict=True))
 
 
 def shingles(text):
