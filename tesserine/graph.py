@@ -60,6 +60,47 @@ def edges(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def keys_of(ids: list[str], label: str) -> list[int]:
+    """The keys of those ids that belong to ``label``."""
+    return [int(x.split(":", 1)[1]) for x in ids if x.startswith(f"{label}:")]
+
+
+def nodes_at(spark: SparkSession, sf_dir: str, ids: list[str]) -> DataFrame:
+    """``nodes`` of these ids: only tables whose label occurs are read, with the keys pushed into their scans."""
+    parts = [
+        table(spark, sf_dir, source).filter(F.col(key).isin(keys_of(ids, label)))
+        .select(node_id(label, key).alias("node_id"), F.lit(label).alias("label"), F.col(name).alias("name"), (F.col(module) if module else F.lit(None).cast("string")).alias("module"))
+        for label, source, key, name, module in NODE_KINDS
+        if keys_of(ids, label)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def edges_at(spark: SparkSession, sf_dir: str, ids: list[str], back: bool = False) -> DataFrame:
+    """``edges`` that leave (with ``back``: reach) these ids; the keys reach the Parquet scans, and only what they find is deduplicated."""
+    parts = []
+    for rel, source, a, a_key, b, b_key, repeats in EDGE_KINDS:
+        keys = keys_of(ids, b if back else a)
+        if keys:
+            pairs = table(spark, sf_dir, source).filter(F.col(b_key if back else a_key).isin(keys)).select(a_key, b_key)
+            pairs = pairs.distinct() if repeats else pairs
+            parts.append(pairs.select(node_id(a, a_key).alias("src"), F.lit(rel).alias("rel"), node_id(b, b_key).alias("dst")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def both_ways_at(spark: SparkSession, sf_dir: str, ids: list[str]) -> DataFrame:
+    """``both_ways`` of these ids."""
+    out = edges_at(spark, sf_dir, ids).select(F.col("src").alias("node"), "rel", F.col("dst").alias("other"), F.lit("out").alias("direction"))
+    return out.unionByName(edges_at(spark, sf_dir, ids, back=True).select(F.col("dst").alias("node"), "rel", F.col("src").alias("other"), F.lit("in").alias("direction")))
+
+
+def pairs(spark: SparkSession, sf_dir: str, kind: tuple) -> DataFrame:
+    """``a, b``: an edge kind as its distinct integer keys."""
+    _, source, _, a_key, _, b_key, repeats = kind
+    out = table(spark, sf_dir, source).select(F.col(a_key).cast("long").alias("a"), F.col(b_key).cast("long").alias("b"))
+    return out.distinct() if repeats else out
+
+
 def both_ways(links: DataFrame) -> DataFrame:
     """``node, rel, other, direction``: every edge seen from either end; a self-loop counts at both."""
     out = links.select(F.col("src").alias("node"), "rel", F.col("dst").alias("other"), F.lit("out").alias("direction"))

@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def newest(rows: DataFrame, *keys: str, by: str | None = None) -> DataFrame:
+    """One row for each key: the last by ``by``, or the greatest of all its columns, so repeated keys give the same row on every run."""
+    whole = F.struct(*rows.columns)
+    last = F.max(whole) if by is None else F.max(F.struct(F.col(by).alias("_by"), whole.alias("_row")))["_row"]
+    return rows.groupBy(*keys).agg(last.alias("_r")).select("_r.*")
+
+
+def merge_edges(target: DataFrame, updates: DataFrame, *keys: str, by: str) -> DataFrame:
+    """Edge upsert: of all rows with one key the last by ``by`` stays; merging twice changes nothing."""
+    return newest(target.unionByName(updates, allowMissingColumns=True), *keys, by=by)
+
+
 def shadow(production: DataFrame, overlay: DataFrame, key: str) -> DataFrame:
     """Overlay rows win, column by column; ``origin`` tells ``production``, ``shadow`` or ``overlay``.
 
@@ -13,7 +25,7 @@ def shadow(production: DataFrame, overlay: DataFrame, key: str) -> DataFrame:
     """
     columns = [c for c in production.columns if c != key]
     o = overlay if "deleted" in overlay.columns else overlay.withColumn("deleted", F.lit(False))
-    o = o.select(key, "deleted", *(F.col(c).alias(f"_o_{c}") for c in columns), F.lit(True).alias("_over"))
+    o = newest(o, key).select(key, "deleted", *(F.col(c).alias(f"_o_{c}") for c in columns), F.lit(True).alias("_over"))
     joined = production.withColumn("_prod", F.lit(True)).join(o, key, "full_outer").filter(~F.coalesce("deleted", F.lit(False)))
     origin = F.when(F.col("_over").isNull(), "production").when(F.col("_prod").isNull(), "overlay").otherwise("shadow")
     return joined.select(key, *(F.coalesce(f"_o_{c}", c).alias(c) for c in columns), origin.alias("origin"))
@@ -31,5 +43,5 @@ def diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 def merge(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """Idempotent upsert: non-null values of the update win, unknown keys are added; merging twice changes nothing."""
     columns = [c for c in target.columns if c != key]
-    u = updates.dropDuplicates([key]).select(key, *(F.col(c).alias(f"_u_{c}") for c in columns))
+    u = newest(updates, key).select(key, *(F.col(c).alias(f"_u_{c}") for c in columns))
     return target.join(u, key, "full_outer").select(key, *(F.coalesce(f"_u_{c}", c).alias(c) for c in columns))

@@ -16,7 +16,7 @@ def reach(start: DataFrame, edges: DataFrame, most: int, least: int = 1, cut: Ca
     ``start`` has a column ``node``.  A breadth-first loop of joins: each round
     expands only pairs that are new, so cycles end.  ``cut`` writes each round to the checkpoint folder, so plans stay short.
     """
-    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct()
+    links = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct())  # read once, not in every round
     front = start.select(F.col("node").alias("start"), "node").distinct()
     seen = None
     for depth in range(1, most + 1):
@@ -35,7 +35,7 @@ def shortest_paths(start: DataFrame, targets: DataFrame, edges: DataFrame, most:
     (start, node), the least in order of its ids, so ties are settled the same way
     on every run and the frontier never grows with the number of paths.
     """
-    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).union(edges.select("dst", "src")).distinct()
+    links = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).union(edges.select("dst", "src")).distinct())
     front = start.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct()
     seen = front.select("start", "node", "path", F.lit(0).alias("length"))
     for length in range(1, most + 1):

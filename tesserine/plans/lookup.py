@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..graph import SQL_GRAPH, nodes
+from ..graph import SQL_GRAPH, nodes, nodes_at
 from ..registry import register
 from ..tables import table
 
@@ -15,8 +15,8 @@ LABEL_SCORES = {"Customer": 1.0, "Part": 0.9, "Supplier": 0.8, "Nation": 0.7, "R
 
 @register("node_lookup", SQL_GRAPH + "select * from nodes where node_id in ('Customer:7', 'Part:3', 'Order:1', 'Nation:4')")
 def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact lookup by any id: the label prefix prunes tables, the equality reaches each scan as a filter on the node id."""
-    return nodes(spark, sf_dir, "Customer", "Part", "Order", "Nation").filter(F.col("node_id").isin("Customer:7", "Part:3", "Order:1", "Nation:4"))
+    """Exact lookup by any id: the label prunes tables, the key is pushed into each scan."""
+    return nodes_at(spark, sf_dir, ["Customer:7", "Part:3", "Order:1", "Nation:4"])
 
 
 @register(

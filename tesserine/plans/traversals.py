@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
-from ..graph import SQL_GRAPH, both_ways, edges, nodes
+from ..graph import EDGE_KINDS, SQL_GRAPH, both_ways, both_ways_at, edges, edges_at, nodes, nodes_at, pairs
 from ..operators.traversal import levels, reach, shortest_paths
 from ..registry import register
 from ..tables import table
@@ -17,12 +19,12 @@ _SEED_SQL = "('Customer:1', 'Customer:2', 'Supplier:1', 'Nation:3')"
 
 @register("neighbors_out", SQL_GRAPH + f"select src as node, rel, dst as other from edges where src in {_SEED_SQL}")
 def neighbors_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).filter(F.col("src").isin(_SEEDS)).select(F.col("src").alias("node"), "rel", F.col("dst").alias("other"))
+    return edges_at(spark, sf_dir, _SEEDS).select(F.col("src").alias("node"), "rel", F.col("dst").alias("other"))
 
 
 @register("neighbors_in", SQL_GRAPH + f"select dst as node, rel, src as other from edges where dst in {_SEED_SQL}")
 def neighbors_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).filter(F.col("dst").isin(_SEEDS)).select(F.col("dst").alias("node"), "rel", F.col("src").alias("other"))
+    return edges_at(spark, sf_dir, _SEEDS, back=True).select(F.col("dst").alias("node"), "rel", F.col("src").alias("other"))
 
 
 _BOTH = SQL_GRAPH + ", b as (select src as node, rel, dst as other, 'out' as direction from edges union all select dst, rel, src, 'in' from edges) "
@@ -30,7 +32,7 @@ _BOTH = SQL_GRAPH + ", b as (select src as node, rel, dst as other, 'out' as dir
 
 @register("neighbors_both", _BOTH + f"select * from b where node in {_SEED_SQL}")
 def neighbors_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return both_ways(edges(spark, sf_dir)).filter(F.col("node").isin(_SEEDS))
+    return both_ways_at(spark, sf_dir, _SEEDS)
 
 
 @register(
@@ -51,8 +53,8 @@ def neighbors_topk_per_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def batch_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with their properties and up to three neighbours as text."""
-    own = nodes(spark, sf_dir).filter(F.col("node_id").isin(_SEEDS)).select("node_id", "label", "name")
-    ranked = both_ways(edges(spark, sf_dir)).filter(F.col("node").isin(_SEEDS)).withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("rel", "other")))
+    own = nodes_at(spark, sf_dir, _SEEDS).select("node_id", "label", "name")
+    ranked = both_ways_at(spark, sf_dir, _SEEDS).withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("rel", "other")))
     few = ranked.filter(F.col("_r") <= 3).groupBy(F.col("node").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("rel", "other"))).alias("_n"))
     text = F.array_join(F.transform("_n", lambda x: F.concat(x["rel"], F.lit(">"), x["other"])), "; ")
     return own.join(few, "node_id", "left").select("node_id", "label", "name", F.coalesce(text, F.lit("")).alias("around"))
@@ -123,18 +125,20 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bidirectional_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hops up from orders and down from nations, by relationship path.
 
-    Only the counts are wanted, so each side is reduced to counts by middle node
-    before the join: a hub adds one row, not its paths.
+    Only the counts are wanted, so both sides of each pair of kinds that can follow
+    one another are reduced to counts by the middle key before the join: a hub adds
+    one row, not its paths, and no kind is read that can't be on a path.
     """
-    links = edges(spark, sf_dir)
-    up = links.filter(F.col("src").startswith("Order:")).groupBy(F.col("dst").alias("mid"), F.col("rel").alias("r1")).agg(F.count("*").alias("n1"))
-    on = links.groupBy(F.col("src").alias("mid"), F.col("rel").alias("r2")).agg(F.count("*").alias("n2"))
-    down = links.filter(F.col("dst").startswith("Nation:")).groupBy(F.col("src").alias("mid"), F.col("rel").alias("r1")).agg(F.count("*").alias("n1"))
-    under = links.groupBy(F.col("dst").alias("mid"), F.col("rel").alias("r2")).agg(F.count("*").alias("n2"))
-    rels = F.concat_ws("/", "r1", "r2").alias("rels")
-    total = F.sum(F.col("n1") * F.col("n2")).alias("n")
-    one = up.join(on, "mid").groupBy(rels).agg(total).select(F.lit("up").alias("direction"), "rels", "n")
-    return one.unionByName(down.join(under, "mid").groupBy(rels).agg(total).select(F.lit("down").alias("direction"), "rels", "n"))
+    parts = []
+    for direction, first, label in (("up", 2, "Order"), ("down", 4, "Nation")):
+        mid = 6 - first  # the end of the first edge that the second one shares
+        for one in (k for k in EDGE_KINDS if k[first] == label):
+            for two in (k for k in EDGE_KINDS if k[first] == one[mid]):
+                near, far = ("b", "a") if direction == "up" else ("a", "b")
+                left = pairs(spark, sf_dir, one).groupBy(F.col(near).alias("mid")).agg(F.count("*").alias("n1"))
+                right = pairs(spark, sf_dir, two).groupBy(F.col(far).alias("mid")).agg(F.count("*").alias("n2"))
+                parts.append(left.join(right, "mid").agg(F.sum(F.col("n1") * F.col("n2")).alias("n")).select(F.lit(direction).alias("direction"), F.lit(f"{one[0]}/{two[0]}").alias("rels"), "n"))
+    return reduce(DataFrame.unionByName, parts).groupBy("direction", "rels").agg(F.sum("n").alias("n")).filter("n is not null")
 
 
 @register("vmodel_bridge", "select distinct o_custkey as requirement, l_partkey as part from orders join lineitem on l_orderkey = o_orderkey")
@@ -183,21 +187,35 @@ def topo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "text_mention_link",
-    "select item_id, r_name as name from benchmark, region where contains(lower(text), lower(r_name)) union all select item_id, w from (select item_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) as w from benchmark) where w in ('the', 'of')",
+    """with n as (select distinct 'item_' || p_size as name, 'M' || p_size % 5 as module from part), t as (select l_orderkey, l_linenumber, 'M' || l_partkey % 5 as module, 'calls item_' || l_partkey % 50 || ' then item_' || l_suppkey % 7 || 'x, see ' || l_returnflag as text from lineitem)
+    select distinct l_orderkey, l_linenumber, name from t join n on t.module = n.module and contains(text, name) where not (l_linenumber = 1 and name = 'item_3')""",
 )
 def text_mention_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links from texts to the names they mention."""
-    return mentions(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "region").select(F.col("r_name").alias("name")))
-
-
-def mentions(texts: DataFrame, names: DataFrame, block: int = 1000) -> DataFrame:
-    """``item_id, name`` of all names in each text, and of two fixed words: names meet the texts in lists of about ``block``."""
-    blocks = max(-(-names.count() // block), 1)
-    lists = names.groupBy(F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).alias("_block")).agg(F.collect_list("name").alias("_names")).select("_names")
-    inside = F.filter("_names", lambda n: F.contains(F.lower("text"), F.lower(n)))
-    words = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))), lambda w: w.isin("the", "of"))
-    named = texts.select("item_id", "text").crossJoin(lists).select("item_id", F.explode(inside).alias("name"))
-    return named.unionByName(texts.select("item_id", F.explode(words).alias("name")))
+    """A link wherever a name with an underscore is a case-sensitive substring of a text of the same module, unless there is one already."""
+    names = table(spark, sf_dir, "part").select(F.concat(F.lit("item_"), F.col("p_size").cast("string")).alias("name"), F.concat(F.lit("M"), (F.col("p_size") % 5).cast("string")).alias("module")).distinct()
+    part = lambda c, n: (F.col(c) % n).cast("string")
+    text = F.concat(F.lit("calls item_"), part("l_partkey", 50), F.lit(" then item_"), part("l_suppkey", 7), F.lit("x, see "), "l_returnflag")
+    texts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("M"), part("l_partkey", 5)).alias("module"), text.alias("text"))
+    known = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.lit("item_3").alias("name"))
+    return mentions(texts, names, ("l_orderkey", "l_linenumber"), "text", "module").join(known, ["l_orderkey", "l_linenumber", "name"], "left_anti")
+
+
+def mentions(texts: DataFrame, names: DataFrame, keys: tuple[str, ...], text: str, scope: str) -> DataFrame:
+    """``keys, name`` for every name of the same ``scope`` that a text has as a substring.
+
+    Names and texts meet by an equi-join on the name's length-bounded pieces: every run of
+    word characters in the text, and each of its prefixes, so the number of names
+    does not multiply the texts.  Names are runs of word characters; one may start inside a run.
+    """
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\w+)"), F.lit(1)))
+    sizes = names.agg(F.min(F.length("name")), F.max(F.length("name"))).first()
+    if sizes[0] is None:
+        return texts.select(*keys, F.lit("").alias("name")).limit(0)
+    at = lambda w: F.sequence(F.lit(1), F.length(w) - sizes[0] + 1)
+    cuts = lambda w, p: F.transform(F.sequence(F.lit(sizes[0]), F.least(F.lit(sizes[1]), F.length(w) - p + 1)), lambda n: F.substring(w, p, n))
+    inside = F.flatten(F.transform(F.filter(runs, lambda w: (F.length(w) >= sizes[0]) & w.contains("_")), lambda w: F.flatten(F.transform(at(w), lambda p: cuts(w, p)))))
+    pieces = texts.select(*keys, scope, F.explode(F.array_distinct(F.filter(inside, lambda x: x.contains("_")))).alias("name"))
+    return pieces.join(names.select("name", scope).distinct(), ["name", scope]).select(*keys, "name").distinct()
 
 
 @register(

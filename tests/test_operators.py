@@ -142,28 +142,20 @@ def test_whole_query_sets_hold_every_fiftieth_row(spark, small):
 
     registry.load()
     for key in ("knn_cosine", "knn_multi_collection", "rrf_weighted"):
-        ids = {r.query_id for r in registry.queries()[f"{key}_whole"](spark, small).select("query_id").distinct().collect()}
+        ids = {r.query_id for r in registry.queries()[key](spark, small).select("query_id").distinct().collect()}
         assert ids == set(range(0, 500, 50))
 
 
-def test_sentences_with_abbreviations_are_ranked(spark, small):
-    import re
+def test_sentences_and_their_scores(spark):
+    from pyspark.sql import functions as F
 
-    from tesserine import registry
-    from tesserine.plans import texts
+    from tesserine.functions import text as T
 
-    registry.load()
-    docs = spark.createDataFrame([(-1, "See Dr. Smith, e.g. the other one. The end of the day! No. 5 vs. the rest etc. of the lot? Yes."), (-2, None), (-3, " ")], "doc_id long, text string")
-    docs = docs.union(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
-    want = set()
-    for doc, text in docs.collect():
-        held = re.sub(r"\b(e\.g|i\.e|etc|vs|Dr|No)\.", "\\1\x01", text or "", flags=re.A)
-        parts = [s.strip(" ").replace("\x01", ".") for s in re.split("\x02", re.sub(r"([.!?])[ \t\n\x0b\f\r]+", "\\1\x02", held))]
-        rated = [(-(s.lower().count("the") + (40 <= len(s) <= 200)), i + 1) for i, s in enumerate(s for s in parts if s)]
-        want |= {(doc, place, -minus) for minus, place in sorted(rated)[:3]}
-    assert {tuple(r) for r in texts.top_sentences(docs).collect()} == want
-    all_docs = {doc for doc, *_ in want if doc >= 0}
-    assert {r.doc_id for r in registry.queries()["sentence_top_whole"](spark, small).collect()} == all_docs
+    docs = frame(spark, [("See Dr. Smith, e.g. the other one. The end of the day! No. 5 vs. the rest etc. of the lot? Yes.",), (None,), (" ",), ("The register is set by ASIL rules; a (b).",)], "text string")
+    got = [r[0] for r in docs.select(T.sentences(F.col("text"))).collect()]
+    assert got == [["See Dr. Smith, e.g. the other one.", "The end of the day!", "No.", "5 vs. the rest etc. of the lot?", "Yes."], None, [], ["The register is set by ASIL rules; a (b)."]]
+    scores = docs.select(F.transform(T.sentences(F.col("text")), lambda s: T.sentence_score(s, ("the",))).alias("s")).collect()
+    assert scores[0].s == [1.0, 1.0, -0.3, 1.0, -0.3] and scores[3].s == [2.5]
 
 
 def test_pack_bounds_its_groups_and_equals_the_whole_group(spark, monkeypatch):
@@ -187,9 +179,30 @@ def test_pack_bounds_its_groups_and_equals_the_whole_group(spark, monkeypatch):
     packing.pack(spark.createDataFrame(items), budgets, 60).collect()
 
 
-def test_mentions_of_more_than_a_thousand_names(spark):
+def test_mentions_are_substrings_of_the_same_scope(spark):
     from tesserine.plans.traversals import mentions
 
-    texts = spark.createDataFrame([(1, "see n0007x and N1499X of it"), (2, None)], "item_id long, text string")
-    names = spark.createDataFrame([(f"n{i:04}x",) for i in range(1500)] + [("n1499x",), (None,)], "name string")
-    assert sorted(tuple(r) for r in mentions(texts, names).collect()) == [(1, "n0007x"), (1, "n1499x"), (1, "n1499x"), (1, "of")]
+    texts = spark.createDataFrame([(1, "a", "see x_0007y, N_14 and pre_x_1499y9"), (2, "a", None), (3, "b", "x_0007y"), (4, "a", "x_7 x_0007")], "k long, scope string, text string")
+    names = spark.createDataFrame([(f"x_{i:04}y", "a") for i in range(1500)] + [("x_1499y", "a"), (None, "a"), ("n_14", "a")], "name string, scope string")
+    assert {tuple(r) for r in mentions(texts, names, ("k",), "text", "scope").collect()} == {(1, "x_0007y"), (1, "x_1499y")}
+    assert mentions(texts, names.limit(0), ("k",), "text", "scope").count() == 0
+
+
+def test_overlays_with_repeated_keys(spark):
+    prod = frame(spark, [(1, "a", 1), (2, "b", 2)], "k int, v string, ts int")
+    over = frame(spark, [(1, "x", 5), (1, "y", 4), (3, "z", 1)], "k int, v string, ts int")
+    assert {(r.k, r.v, r.origin) for r in overlay.shadow(prod, over, "k").collect()} == {(1, "y", "shadow"), (2, "b", "production"), (3, "z", "overlay")}
+    assert {(r.k, r.v) for r in overlay.merge(prod, over, "k").collect()} == {(1, "y"), (2, "b"), (3, "z")}
+    assert {(r.k, r.v) for r in overlay.merge_edges(prod, over, "k", by="ts").collect()} == {(1, "x"), (2, "b"), (3, "z")}
+
+
+def test_lookups_push_keys_into_their_scans(spark, small):
+    """No look-up reads a table whole, and lineitem is scanned only for parts and suppliers that are asked for."""
+    from tesserine import registry
+
+    registry.load()
+    for key, lines in (("node_lookup", 0), ("neighbors_out", 0), ("neighbors_in", 1), ("neighbors_both", 1), ("batch_enrich", 1)):
+        plan = registry.queries()[key](spark, small)._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+        assert scans and all("PushedFilters: [In(" in line or "PushedFilters: [Or(" in line or "EqualTo(" in line for line in scans), (key, scans)
+        assert sum("lineitem" in line for line in scans) == lines, key
