@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import all modules that register queries."""
-    from .plans import context, coverage, lookup, statistics, templates, texts, traversals, vectors  # noqa: F401
+    from .plans import context, coverage, links, lookup, statistics, templates, texts, traversals, vectors  # noqa: F401
