@@ -231,7 +231,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in packed.slices(batch.column(1), 1_000_000):
+            for at, to in packed.slices(batch.column(1), 250_000):
                 part = batch.slice(at, to - at)
                 data, offsets = packed.buffers(part.column(1))
                 chances = document_chances(net, data, offsets)

@@ -17,7 +17,7 @@ from .components import components
 _SHINGLE_BASE = 0xA0761D6478BD642F
 _SHORT = np.uint64(0xE7037ED1A0B428DB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 1_000_000
+_SLICE = 250_000
 
 
 @dataclass(frozen=True)
@@ -266,7 +266,7 @@ class _Sets:
         return both * similarity[1] >= (len(mine) + self.sizes[others] - both) * similarity[0]
 
 
-def _across(placed: DataFrame, classes: DataFrame, rows: DataFrame, width: int, similarity: tuple[int, int], sketch: Sketch, least: float, block: int = 1000, block_bytes: int = 8_000_000) -> DataFrame:
+def _across(placed: DataFrame, classes: DataFrame, rows: DataFrame, width: int, similarity: tuple[int, int], sketch: Sketch, least: float, block: int = 1000, block_bytes: int = 4_000_000) -> DataFrame:
     """Links ``x, y`` that join different components, enough of them to connect all that pairs sharing a band can.
 
     ``placed`` has ``_band, _rep, _in``.  A bucket with several components is dealt

@@ -108,7 +108,7 @@ def pack_by_part(doc: np.ndarray, twin: np.ndarray, place: np.ndarray, parts: in
     return pa.table([pa.array(part[bounds]), *(pa.array(list(c), pa.binary()) for c in columns)], [x.split()[0] for x in _LATE.split(", ")])
 
 
-def late_windows(docs: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], buckets: int, parts: int, across: bool = False, hold: int = 1_000_000) -> DataFrame:
+def late_windows(docs: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], buckets: int, parts: int, across: bool = False, hold: int = 600_000) -> DataFrame:
     """Windows whose content also starts earlier, as packed lists of document keys and positions, a few for each of ``parts`` groups of documents.
 
     ``windows`` turns a batch (``_text, _doc, _twin``) into arrays ``(compared hash,
@@ -132,6 +132,7 @@ def late_windows(docs: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[t
 
     def deal(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         code, spread, doc, twin, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         first, later = _split(code, doc, twin, place, across)
         bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")

@@ -14,7 +14,7 @@ from . import packed
 from .repeats import corpus_bytes, keyed, late_windows, with_late
 
 _COMPARED, _SPREAD = 0xD6E8FEB86659FD93, 0xCA9B0C7EBA1DA115
-_SLICE = 1_000_000
+_SLICE = 250_000
 
 
 def word_windows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -34,7 +34,7 @@ def word_windows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray
         yield packed.rolling(codes, width, _COMPARED)[whole], packed.rolling(packed.mix64(codes), width, _SPREAD)[whole], doc[row], twin[row], place
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, windows_per_bucket: int = 1_500_000, part_bytes: int = 8_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, windows_per_bucket: int = 1_000_000, part_bytes: int = 8_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word covered by a window of ``width`` words that also starts earlier.
 
     Words are runs of bytes other than space and 0x09-0x0D.  Earlier means a

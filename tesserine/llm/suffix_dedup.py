@@ -25,7 +25,7 @@ from .repeats import _LATE, _pack_places, _unpack_places, corpus_bytes, keyed, p
 
 GRAM = 25
 _BASE = 0xC2B2AE3D27D4EB4F
-_SLICE = 500_000
+_SLICE = 250_000
 _SEND = "bucket int, codes binary, more binary, docs binary, twins binary, sizes binary, places binary, known_docs binary, known_twins binary, known_sizes binary, known_places binary"
 _SEGMENTS = "shard int, content binary, widths binary, docs binary, twins binary, times binary, lows binary, late_docs binary, late_twins binary, late_sizes binary, late_places binary"
 
@@ -103,6 +103,7 @@ def _shared_runs(docs: DataFrame, width: int, buckets: int, parts: int, hold: in
 
     def deal(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         code, doc, twin, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         bucket, code = _deal_code(code, buckets)
         first, _, others, _ = _shared(code, doc, twin, np.zeros(len(code), np.int64))
         order = np.argsort(bucket, kind="stable")
