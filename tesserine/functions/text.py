@@ -31,7 +31,7 @@ COMPARE_WORDS = ("compare", "difference", "versus", "vs", "trade-off", "pros and
 MODULES = "ADC CAN SPI UART ETH FLS GPT ICU MCU PWM WDG DIO I2C DMA EEP LIN FR CRC CXPI SENT".split()
 # Named things in a question, and what asks for structure or for meaning.
 NAMED_PATTERNS = (
-    r"\bIfx[A-Z][a-zA-Z_]+\b", r"\b[A-Z][a-z]+_(?:Init|DeInit|Read|Write|GetStatus)\b", r"\b(?:ADC|CAN|SPI|UART|ETH|FLS|GPT|ICU|MCU|PWM|WDG|DIO)_\w+\b", r"\b[A-Z]{2,}_REQ_\d+\b", r"\bSWUD_\w+\b",
+    r"\b[A-Z][a-z]+_(?:Init|DeInit|Read|Write|GetStatus)\b", r"\b(?:ADC|CAN|SPI|UART|ETH|FLS|GPT|ICU|MCU|PWM|WDG|DIO)_\w+\b", r"\b[A-Z]{2,}_REQ_\d+\b", r"\bSWUD_\w+\b",
 )
 STRUCTURE_PATTERNS = (
     r"\bwhat\s+calls\b", r"\bcalled\s+by\b", r"\bdepend(?:s|encies|ency)\b", r"\btraceability\b", r"\brequirement.*(?:implement|trace|link|map)", r"\bimplement(?:s|ed|ation)\b.*requirement",
@@ -44,7 +44,7 @@ MEANING_PATTERNS = (
 )
 # Abbreviations whose dot ends no sentence, and what makes a sentence worth keeping.
 ABBREVIATIONS = "e.g|i.e|etc|vs|Dr|Mr|Mrs|Ms|Sr|Jr".replace(".", r"\.")
-SENTENCE_BONUS = ((r"(?i)\b(?:function|register|struct|enum|typedef|macro)\b", 0.5), (r"\bIfx[A-Z]", 0.8), (r"\b(?:ASIL|ISO|MISRA|AUTOSAR)\b", 0.3), (r"[{};()]|^\s*#", 0.7))
+SENTENCE_BONUS = ((r"(?i)\b(?:function|register|struct|enum|typedef|macro)\b", 0.5), (r"\b(?:ASIL|ISO|MISRA|AUTOSAR)\b", 0.3), (r"[{};()]|^\s*#", 0.7))
 # Token budgets by complexity, and the slots' shares of the medium one.
 BUDGETS = {"simple": 4000, "medium": 8000, "complex": 12000}
 SLOTS = {"requirements": 3000, "api_functions": 5000, "tests": 3000, "dependencies": 2500, "relationships": 1500, "code_examples": 4000, "safety": 1200, "registers": 3000, "conversation": 300, "custom": 1000}
@@ -120,9 +120,9 @@ def hits(text: Column, patterns: tuple[str, ...], flags: str = "(?i)") -> Column
     return reduce(lambda a, b: a + b, [text.rlike(flags + p).cast("int") for p in patterns])
 
 
-def named_things(text: Column) -> Column:
-    """Distinct names of functions, requirements and design items in a question, by pattern."""
-    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in NAMED_PATTERNS)))
+def named_things(text: Column, more: tuple[str, ...] = ()) -> Column:
+    """Distinct names of functions, requirements and design items in a question, by pattern; ``more`` adds a vendor's own."""
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in (*more, *NAMED_PATTERNS))))
 
 
 def complexity(text: Column) -> Column:
