@@ -171,3 +171,11 @@ def must_include_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
     classed = both.withColumn("_c", F.when((F.col("source") == "graph") & (rank <= 5), 0).otherwise(1))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("_c", F.desc("score"), "id", "source"))
     return classed.withColumn("_p", place).filter(F.col("_p") <= 12).select("query_id", "id", "source", "score")
+
+
+@register("similar_patterns", f"with {_SCORED} select query_id, vec_id, score from s join embeddings q on q.vec_id = query_id where s.label = q.label and score >= 0.2 qualify row_number() over (partition by query_id order by score desc, s.vec_id) <= 5".replace("select query_id, vec_id, score", "select query_id, s.vec_id, score"))
+def similar_patterns(spark: SparkSession, sf_dir: str, threshold: float = 0.2) -> DataFrame:
+    """The five most similar patterns of the query's own module, above a threshold."""
+    own = query_points(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("label").alias("_own"))
+    near = best(spark, sf_dir, 5, "query_id", "label").join(F.broadcast(own), "query_id").filter(F.col("label") == F.col("_own"))
+    return near.filter(F.col("score") >= threshold).select("query_id", "vec_id", "score")
