@@ -177,6 +177,9 @@ def position_chances(net: Network, codes: np.ndarray) -> np.ndarray:
 def document_chances(net: Network, data: np.ndarray, offsets: np.ndarray, segment: int = 128, block: int = 2048) -> np.ndarray:
     """Mean of the positions' probabilities of every row; whole texts, in segments that run side by side.
 
+    The network starts anew in each segment, as it did in training, whose windows
+    are shorter still; so a text costs its length and not its longest chain of steps.
+
     Segments of one row may differ by one byte in length, so none is much shorter
     than the others; shorter ones are padded and the padding is left out.
     """

@@ -223,7 +223,7 @@ def _lexicon(rows: DataFrame, n_toxic: int, n_clean: int, most_terms: int, least
         return terms, []
     near = sorted({piece for t in terms for piece in (t[: len(t) // 2], t[len(t) // 2 :])})  # a word one edit away holds one of them
     clean = counts.filter(F.col("pos") < least_share * (F.col("pos") + F.col("neg"))).filter(F.col("word").rlike("|".join(map(re.escape, near))))
-    return terms, [r["word"] for r in clean.orderBy(F.desc("neg"), "word").limit(20_000).collect()]
+    return terms, [r["word"] for r in clean.orderBy("word").collect()]  # words of the sample, which bounds them
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
@@ -247,6 +247,10 @@ def learn(
 ) -> Model | None:
     """Lexicon and weights from at most ``sample_rows`` labelled rows outside the held-out fold, chosen by hash.
 
+    The lexicon has at most ``most_terms`` words and stems, those with the most
+    evidence, of which toxic rows have at least ``least_share``.  Words of the
+    sample that are mostly clean match exactly only.
+
     Only the text is an input of the score.  Rows with a null id, text or label are
     left out; an id with several labels counts as toxic if one says so.  None if
     the sample has not both labels.

@@ -406,3 +406,81 @@ def test_html_templates_equal_brute_force(spark):
     assert got == wanted
     assert any(html_extract.main_text(page) != wanted[key] for key, _, page in pages)
     assert html_extract.extract(frame.limit(0)).count() == 0
+
+
+def test_operators_on_empty_tables_null_ids_and_repeated_rows(spark):
+    """An empty table gives an empty result; rows with a null id and repeated rows keep their number."""
+    texts = ["one two three four five six seven", None, "", "one two three four five six seven", "x " * 60]
+    docs = documents(spark, texts + texts[:1], [1, 2, 3, None, 5, 1])
+    bench = spark.createDataFrame([(1, "some item of the test set here")], "item_id long, text string")
+    runs = {
+        "op3": lambda d: sentencepiece_codec.digest(sentencepiece_codec.encode_decode(d, MODEL)), "op4": lambda d: substring_dedup.digest(substring_dedup.dedup(d)), "op5": near_dedup.near_duplicates,
+        "op6": lambda d: token_counts.count_tokens(d, MODEL), "op7": lambda d: toxicity.score(d, None), "op8": lambda d: suffix_dedup.digest(suffix_dedup.dedup(d)), "op10": lambda d: language_id.predict(d, None),
+    }
+    for name, run in runs.items():
+        assert run(docs).count() == 6, name
+        assert run(docs.limit(0)).count() == 0, name
+    assert decontaminate.overlaps(docs.limit(0), bench).count() == 0
+    assert decontaminate.overlaps(docs, bench).count() == 0
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 1, "x"), (1, [1.0, 0.0], 1, "x"), (None, [1.0, 0.0], 1, "x"), (2, None, 1, "x"), (3, [1.0, 0.01], 1, "x")], "vec_id long, embedding array<double>, label int, kept string")
+    got = vector_dedup.near_duplicates(vectors)
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id) for r in got.collect()) == [(-1, 0, None), (1, 1, 1), (1, 1, 1), (2, 0, 2), (3, 1, 1)]
+    assert vector_dedup.near_duplicates(vectors.limit(0)).count() == 0
+    kept = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    assert (1, 1, True) in kept and (None, None, True) in kept
+
+
+def test_pipeline_stages_equal_brute_force(spark, small, tmp_path):
+    """Each stage against a plain version of its decision, over its own input, with null, empty and repeated rows."""
+    import corpus_pipeline as p
+
+    items = [r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    texts = corpus(40) + ["lead in " + items[0] + " tail", items[1]]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 1), (None, "no id here", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(p.STAGES)
+
+    def ran(name, given):
+        out = stage[name](spark, given, small)
+        assert stage[name](spark, given.limit(0), small).count() == 0
+        out.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    toxic = ran("toxicity", docs)
+    assert toxic.columns == p.COLUMNS
+    judged = {r.doc_id for r in toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{small}/labels.parquet"))).filter("predicted = 1").collect()}
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in toxic.collect()) == sorted((r[0] is None, r[0] or 0) for r in rows if r[0] is None or r[0] not in judged)
+
+    near = ran("near_dedup", toxic)
+    own = [(r.doc_id, r.text) for r in toxic.collect()]
+    sets = {i: shingles(t) for i, t in own if i is not None}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        if all(root[root[i]] == root[i] for i in root):
+            break
+    assert {r.doc_id for r in near.collect()} == {i for i, _ in own if i is None or root[i] == i}
+
+    rest = ran("substring_dedup", near)
+    order = sorted({(r.doc_id is None, r.doc_id or 0): r.text for r in near.collect()}.items())
+    split = [tuple((t or "").encode().split()) for _, t in order]
+    left = {}
+    for ((no_id, i), t), words, cover in zip(order, split, brute_windows(split, 20, False), strict=True):
+        after = b" ".join(w for w, c in zip(words, cover, strict=True) if not c).decode()
+        if not any(cover) or after:
+            left[None if no_id else i] = after if any(cover) else t
+    assert {r.doc_id: r.text for r in rest.collect()} == left
+
+    clean = ran("decontamination", rest)
+    gone = {r.doc_id for r in rest.collect()} - {r.doc_id for r in clean.collect()}
+    assert {len(texts) - 2, len(texts) - 1} & {r.doc_id for r in rest.collect()} == gone and gone
+
+    coded = ran("sentencepiece", clean)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for r in coded.join(clean.select("doc_id", "text"), "doc_id").collect():
+        ids = library.encode(r.text or "") + [library.eos_id()]
+        assert (r.ids, r.n_tokens, r.decoded) == (" ".join(map(str, ids)), len(ids), library.decode(ids))
+    assert coded.count() == clean.count()
