@@ -79,15 +79,18 @@ def overlaps(
     as null.  Repeated items give one row.  Other columns are ignored.
 
     The corpus is read once and never shuffled: the verified pairs alone are
-    grouped.  The seeds of the items are broadcast while they number at most
-    ``broadcast_rows``; beyond that the join shuffles seeds, not texts.
+    grouped.  The seeds of the items, each with its item's tokens, are broadcast while
+    they number at most ``broadcast_rows`` and their tokens ten times that (160 MB);
+    beyond that the join shuffles the texts' seeds, each with the part of the text
+    around it.
     """
     split = F.trim(F.regexp_replace(F.lower(F.col(item_text_col)), _SPLIT, " "))
     items = benchmark.select(F.col(item_col).alias("_item"), F.transform(F.split(split, " "), lambda x: F.xxhash64(x)).alias("_codes"))
     longest = max(items.agg(F.max(F.size("_codes"))).first()[0] or 0, *map(len, masks))
     tests = _seeded(items.withColumn("_test", F.col("_codes")), ["_item", "_test"], masks, longest)
     seeds = tests.select("_seed", "_item", F.col("_at").alias("_item_at"), "_test").distinct()
-    if seeds.count() <= broadcast_rows:
+    n, tokens = seeds.agg(F.count("*"), F.sum(F.size("_test"))).first()
+    if n <= broadcast_rows and (tokens or 0) <= 10 * broadcast_rows:
         seeds = F.broadcast(seeds)
     rows = docs.select(F.col(id_col).alias("_id"), _hashes(F.col(text_col)).alias("_codes"))
     hits = _seeded(rows, ["_id"], masks, longest).join(seeds, "_seed").withColumn("_shift", F.col("_local") - F.col("_item_at"))
