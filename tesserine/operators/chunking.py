@@ -42,23 +42,15 @@ def overlap_chunks(docs: DataFrame, id_col: str, text_col: str, most: int, overl
 def sections(docs: DataFrame, id_col: str, text_col: str, heading: str) -> DataFrame:
     """``id_col, section_no, title, n_lines, body``: lines grouped under the heading before them; lines before the first one form section 0.
 
-    Lines stay inside their document's array, so sections cost no shuffle.
+    Lines stay inside their document's array, so sections cost no shuffle; each line is copied once.
     """
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), x.rlike(heading).alias("head")))
-    start = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.array().cast("array<string>").alias("body")))
-    grown = F.aggregate(
-        marked,
-        start,
-        lambda acc, x: F.when(x["head"], F.concat(acc, F.array(F.struct(x["line"].alias("title"), F.array().cast("array<string>").alias("body"))))).otherwise(
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["title"].alias("title"), F.concat(F.element_at(acc, -1)["body"], F.array(x["line"])).alias("body"))),
-            )
-        ),
-    )
-    each = docs.select(F.col(id_col), F.posexplode(grown).alias("section_no", "_s"))
-    return each.select(id_col, "section_no", F.col("_s.title").alias("title"), F.size("_s.body").alias("n_lines"), F.array_join("_s.body", "\n").alias("body"))
+    lined = docs.select(F.col(id_col).alias("_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("_lines"))
+    heads = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.get("_lines", i - 1).rlike(heading))
+    cuts = lined.withColumn("_cuts", F.concat(F.array(F.lit(0)), heads))
+    until = lambda k: F.coalesce(F.get("_cuts", k + 1), F.size("_lines") + 1)
+    made = F.transform("_cuts", lambda c, k: F.struct(F.get("_lines", c - 1).alias("title"), F.slice("_lines", c + 1, until(k) - c - 1).alias("body")))
+    each = cuts.select("_id", F.posexplode(made).alias("section_no", "_s"))
+    return each.select(F.col("_id").alias(id_col), "section_no", F.col("_s.title").alias("title"), F.size("_s.body").alias("n_lines"), F.array_join("_s.body", "\n").alias("body"))
 
 
 def parents(headings: DataFrame, doc: str, number: str) -> DataFrame:

@@ -95,3 +95,24 @@ def confidence(signals: DataFrame, weights: dict[str, int], base: int = 20) -> D
 
 def route(score: Column) -> Column:
     return F.when(score >= 80, "AUTO").when(score >= 50, "QUICK").otherwise("FULL")
+
+
+def take_in_order(items: DataFrame, budget: int, order: str = "item_id", query: str = "query_id", tokens: str = "tokens") -> DataFrame:
+    """The items that a single queue takes: each in ``order`` if it still fits the budget, else it is skipped.
+
+    Of each size only the first ``budget / size`` items can be taken, so only these
+    are grouped, whatever a query's number of items; items without tokens always fit.
+    """
+    rank = F.row_number().over(Window.partitionBy(query, tokens).orderBy(order))
+    able = items.filter((F.col(tokens) > 0) & (F.col(tokens) <= budget)).select(query, order, tokens).withColumn("_r", rank).filter(F.col("_r") <= F.floor(F.lit(budget) / F.col(tokens))).drop("_r")
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        left, kept = budget, []
+        for size in own.sort_values(order, kind="stable")[tokens]:
+            kept.append(size <= left)
+            left -= size if kept[-1] else 0
+        return own.sort_values(order, kind="stable")[kept][[query, order]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+    taken = able.groupBy(query).applyInPandas(run, f"{query} {kinds[query]}, {order} {kinds[order]}")
+    return items.join(taken, [query, order], "left_semi").unionByName(items.filter(F.col(tokens) == 0))

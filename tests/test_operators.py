@@ -206,3 +206,39 @@ def test_lookups_push_keys_into_their_scans(spark, small):
         scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
         assert scans and all("PushedFilters: [In(" in line or "PushedFilters: [Or(" in line or "EqualTo(" in line for line in scans), (key, scans)
         assert sum("lineitem" in line for line in scans) == lines, key
+
+
+def test_hash_embeddings_and_name_ids(spark):
+    import hashlib
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from tesserine.functions import vectors
+
+    texts = ["", "a", "größe", "long " * 100]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", vectors.hash_embedding(F.col("t")).alias("v"), vectors.name_uuid(F.col("t")).alias("u")).collect()
+    for r in rows:
+        seed, want = r.t.encode(), []
+        while len(want) < 384:
+            seed = hashlib.sha384(seed).digest()
+            want += [b / 255 for b in seed]
+        size = sum(x * x for x in want) ** 0.5
+        assert max(abs(a - b / size) for a, b in zip(r.v, want, strict=True)) < 1e-12
+        assert r.u == str(uuid.uuid5(uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8"), r.t))
+
+
+def test_single_queue_equals_row_by_row(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(k % 3, k, rnd.choice([0, 1, 5, 9, 30, 200])) for k in range(300)]
+    items = frame(spark, rows, "query_id int, item_id int, tokens int")
+    want = set()
+    for q in range(3):
+        left = 100
+        for _, k, size in (r for r in rows if r[0] == q):
+            if size <= left:
+                left -= size
+                want.add((q, k))
+    assert {(r.query_id, r.item_id) for r in packing.take_in_order(items, 100).collect()} == want
