@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_HELD: dict[Hashable, object] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,3 +36,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+def held(key: Hashable, make: Callable[[], object]) -> object:
+    """What the tasks of one operator keep between them in a Python worker; another operator's tasks drop it."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Drop what other operators' tasks have left in this Python worker."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()

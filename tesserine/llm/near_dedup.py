@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import cut, small_batches
+from .common import cut, release, small_batches
 from .components import components
 
 _SHINGLE_BASE = 0xA0761D6478BD642F
@@ -132,6 +132,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, sketch: S
     """``_id, _n, _fa, _fb, _sketch``: set size, an order-free 128-bit digest of the set, and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at, to in packed.slices(batch.column(1), _SLICE):
                 hashes, counts = shingle_sets(*packed.buffers(batch.column(1).slice(at, to - at)), width)

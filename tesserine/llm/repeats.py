@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, small_batches
 from .packed import mix64
 
 LAST_ID = 2**63 - 1
@@ -117,6 +117,7 @@ def late_windows(docs: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[t
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in batches:

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
 from .piece_bpe import Memo, PieceModel
 
 
-@cache
 def _codec(path: str):
-    """One model and its memos for each Python worker."""
+    """One model and its memos, for all of a worker's tasks."""
     model = PieceModel(path)
     of_part = Memo(lambda s: " ".join(map(str, model.to_ids(model.tokens(s)))), 150_000)
 
@@ -39,7 +38,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, ids_of, text_of = _codec(model_path)
+        model, ids_of, text_of = held(("codec", model_path), lambda: _codec(model_path))
         for batch in batches:
             ids, decoded = [], []
             for text in batch.column(1).to_pylist():

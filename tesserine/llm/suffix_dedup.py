@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import cut
+from .common import cut, release
 from .induced_sort import BORDER, END, SHIFT, equal_windows
 from .repeats import _LATE, _pack_places, _unpack_places, corpus_bytes, keyed, pack, pack_by_part, unpack, with_late
 
@@ -87,6 +87,7 @@ def _shared_runs(docs: DataFrame, width: int, buckets: int, parts: int, hold: in
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, n = [], 0
         for batch in batches:
             batch = batch.take(pa.array(np.argsort(batch.column(1).to_numpy(), kind="stable")))

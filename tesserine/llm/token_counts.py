@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
 from .piece_bpe import Memo, PieceModel
 
 
@@ -21,9 +21,16 @@ def whole_tokens(model_path: str) -> list[str]:
     return [piece for piece in model.ids if model.merge(piece) == [piece]]
 
 
-@cache
-def _model(path: str) -> PieceModel:
-    return PieceModel(path)
+def _counter(path: str) -> tuple[PieceModel, Memo]:
+    """One model and the counts of its segments, for all of a worker's tasks."""
+    model = PieceModel(path)
+    parts = Memo(lambda s: len(model.to_ids(model.merge(s))), 150_000)
+
+    def counted(segment: str) -> int:
+        parts.trim()
+        return sum(map(parts.__getitem__, model.part.findall(segment)))
+
+    return model, Memo(counted)
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,19 +42,9 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     is merged.  There is no shuffle; the broadcast list is bounded by the vocabulary.
     """
     proved = docs.sparkSession.sparkContext.broadcast(whole_tokens(model_path))
-    held: dict[str, Memo] = {}  # filled in each Python worker
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(model_path)
-        if "counts" not in held:
-            parts = held["parts"] = Memo(lambda s: len(model.to_ids(model.merge(s))), 150_000)
-
-            def counted(segment: str) -> int:
-                parts.trim()
-                return sum(map(parts.__getitem__, model.part.findall(segment)))
-
-            held["counts"] = Memo(counted)
-        counts = held["counts"]
+        model, counts = held(("counts", model_path), lambda: _counter(model_path))
         whole = dict.fromkeys(proved.value, 1)
         counts.update(whole)
         for batch in batches:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, release, small_batches
 
 _WORD = re.compile(r"[^\W_]+(?:[*@$!][^\W_]+)*")
 _QUOTES = "\"“”„«»‹›‘’"
@@ -192,6 +192,7 @@ def _lexicon(rows: DataFrame, n_toxic: int, n_clean: int, most_terms: int, least
     """
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [sorted(set(_WORD.findall(t.lower()))) for t in batch.column(1).to_pylist()]
             take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
@@ -297,6 +298,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     held: dict[str, Scanner] = {}  # filled in each Python worker
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shared.value
         if "scanner" not in held:
             held["scanner"] = Scanner(model.terms, model.clean)
