@@ -101,7 +101,31 @@ def pack_by_part(doc: np.ndarray, twin: np.ndarray, place: np.ndarray, parts: in
     """Positions as packed lists, one row for each part of the documents."""
     part = part_of(doc, parts)
     order = np.lexsort((place, twin, doc, part))
-    doc, twin, place, part = doc[order], twin[order], place[order], part[order]
+    return _pack_parts(doc[order], twin[order], place[order], part[order])
+
+
+def pack_runs_by_part(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, count: np.ndarray, parts: int) -> pa.Table:
+    """The same from runs of consecutive positions that do not overlap: runs are sorted, then spelt out."""
+    part = part_of(doc, parts)
+    order = np.lexsort((start, twin, doc, part))
+    return _pack_parts(*spelt(doc[order], twin[order], start[order], count[order]), np.repeat(part[order], count[order]))
+
+
+def spelt(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs as single positions."""
+    first = np.cumsum(count) - count
+    return np.repeat(doc, count), np.repeat(twin, count), np.repeat(start - first, count) + np.arange(int(count.sum()))
+
+
+def as_runs(doc: np.ndarray, twin: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, in order inside each document, as runs."""
+    if not len(doc):
+        return doc, twin, place, place
+    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1]) | (place[1:] != place[:-1] + 1)])
+    return doc[head], twin[head], place[head], np.diff(head, append=len(doc))
+
+
+def _pack_parts(doc: np.ndarray, twin: np.ndarray, place: np.ndarray, part: np.ndarray) -> pa.Table:
     bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
     out = [_pack_places(doc[x], twin[x], place[x]) for x in map(slice, bounds, [*bounds[1:], len(part)])]
     columns = zip(*out, strict=True) if out else [[]] * 4

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import packed
 from .common import cut, release
 from .induced_sort import BORDER, END, SHIFT, equal_windows
-from .repeats import _LATE, _pack_places, _unpack_places, corpus_bytes, keyed, pack, pack_by_part, unpack, with_late
+from .repeats import _LATE, _pack_places, _unpack_places, as_runs, corpus_bytes, keyed, pack, pack_by_part, pack_runs_by_part, spelt, unpack, with_late
 
 GRAM = 25
 _BASE = 0xC2B2AE3D27D4EB4F
@@ -149,7 +149,7 @@ class _Pieces:
     def __init__(self, width: int):
         self.width = width
         self.owner: dict[bytes, tuple[tuple[int, int], list[int]]] = {}
-        self.late: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.late: list[tuple[int, int, int, int]] = []
 
     def add(self, piece: bytes, key: tuple[int, int], lows: list[int]) -> None:
         held = self.owner.get(piece)
@@ -164,18 +164,18 @@ class _Pieces:
 
     def lose(self, key: tuple[int, int], lows: list[int], start: int, stop: int) -> None:
         for lo in lows:
-            self.late.append((np.full(stop - start, key[0]), np.full(stop - start, key[1]), np.arange(lo + start, lo + stop)))
+            self.late.append((*key, lo + start, stop - start))
 
-    def decided(self) -> list[np.ndarray]:
-        return [np.concatenate(x) for x in zip(*self.late, strict=True)] if self.late else [np.zeros(0, np.int64)] * 3
+    def decided(self) -> np.ndarray:
+        """Lost windows as runs: document, twin, first window, number of windows."""
+        return np.array(self.late, np.int64).reshape(-1, 4).T
 
     def cells(self) -> list[bytes]:
         owners, lows = [k for k, _ in self.owner.values()], [lo for _, lo in self.owner.values()]
         content = zstandard.ZstdCompressor(level=1).compress(b"".join(self.owner))
         numbers = (list(map(len, self.owner)), [d for d, _ in owners], [t for _, t in owners], list(map(len, lows)), [x for lo in lows for x in lo])
-        doc, twin, place = self.decided()
-        order = np.lexsort((place, twin, doc))
-        return [content, *(pack(np.array(x, np.int64)) for x in numbers), *_pack_places(doc[order], twin[order], place[order])]
+        runs = self.decided()
+        return [content, *(pack(np.array(x, np.int64)) for x in numbers), *_pack_places(*spelt(*runs[:, np.lexsort((runs[2], runs[1], runs[0]))]))]
 
 
 def _segments(texts: pa.Table, late_of, width: int, shards: int, buckets: int, hot: np.ndarray) -> pa.Table:
@@ -261,8 +261,8 @@ def _sort_shard(table: pa.Table, width: int, parts: int, memory_items: int) -> p
         k = int(np.searchsorted(begin, late[a], side="right")) - 1
         start = int(late[a] - begin[k])
         pieces.lose(*own[k], start, start + int(b - a))
-    doc, twin, place = (np.concatenate([x, *(k[i] for k in known)]) for i, x in enumerate(pieces.decided()))
-    return pack_by_part(doc, twin, place, parts)
+    earlier = [as_runs(*k) for k in known]
+    return pack_runs_by_part(*(np.concatenate([x, *(k[i] for k in earlier)]) for i, x in enumerate(pieces.decided())), parts)
 
 
 def dedup(
