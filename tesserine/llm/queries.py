@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, near_dedup, sentencepiece_codec, substring_dedup, suffix_dedup, token_counts, toxicity, vector_dedup
+from . import decontaminate, divergence, html_extract, language_id, mixing, near_dedup, resampling, sentencepiece_codec, substring_dedup, suffix_dedup, token_counts, toxicity, vector_dedup
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -58,6 +58,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), parts=3, held_out=1)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.label_weights(table(spark, sf_dir, "labels")))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_vector_dedup": op9_vector_dedup,
         "op10_language_id": op10_language_id,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_source_mixing": op12_source_mixing,
+        "op13_target_resampling": op13_target_resampling,
         "pipeline": pipeline,
     }
 
@@ -103,11 +118,60 @@ def _decontamination_sql() -> str:
     select doc_id, item_id, max(equal)::bigint as n_equal, max(w)::bigint as n_window, count(*) as n_places from b where equal >= ceil(w * {decontaminate.AGREEMENT}) group by 1, 2"""
 
 
+def _divergence_sql() -> str:
+    """Every kept term of every group, absent ones too, without baselines or bits."""
+    return """with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+    g as (select distinct lang, source from d), u as (select id, lang, source, unnest(w) as term from d),
+    k as (select lang, term from u group by all having count(distinct id) >= 10), v as (select lang, count(*) as v from k group by 1),
+    c as (select lang, source, term, count(*) as n from u join k using (lang, term) group by all),
+    gt as (select lang, source, sum(n) as total from c group by all), lt as (select lang, sum(n) as total from c group by 1), lc as (select lang, term, sum(n) as n from c group by all),
+    p as (select lang, source, term, coalesce(n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 2)) // (coalesce(total, 0) + 2 * v) as p from g join k using (lang) join v using (lang) left join c using (lang, source, term) left join gt using (lang, source)),
+    q as (select lang, term, 1 + (1000000000::hugeint * (n + 2)) // (total + 2 * v) as q from lc join lt using (lang) join v using (lang)),
+    s as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    e as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+    union all select lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::bigint from p join q using (lang, term) where n > 0 and p > q),
+    r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from e) select * from r where part = 'pair' or rank <= 10"""
+
+
+def _mixing_sql() -> str:
+    """The level from sources sorted by cap and weight, documents from one sort of each source."""
+    return """with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::bigint as size from documents),
+    s as (select source, sum(size)::bigint as source_size from d group by 1),
+    r as (select source, source_size, 3 * source_size as cap, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as share from s),
+    t as (select *, row_number() over o as place, ((sum(source_size) over ()) - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0))::double / (sum(share) over (o rows between current row and unbounded following))::double as level from r window o as (order by cap::double / share, source nulls last)),
+    l as (select arg_min(level, place) as level from t where cap::double >= level * share),
+    m as (select source, source_size, least(cap::double, level * share) as target from r, l),
+    q as (select doc_id, 1 + 3 * avg(quality) as weight from labels where quality is not null and doc_id is not null group by 1),
+    k as (select d.doc_id, d.source, size, source_size, target, round(target)::bigint as whole, -ln((('0x' || substr(sha256('2024:' || coalesce(d.doc_id::varchar, '')), 1, 12))::bigint + 0.5) / 281474976710656.0::double) / coalesce(weight, 2.0) as key from d join m on d.source is not distinct from m.source left join q on d.doc_id = q.doc_id),
+    f as (select *, coalesce(sum(size) over (partition by source order by key, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as ahead, case when source_size > 0 then whole // source_size else 0 end as rounds from k)
+    select doc_id, source, size, source_size, target, (rounds * size + greatest(0, least(size, whole - rounds * source_size - ahead)))::bigint as taken from f"""
+
+
+def _resampling_sql() -> str:
+    """Checksums byte by byte from the polynomial, whole texts without chunks, one sort of all documents."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""with tab as (select list(c order by i) as t from (select i, list_reduce(list_concat([i], range(8)), lambda a, x: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end) as c from (select unnest(range(256)) as i))),
+    d as (select row_number() over () as id, doc_id, {words} as w from documents), b as (select unnest({words}) as word from benchmark),
+    u as (select id, unnest(w) as word from d), h as (select word, hex(encode(word)) as h from (select word from u union select word from b)),
+    x as (select word, xor(list_reduce(list_concat([4294967295], list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) % 10000 as bucket from h, tab),
+    s as (select bucket, count(*) as s from u join x using (word) group by 1), t as (select bucket, count(*) as t from b join x using (word) group by 1),
+    n as (select (select count(*) from u) as s, (select count(*) from b) as t),
+    g as (select z.bucket, floor(1000 * ln((coalesce(t.t, 0) + 1)::double * (n.s + 10000)::double / ((coalesce(s.s, 0) + 1)::double * (n.t + 10000)::double)))::bigint as gain from (select unnest(range(10000)) as bucket) z left join s using (bucket) left join t using (bucket), n),
+    m as (select id, count(*) as n, sum(gain) as total from u join x using (word) join g using (bucket) group by 1),
+    e as (select d.doc_id, len(w) as n_words, coalesce(m.n, 0)::bigint as n_features, case when m.n > 0 then ((total - ((total % m.n) + m.n) % m.n) // m.n) else 0 end::bigint as weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from d left join m using (id)),
+    f as (select doc_id, n_words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5)::double / 4294967296.0::double)))::bigint as score from e),
+    o as (select *, case when n_words >= 20 then row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls first, n_features, weight) end as place, count(*) filter (n_words >= 20) over () * 10 // 100 as drawn from f)
+    select doc_id, n_features, weight, score, (case when place <= drawn then place end)::bigint as rank from o"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can say what an operator does; the others are tested against brute force in ``tests/llm``."""
     words = "string_split_regex(trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g'), ' '), ' ')"
     return {
         "op2_decontamination": _decontamination_sql(),
+        "op11_source_divergence": _divergence_sql(),
+        "op12_source_mixing": _mixing_sql(),
+        "op13_target_resampling": _resampling_sql(),
         "op4_substring_dedup": f"""with d as (select doc_id, case when coalesce(text, '') = '' or trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g'), ' ') = '' then [] else {words} end as w from documents),
     p as (select doc_id, w, unnest(range(len(w) - 19)) as s from d), x as (select doc_id, s, row_number() over (partition by md5(array_to_string(w[s + 1 : s + 20], ' ')) order by doc_id, s) > 1 as late from p),
     c as (select distinct doc_id, unnest(range(s, s + 20)) as k from x where late), g as (select doc_id, list(k) as gone from c group by 1),
