@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to ``spark.checkpoint.dir``; a temporary folder stands in only where that is unset and all runs in one process, as in tests."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The application's folder in ``spark.checkpoint.dir``; a temporary one stands in only where that is unset and all runs in one process, as in tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
+        if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tesserine-checkpoint-"))
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tesserine-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to ``spark.checkpoint.dir``, so that lineage ends in files that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

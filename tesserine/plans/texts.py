@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.chunking import overlap_chunks, sections
-from ..operators.nearest import best_columns
+from ..operators.text_index import TextIndex
+from ..checkpoints import shared_folder
 from ..registry import register
+from ..sources.snapshots import fingerprint
 from ..tables import table
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -97,49 +96,41 @@ _TOKEN_SEARCH = f"""with q as (select item_id, unnest(list_distinct({_WORDS})) a
     select item_id, doc_id, round(hits / k, 6) as score from h join n using (item_id) qualify row_number() over (partition by item_id order by hits / k desc, doc_id) <= 10"""
 
 
-# Queries of a block: their words go along with one scan of the documents.
-TOKEN_QUERIES = 1000
+def documents_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of the documents' words, labelled by source, in the shared folder; built when the table's files are new or changed, kept for later searches."""
+    path = f"{sf_dir}/documents.parquet"
+    index = TextIndex(spark, f"{shared_folder(spark)}/text-index-{fingerprint(spark, path)}")
+    if not index.exists():
+        docs = table(spark, sf_dir, "documents")
+        index.build(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("label")), T.words(F.col("text")))
+    return index
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query"), T.words(F.col("text")).alias("words"))
 
 
 @register("token_index_search", _TOKEN_SEARCH)
 def token_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the query's words found in each document, ten best for every item whose id is divisible by 50, in blocks of queries of a bounded size.
+    """Share of the query's words found in each document, ten best for every item whose id is divisible by 50, from the kept index."""
+    found = documents_index(spark, sf_dir).search(_asked(spark, sf_dir), k=10, share=True)
+    return found.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "score")
 
-    A task holds the postings of a block's words and keeps the ten best of each batch.
-    """
-    asked = table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0).select("item_id", F.array_distinct(T.words(F.col("text"))).alias("w")).filter(F.size("w") > 0)
-    blocks = max(-(-asked.count() // TOKEN_QUERIES), 1)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("_w")).filter(F.size("_w") > 0)
-    found = None
-    for block in range(blocks):
-        queries = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        postings: dict[str, list[int]] = {}
-        for i, r in enumerate(queries):
-            for w in r["w"]:
-                postings.setdefault(w, []).append(i)
-        given = spark.sparkContext.broadcast(({w: np.array(at) for w, at in postings.items()}, np.array([r["item_id"] for r in queries], np.int64), np.array([len(r["w"]) for r in queries], np.float64)))
-        part = docs.mapInArrow(_token_hits(given), "item_id long, doc_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("_r") <= 10)
-    return best.select("item_id", "doc_id", F.round("score", 6).alias("score"))
-
-
-def _token_hits(given):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        postings, items, sizes = given.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000).sort_by("doc_id")
-                hits = np.zeros((len(items), part.num_rows))
-                for d, words in enumerate(part.column(1).to_pylist()):
-                    met = [postings[w] for w in words if w in postings]
-                    if met:
-                        hits[:, d] = np.bincount(np.concatenate(met), minlength=len(items))
-                share = np.where(hits > 0, hits / sizes[:, None], -np.inf)
-                i, d = best_columns(share, 10)
-                yield pa.RecordBatch.from_arrays([pa.array(items[i]), part.column(0).take(pa.array(d)), pa.array(share[i, d])], ["item_id", "doc_id", "score"])
-
-    return search
+
+#: Sources whose hits count less in the ranked search.
+LOW_SOURCES = {"src8": 0.3, "src9": 0.3}
+
+
+@register(
+    "fulltext_index_search",
+    f"""with q as (select item_id, unnest(list_distinct({_WORDS})) as w from benchmark where item_id % 50 = 0), d as (select doc_id, source, unnest({_WORDS}) as w from documents),
+    f as (select w, doc_id, any_value(source) as source, floor(1000 * (1 + ln(count(*))))::bigint as impact from d group by 1, 2), n as (select w, floor(1000 * ln(1 + (select count(*) from documents)::double / count(*)))::bigint as weight from f group by 1)
+    select item_id, doc_id, sum(impact * weight) * (case when any_value(source) in ('src8', 'src9') then 0.3 else 1.0 end)::double / 1000000 as score from q join f using (w) join n using (w) group by 1, 2 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 20""",
+)
+def fulltext_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by term frequency and rarity of the query's words, those of low-value sources at 0.3 of their score; twenty best for every item whose id is divisible by 50."""
+    found = documents_index(spark, sf_dir).search(_asked(spark, sf_dir), k=20, factors=LOW_SOURCES)
+    return found.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "score")
 
 
 @register(
