@@ -1,40 +1,216 @@
-"""Propagation of accesses along calls."""
+"""Propagation of accesses along calls, aware of dispatchers, constants and branches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut as checkpoint
 
+Cut = Callable[[DataFrame], DataFrame]
+#: Accesses of these contexts are a function's own and settle the matter; a missing context is DIRECT.
+OWN_CONTEXTS = ("DIRECT", "STRUCT_CHAIN")
+#: The branch that is always taken.
+BODY = "B0"
+
 
 def dispatchers(calls: DataFrame) -> DataFrame:
     """``node``: callers that reach two or more different callees under case labels."""
-    cases = calls.filter(F.col("case_label").isNotNull()).groupBy("caller").agg(F.count_distinct("callee").alias("n"))
+    cases = calls.filter(F.coalesce("case_label", F.lit("")) != "").groupBy("caller").agg(F.count_distinct("callee").alias("n"))
     return cases.filter(F.col("n") >= 2).select(F.col("caller").alias("node"))
 
 
-def propagate(public: DataFrame, calls: DataFrame, accesses: DataFrame, most: int = 4, cut: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
-    """``node, target, depth``: what each public function reaches through at most ``most`` calls and doesn't access itself.
+def reach(starts: DataFrame, calls: DataFrame, most: int = 4, cases: str = "follow", cut: Cut = checkpoint) -> DataFrame:
+    """``node, at, depth``: what each start (``node``) calls through at most ``most`` calls, by the shortest way, without itself.
 
-    Dispatchers met on the way count, but are not expanded: their cases belong to
-    other paths.  A public dispatcher is expanded, as it starts its own.
+    ``cases``: ``follow`` follows every call; ``closed`` counts dispatchers but never
+    goes on from them; ``own`` does too, and of a start that is a dispatcher it
+    follows only the calls outside of cases, as one case is taken at a time.
     """
-    links = calls.select(F.col("caller").alias("at"), F.col("callee").alias("_next")).distinct()
-    closed = dispatchers(calls).select(F.col("node").alias("at"))
-    front = public.select(F.col("node"), F.col("node").alias("at")).distinct()
+    links = calls.groupBy(F.col("caller").alias("at"), F.col("callee").alias("_next")).agg(F.bool_or(F.coalesce("case_label", F.lit("")) == "").alias("_plain"))
+    links = cut(links.filter(F.col("_next").isNotNull() & F.col("at").isNotNull()))
+    closed = cut(dispatchers(calls).select(F.col("node").alias("at")).withColumn("_closed", F.lit(True)))
+    front = starts.select("node", F.col("node").alias("at")).distinct()
+    if cases == "own":
+        front = front.join(closed, "at", "left").withColumnRenamed("_closed", "_only_plain")
     seen = None
     for depth in range(1, most + 1):
-        step = front.join(links, "at").select("node", F.col("_next").alias("at")).filter(F.col("node") != F.col("at")).distinct()
+        step = front.join(links, "at")
+        if cases == "own" and depth == 1:
+            step = step.filter(F.col("_only_plain").isNull() | F.col("_plain"))
+        step = step.select("node", F.col("_next").alias("at")).filter(F.col("node") != F.col("at")).distinct()
         fresh = step if seen is None else step.join(seen.select("node", "at"), ["node", "at"], "left_anti")
         fresh = cut(fresh.withColumn("depth", F.lit(depth)))
         seen = fresh if seen is None else seen.unionByName(fresh)
-        front = fresh.select("node", "at").join(closed, "at", "left_anti")
-    own = accesses.select(F.col("node"), "target").distinct()
-    reached = seen.join(own.withColumnRenamed("node", "at"), "at").groupBy("node", "target").agg(F.min("depth").alias("depth"))
-    return reached.join(own, ["node", "target"], "left_anti")
+        front = fresh.select("node", "at")
+        if cases != "follow":
+            front = front.join(closed, "at", "left_anti")
+    return seen
+
+
+def open_branches(flows: DataFrame, wide: DataFrame, constants: DataFrame, parameters: DataFrame, branches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which branches of a callee a start can reach: the pairs ``node, at`` that constants decide, and their open ``node, at, branch_id``.
+
+    A pair is decided if the callee has branches on parameters and some caller of it that the
+    start reaches (``wide``, or the start itself) passes it a constant
+    (``constants``: ``caller, callee, position, value``).  A branch on a parameter
+    (``branches``: ``callee, branch_id, param, op, value, is_else, chain``) is open
+    if these callers disagree about the parameter or pass none, if its
+    condition holds for the one value passed, or, for an else, if no ``==`` of its
+    chain does; other operators leave it open.  Branches on nothing that a
+    parameter decides are not among them, the body always is.
+    """
+    tested = branches.filter(F.col("param").isNotNull() & (F.col("branch_id") != BODY))
+    named = constants.filter(F.col("value").isNotNull()).join(parameters.withColumnRenamed("function_id", "callee"), ["callee", "position"], "left")
+    around = wide.select("node", F.col("at").alias("caller")).unionByName(wide.select("node", F.col("node").alias("caller"))).distinct()
+    passed = named.join(around, "caller").withColumnRenamed("callee", "at").join(flows.select("node", "at"), ["node", "at"])
+    decided = passed.select("node", "at").distinct().join(tested.select(F.col("callee").alias("at")).distinct(), "at", "left_semi")
+    values = passed.filter(F.col("name").isNotNull()).groupBy("node", "at", F.col("name").alias("param")).agg(F.count_distinct("value").alias("_n"), F.min("value").alias("_passed"))
+    equal = tested.filter(F.col("op") == "==").groupBy("callee", "chain").agg(F.collect_set("value").alias("_equal"))
+    rows = decided.join(tested.join(equal, ["callee", "chain"], "left").withColumnRenamed("callee", "at"), "at").join(values, ["node", "at", "param"], "left")
+    known = F.coalesce(F.col("_n") == 1, F.lit(False))
+    other = ~F.coalesce(F.array_contains("_equal", F.col("_passed")), F.lit(False))
+    holds = F.when(F.coalesce("is_else", F.lit(False)), other).when(F.col("op") == "==", F.col("value").eqNullSafe(F.col("_passed"))).when(F.col("op") == "!=", ~F.col("value").eqNullSafe(F.col("_passed"))).otherwise(True)
+    taken = rows.filter(~known | holds).select("node", "at", "branch_id")
+    return decided, taken.unionByName(decided.withColumn("branch_id", F.lit(BODY))).distinct()
+
+
+def propagate(public: DataFrame, calls: DataFrame, accesses: DataFrame, constants: DataFrame | None = None, parameters: DataFrame | None = None, branches: DataFrame | None = None, most: int = 4, cut: Cut = checkpoint) -> DataFrame:
+    """What public functions access through their callees: ``node, target, member, access_type, callee, depth``.
+
+    ``public``: ``node``.  ``calls``: ``caller, callee, case_label``.  ``accesses``:
+    ``node, target, member, access_type, context, branch_id`` (READ, WRITE or
+    READ_WRITE); rows without a member are no struct accesses and stay where they are.
+
+    Callees are those of :func:`reach` with dispatchers closed.  Where constants decide
+    (:func:`open_branches`), only accesses in the body and in open branches count.  A
+    member that the function accesses itself is not propagated.  A callee that reads and writes
+    a member gives READ_WRITE; across callees READ_WRITE comes before
+    WRITE, and WRITE before READ.  One row for each member: the nearest callee,
+    then the least name.
+    """
+    flows = reach(public, calls, most, "own", cut)
+    held = accesses.filter(F.coalesce("member", F.lit("")) != "").select(F.col("node").alias("at"), "target", "member", F.coalesce("access_type", F.lit("READ")).alias("access_type"), F.coalesce("context", F.lit("DIRECT")).alias("context"), F.coalesce("branch_id", F.lit(BODY)).alias("branch_id"))
+    met = flows.join(held.drop("context"), "at")
+    if constants is not None:
+        decided, taken = open_branches(flows, reach(public, calls, most, "follow", cut), constants, parameters, branches)
+        met = met.join(decided.withColumn("_decided", F.lit(True)), ["node", "at"], "left").join(taken.withColumn("_open", F.lit(True)), ["node", "at", "branch_id"], "left")
+        met = met.filter(F.col("_decided").isNull() | F.col("_open"))
+    key = ["node", "target", "member"]
+    own = held.withColumnRenamed("at", "node")
+    met = met.join(own.filter(F.col("context").isin(*OWN_CONTEXTS)).select(*key).distinct(), key, "left_anti")
+    kind = lambda k: F.bool_or(F.col("access_type") == k)
+    each = met.groupBy(*key, "at").agg(F.min("depth").alias("depth"), kind("READ").alias("_r"), kind("WRITE").alias("_w"), kind("READ_WRITE").alias("_b"))
+    both = F.col("_r") & F.col("_w") & ~F.col("_b")
+    types = F.when(both, F.array(F.lit("READ_WRITE"))).otherwise(F.filter(F.array(F.when(F.col("_r"), "READ"), F.when(F.col("_w"), "WRITE"), F.when(F.col("_b"), "READ_WRITE")), lambda x: x.isNotNull()))
+    rows = each.select(*key, "at", "depth", F.explode(types).alias("access_type"))
+    rows = rows.join(own.select(*key, "access_type").distinct(), [*key, "access_type"], "left_anti")
+    nearest = rows.groupBy(*key, "access_type").agg(F.min(F.struct("depth", F.col("at").alias("callee"))).alias("_c"))
+    rank = F.when(F.col("access_type") == "READ_WRITE", 0).when(F.col("access_type") == "WRITE", 1).otherwise(2)
+    first = nearest.groupBy(*key).agg(F.min(F.struct(rank.alias("rank"), "access_type", "_c")).alias("_f"))
+    return first.select(*key, "_f.access_type", "_f._c.callee", "_f._c.depth")
+
+
+def propagate_registers(public: DataFrame, calls: DataFrame, accesses: DataFrame, most: int = 5, cut: Cut = checkpoint) -> DataFrame:
+    """``node, register, access_type, field, propagated``: a public function's own register accesses and those of what it calls.
+
+    Dispatchers are not gone through, but a start may be one.  The field is the
+    own one or else the least of the callees'.
+    """
+    flows = reach(public, calls, most, "closed", cut)
+    own = accesses.join(public.select("node").distinct(), "node", "left_semi").select("node", "register", "access_type", "field", F.lit(False).alias("propagated"))
+    through = flows.join(accesses.select(F.col("node").alias("at"), "register", "access_type", "field"), "at").select("node", "register", "access_type", "field", F.lit(True).alias("propagated"))
+    both = own.unionByName(through).groupBy("node", "register", "access_type")
+    return both.agg(F.coalesce(F.min(F.when(~F.col("propagated"), F.col("field"))), F.min("field")).alias("field"), F.bool_and("propagated").alias("propagated"))
+
+
+def _steps(chain: str) -> Column:
+    """The names of a member chain (``a.b->c[i]``) in order, without subscripts and address or dereference marks."""
+    bare = F.regexp_replace(F.regexp_replace(chain, r"\[[^\]]*\]", ""), r"[\s&*()]", "")
+    return F.filter(F.split(bare, r"\.|->"), lambda x: x != "")
+
+
+def resolve_chains(uses: DataFrame, variables: DataFrame, aliases: DataFrame, members: DataFrame, most: int = 8, cut: Cut = checkpoint) -> DataFrame:
+    """``function_id, variable_id, member, leaf_type, chain, access_type, context``: member chains led back to their global variable.
+
+    ``uses``: ``function_id, chain, access_type, context``; ``variables``:
+    ``variable_id, name, type``; ``aliases``: ``function_id, local, chain`` (a local
+    pointer and what it was set to); ``members``: ``type, member, member_type``.
+
+    A chain whose first name is a local of its function is replaced by what the local
+    stands for, again and again (``most`` times at most, so a cycle ends).  Then the
+    names after the variable are looked up one by one in the type of the one
+    before: ``member`` is the part of the chain that the types know, ``leaf_type`` its type.
+    Chains that lead to no global variable give no row.
+    """
+    rows = uses.select("function_id", "chain", "access_type", "context", _steps("chain").alias("_s"), F.lit(False).alias("_through"))
+    local = cut(aliases.select("function_id", F.col("local").alias("_root"), _steps("chain").alias("_to")).filter(F.size("_to") > 0).groupBy("function_id", "_root").agg(F.min("_to").alias("_to")))
+    done = None
+    for _ in range(most):
+        turned = rows.withColumn("_root", F.get("_s", F.lit(0))).join(local, ["function_id", "_root"], "left")
+        turned = cut(turned.withColumn("_more", F.col("_to").isNotNull()))
+        stay = turned.filter(~F.col("_more")).drop("_root", "_to", "_more")
+        done = stay if done is None else done.unionByName(stay)
+        rest = F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(1)))
+        rows = turned.filter("_more").withColumn("_s", F.when(F.size("_s") > 1, F.concat("_to", rest)).otherwise(F.col("_to"))).withColumn("_through", F.lit(True)).drop("_root", "_to", "_more")
+        if rows.isEmpty():
+            break
+    known = variables.groupBy("name").agg(F.min(F.struct("variable_id", "type")).alias("_v"))
+    at = done.withColumn("name", F.get("_s", F.lit(0))).join(known, "name").select("function_id", "chain", "access_type", "context", "_through", "_v.variable_id", F.col("_v.type").alias("type"), "_s", F.lit(1).alias("_at"))
+    by = members.groupBy("type", F.col("member").alias("_name")).agg(F.min("member_type").alias("_next"))
+    ended = None
+    while True:
+        looked = cut(at.withColumn("_name", F.get("_s", F.col("_at"))).join(by, ["type", "_name"], "left"))
+        stop = looked.filter(F.col("_next").isNull()).drop("_next", "_name")
+        ended = stop if ended is None else ended.unionByName(stop)
+        at = looked.filter(F.col("_next").isNotNull()).withColumn("type", F.col("_next")).withColumn("_at", F.col("_at") + 1).drop("_next", "_name")
+        if at.isEmpty():
+            break
+    path = F.array_join(F.slice("_s", 2, F.greatest(F.col("_at") - 1, F.lit(0))), ".")
+    context = F.when(F.col("_through"), "ALIAS").otherwise(F.coalesce("context", F.lit("DIRECT")))
+    return ended.select("function_id", "variable_id", path.alias("member"), F.col("type").alias("leaf_type"), "chain", F.coalesce("access_type", F.lit("READ")).alias("access_type"), context.alias("context"))
+
+
+def usage_edges(resolved: DataFrame) -> DataFrame:
+    """One edge for each function, variable and member: ``function_id, variable_id, member, access_type, contexts, via_chain, n``.
+
+    Different kinds of access make READ_WRITE; contexts are listed in order, the
+    longest chain is kept (the least of equally long ones), ``n`` counts the uses.
+    """
+    types, longest = F.sort_array(F.collect_set("access_type")), F.min(F.struct(-F.length("chain"), F.col("chain").alias("chain")))
+    grouped = resolved.groupBy("function_id", "variable_id", "member").agg(types.alias("_t"), F.array_join(F.sort_array(F.collect_set("context")), ",").alias("contexts"), longest.alias("_l"), F.count("*").alias("n"))
+    return grouped.select("function_id", "variable_id", "member", F.when(F.size("_t") > 1, "READ_WRITE").otherwise(F.col("_t")[0]).alias("access_type"), "contexts", F.col("_l.chain").alias("via_chain"), "n")
+
+
+def register_edges(accesses: DataFrame, registers: DataFrame) -> DataFrame:
+    """``function_id, register, access_type, field, created``: accesses matched to the registers of their module, or to new ones.
+
+    ``accesses``: ``function_id, module, register, field, access_type``; ``registers``:
+    ``name, module``.  An access name without subscripts, dots as underscores,
+    matches a register of the same full name anywhere, and in its module one that
+    ends with it after an underscore, where each part of a name of several parts
+    may carry a number (``CH_CFG`` meets ``ADC_CH0_CFG``).  What matches none becomes a new
+    register of its own name.  Names under three characters are left out.  One edge for each function,
+    register and kind of access, with the least field.
+
+    Names meet on the endings of register names with numbers taken off, so nothing is compared with all registers.
+    """
+    norm = F.regexp_replace(F.regexp_replace("register", r"\[.*?\]", ""), r"\.", "_")
+    asked = accesses.withColumn("norm", norm).filter(F.length("norm") >= 3).groupBy("function_id", "module", "norm", "access_type").agg(F.min("field").alias("field"), F.min("register").alias("register"))
+    plain = lambda c: F.regexp_replace(c, r"\d+(?=_|$)", "")
+    parts = F.split("name", "_")
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "_"))
+    ends = registers.select("name", "module", F.explode(F.when(F.size(parts) > 1, tails)).alias("tail")).withColumn("_key", plain("tail"))
+    pattern = F.regexp_replace("norm", "_", r"\\d*_")
+    fits = (F.col("tail") == F.col("norm")) | (F.col("norm").contains("_") & F.expr("regexp_like(tail, concat('^', _pattern, '\\\\d*$'))"))
+    close = asked.withColumn("_key", plain("norm")).withColumn("_pattern", pattern).join(ends, ["module", "_key"]).filter(fits)
+    same = asked.join(registers.select(F.col("name").alias("register")).distinct(), "register").withColumn("name", F.col("register"))
+    found = close.select("function_id", "norm", "module", "access_type", "name").unionByName(same.select("function_id", "norm", "module", "access_type", "name")).distinct()
+    met = asked.join(found, ["function_id", "norm", "module", "access_type"], "left")
+    named = met.select("function_id", F.coalesce("name", "norm").alias("register"), "access_type", "field", F.col("name").isNull().alias("created"))
+    return named.groupBy("function_id", "register", "access_type").agg(F.min("field").alias("field"), F.bool_and("created").alias("created"))
 
 
 def reachable_branches(arguments: DataFrame, branches: DataFrame) -> DataFrame:

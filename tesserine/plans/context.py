@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut
 from ..functions import text as T
 from ..functions.text import token_estimate
-from ..operators import dataflow, overlay, packing
+from ..operators import overlay, packing
 from ..registry import register
 from ..tables import table
 
@@ -197,26 +197,6 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(100.0 * done / F.count("*"), 1).alias("percent_done"))
 
 
-def call_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A call graph from the tables: customers call the nations they belong to, nations their regions, regions the suppliers' nations (under case labels); suppliers access parts."""
-    pre = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    null = F.lit(None).cast("string")
-    one = table(spark, sf_dir, "customer").select(pre("C", "c_custkey").alias("caller"), pre("N", "c_nationkey").alias("callee"), null.alias("case_label"))
-    two = table(spark, sf_dir, "nation").select(pre("N", "n_nationkey").alias("caller"), pre("R", "n_regionkey").alias("callee"), null.alias("case_label"))
-    three = table(spark, sf_dir, "supplier").select(pre("R", "s_nationkey").alias("caller"), pre("S", "s_suppkey").alias("callee"), pre("case ", "s_suppkey").alias("case_label"))
-    public = table(spark, sf_dir, "customer").select(pre("C", "c_custkey").alias("node"))
-    accesses = table(spark, sf_dir, "nation").select(pre("R", "n_regionkey").alias("node"), pre("name ", "n_nationkey").alias("target"))
-    return public, one.unionByName(two).unionByName(three), accesses
-
-
-@register(
-    "callee_propagation",
-    "select 'C' || c_custkey as node, 'name ' || o.n_nationkey as target, 2 as depth from customer join nation n on n.n_nationkey = c_nationkey join nation o on o.n_regionkey = n.n_regionkey",
-)
-def callee_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataflow.propagate(*call_graph(spark, sf_dir), most=4, cut=cut)
-
-
 @register("extractive_compression")
 def extractive_compression(spark: SparkSession, sf_dir: str, most: int = 5, budget: int = 4000) -> DataFrame:
     """Each document's best sentences in their own order, and what of these fits one budget a language, in order of the ids."""

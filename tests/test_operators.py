@@ -53,10 +53,13 @@ def test_shadow_diff_and_merge(spark):
 
 
 def test_propagation_stops_at_dispatchers(spark):
-    calls = frame(spark, [("p", "d", None), ("d", "x", "1"), ("d", "y", "2"), ("p", "h", None), ("h", "i", None)], "caller string, callee string, case_label string")
-    accesses = frame(spark, [("x", "X"), ("i", "I"), ("d", "D"), ("p", "D")], "node string, target string")
+    calls = frame(spark, [("p", "d", None), ("d", "x", "1"), ("d", "y", "2"), ("d", "z", None), ("p", "h", None), ("h", "i", None)], "caller string, callee string, case_label string")
+    accesses = frame(spark, [("x", "X"), ("i", "I"), ("d", "D"), ("p", "D"), ("z", "Z")], "node string, target string").selectExpr("node", "target", "'m' as member", "'READ' as access_type", "null as context", "null as branch_id")
     got = {tuple(r) for r in dataflow.propagate(frame(spark, [("p",), ("d",)], "node string"), calls, accesses).select("node", "target", "depth").collect()}
-    assert got == {("p", "I", 2), ("d", "X", 1)}
+    assert got == {("p", "I", 2), ("d", "Z", 1)}  # of a dispatcher that starts, only calls outside of cases are followed
+    registers = frame(spark, [("x", "R", "READ", "F"), ("p", "R", "READ", None), ("i", "S", "WRITE", "U")], "node string, register string, access_type string, field string")
+    got = {tuple(r) for r in dataflow.propagate_registers(frame(spark, [("p",), ("d",)], "node string"), calls, registers).collect()}
+    assert got == {("p", "R", "READ", None, False), ("p", "S", "WRITE", "U", True), ("d", "R", "READ", "F", True)}
 
 
 def test_reachable_branches(spark):
