@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,52 +26,70 @@ _GAP = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 SCALE_DIGITS = 3  # of 1000 each: shares are in billionths
 
 
-def _counted(text: bytes, size: int = 1 << 20) -> Counter:
-    """Counts of a text's terms, a slice at a time; slices end where no term does."""
-    own, at = Counter(), 0
+def _slices(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """A text's terms, a slice at a time; slices end where no term does."""
+    at = 0
     while at < len(text):
         gap = _GAP.search(text, at + size)
         end = gap.start() if gap else len(text)
-        own.update(_TERM.findall(text, at, end))
+        yield _TERM.findall(text, at, end)
         at = end
-    return own
 
 
-def term_counts(rows: DataFrame, most: int = 200_000) -> DataFrame:
-    """``lang, source, term, n, n_docs`` from rows ``lang, source, text`` without nulls, combined inside each task.
+def _packed(lang: str, docs: Counter, counts: dict[str, Counter]) -> pa.RecordBatch:
+    """A row for each term of a lang: the documents that have it, and its sources with their counts side by side."""
+    names = list(counts)
+    sizes = [len(counts[s]) for s in names]
+    terms = pa.array([t for s in names for t in counts[s]], pa.binary()).dictionary_encode()
+    codes = terms.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    n = np.fromiter((v for s in names for v in counts[s].values()), dtype=np.int64, count=len(codes))[order]
+    source = pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(names)), sizes)[order]))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(terms.dictionary)))]).astype(np.int32))
+    found = terms.dictionary
+    columns = [pa.array([lang] * len(found), pa.string()), found, pa.array([docs[t] for t in found.to_pylist()], pa.int64()), pa.ListArray.from_arrays(offsets, source), pa.ListArray.from_arrays(offsets, pa.array(n))]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "term", "n_docs", "sources", "counts"])
 
-    A task holds at most ``most`` terms and those of one document; it hands them on
-    and starts anew then, so a term can come more than once.
+
+def term_counts(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """``lang, term, n_docs, sources, counts`` from rows ``lang, source, text`` without nulls, combined inside each task.
+
+    A row holds the counts of all sources that the task has met the term in.  A task holds about ``most``
+    counts and those of one document; it hands them on and starts anew then, so a term can come more than once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        groups: dict[tuple, dict[bytes, list[int]]] = {}
-        size = 0
-
-        def hand_on() -> pa.RecordBatch:
-            flat = [(*group, term, *n) for group, terms in groups.items() for term, n in terms.items()]
-            columns = list(zip(*flat, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["lang", "source", "term", "n", "n_docs"])
+        docs: dict[str, Counter] = {}
+        counts: dict[str, dict[str, Counter]] = {}
+        met = 0
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                rows = _packed(lang, docs[lang], own)
+                for at in range(0, rows.num_rows, 20_000):
+                    yield rows.slice(at, 20_000)
+            docs.clear()
+            counts.clear()
 
         for batch in batches:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k in range(batch.num_rows):
-                terms = groups.setdefault((langs[k], sources[k]), {})
-                for term, n in _counted(batch.column(2)[k].as_py().lower()).items():  # bytes: only A-Z change
-                    have = terms.get(term)
-                    if have is None:
-                        terms[term] = [n, 1]
-                        size += 1
-                    else:
-                        have[0] += n
-                        have[1] += 1
-                if size > most:
-                    yield hand_on()
-                    groups, size = {}, 0
-        yield hand_on()
-
-    found = rows.select("lang", "source", F.col("text").cast("binary")).mapInArrow(run, "lang string, source string, term binary, n long, n_docs long")
+                own = counts.setdefault(langs[k], {}).setdefault(sources[k], Counter())
+                have: set[bytes] = set()
+                for terms in _slices(batch.column(2)[k].as_py().lower()):  # bytes: only A-Z change
+                    own.update(terms)
+                    have.update(terms)
+                docs.setdefault(langs[k], Counter()).update(have)
+                met += len(have)
+                if met > most:  # an upper bound of what is held: look again
+                    met = sum(len(c) for by in counts.values() for c in by.values())
+                    if met > most // 2:
+                        yield from hand_on()
+                        met = 0
+        yield from hand_on()
+
+    found = rows.select("lang", "source", F.col("text").cast("binary")).mapInArrow(run, "lang string, term binary, n_docs long, sources array<string>, counts array<long>")
     return found.withColumn("term", F.col("term").cast("string"))
 
 
@@ -194,9 +213,11 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(blank(lang_col).alias("lang"), blank(source_col).alias("source"), blank(text_col).alias("text"))
     by_term = Window.partitionBy("lang", "term")
-    summed = term_counts(rows).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
-    known = summed.withColumn("docs", F.sum("n_docs").over(by_term)).withColumn("in_lang", F.sum("n").over(by_term)).withColumn("opens", F.min("source").over(by_term) == F.col("source"))
-    kept = cut(known.filter(F.col("docs") >= least_docs).select("lang", "term", "source", "n", "in_lang", "opens"))
+    found = term_counts(rows).repartition("lang", "term").withColumn("docs", F.sum("n_docs").over(by_term)).filter(F.col("docs") >= least_docs)
+    each = found.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("c"))
+    summed = each.groupBy("lang", "term", F.col("c.sources").alias("source")).agg(F.sum("c.counts").alias("n"))
+    known = summed.withColumn("in_lang", F.sum("n").over(by_term)).withColumn("opens", F.min("source").over(by_term) == F.col("source"))
+    kept = cut(known.select("lang", "term", "source", "n", "in_lang", "opens"))
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum(F.col("opens").cast("long")).alias("terms"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     none = F.lit(0).cast("long")

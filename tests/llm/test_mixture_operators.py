@@ -78,7 +78,13 @@ def test_audit_of_few_or_no_rows(spark):
 
 def test_terms_are_never_cut_by_slices():
     text = ("ab" * 40 + " ") * 20 + "é" * 300
-    assert divergence._counted(text.encode(), 64) == Counter({b"ab" * 40: 20, ("é" * 300).encode(): 1})
+    assert Counter(t for part in divergence._slices(text.encode(), 64) for t in part) == Counter({b"ab" * 40: 20, ("é" * 300).encode(): 1})
+
+
+def test_tasks_that_hand_on_early_count_the_same(spark):
+    rows = documents(spark, corpus()).selectExpr("coalesce(lang, '') as lang", "coalesce(source, '') as source", "coalesce(text, '') as text")
+    flat = lambda most: divergence.term_counts(rows, most).select("lang", "term", "n_docs", F.explode(F.arrays_zip("sources", "counts")).alias("c")).groupBy("lang", "term", "c.sources").agg(F.sum("c.counts")).collect()
+    assert set(flat(20)) == set(flat(500_000)) and len(flat(20)) > 100
 
 
 def test_leading_rows_equal_a_sort(spark):
