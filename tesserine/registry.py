@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import all modules that register queries."""
-    from .plans import builders, code_flow, context, coverage, links, lookup, records, statistics, templates, texts, traversals, vectors  # noqa: F401
+    from .plans import builders, code_flow, context, coverage, links, lookup, maintenance, records, statistics, templates, texts, traversals, vectors  # noqa: F401
