@@ -29,14 +29,16 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot li dd dt option legend summary figcaption".split())
 SCOPE = frozenset("table td th caption html body template button object".split())
-# What is never main text, by element name, role, parts of a class or id, and whole classes or ids.
+# What is not main text, by element name, role, parts of a class or id, and whole classes or ids.
 NEVER = frozenset("head script style noscript template iframe object svg canvas nav header footer aside form menu button select textarea input dialog audio video math title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar advertisement".split())
-JUNK_PARTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo breadcrumb breadcrumbs masthead disqus cookie cookies consent gdpr popup newsletter".split())
-JUNK = JUNK_PARTS | frozenset(
-    "promotion banner nav navbar navigation menu submenu header footer sidebar aside widget widgets comment comments respond reply replies discussion notice notices "
-    "modal overlay subscribe subscription signup login share sharing social related recommended pagination pager toc skip".split()
+JUNK_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo breadcrumb breadcrumbs masthead disqus cookie cookies consent gdpr popup newsletter "
+    "comment comments respond footer sidebar menu submenu nav navbar navigation".split()
 )
+JUNK = JUNK_PARTS | frozenset("promotion banner header aside widget widgets reply replies discussion notice notices modal overlay subscribe subscription signup login share sharing social related recommended pagination pager toc skip".split())
+# Beside one of these, a word of a class says what is not there.
+UNLESS = frozenset("no non not without free has have with open closed on off enabled disabled".split())
 # Never dropped for a class, id or role; nor is what holds an article or main.
 KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 
@@ -44,7 +46,7 @@ _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z!?])(?:[^>]*>|.*\Z)|[^<]+|<", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_WORDS = re.compile(r"[a-z]+")
+_NAMES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW}
 
 
@@ -55,30 +57,73 @@ class Node:
     drop: bool = False
     parent: Node | None = None
     core: bool = False  # is or holds an article or main
-    marked: bool = False  # dropped for a class, id or role alone
+    hint: int = 0  # how strongly class, id or role speak of furniture
     code: int = 0  # hash of the subtree
     children: list = field(default_factory=list)
 
 
-def _judged(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """What of an element's attributes counts in its hash, whether the element can't be main text, and whether only for its class, id or role."""
+def _hint(marks: str, role: str) -> int:
+    """3 if the role or a whole class or id names page furniture, 2 if a part of one does, 1 if a whole one does with a word that texts go by as well."""
+    if role in ROLES:
+        return 3
+    hint = 0
+    for mark in marks.split():
+        words = [w.lower() for w in _NAMES.findall(mark)]
+        if mark.lower() in JUNK:
+            hint = max(hint, 3 if mark.lower() in JUNK_PARTS else 1)
+        elif not UNLESS.intersection(words) and JUNK_PARTS.intersection(words):
+            hint = max(hint, 2)
+    return hint
+
+
+def _judged(tag: str, attributes: str) -> tuple[str, bool, int]:
+    """What of an element's attributes counts in its hash, whether the element can't be main text, and whether its class, id or role hints at furniture."""
     drop = tag in NEVER
     if not attributes.strip():
-        return "", drop, False
+        return "", drop, 0
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-    marks = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().strip()
-    marked = bool(marks) and tag not in KEPT and (bool(JUNK.intersection(marks.split()) or JUNK_PARTS.intersection(_WORDS.findall(marks))) or found.get("role", "").lower() in ROLES)
+    marks = " ".join(found.get(k, "") for k in ("class", "id", "role")).strip()
+    hint = _hint(f"{found.get('class', '')} {found.get('id', '')}", found.get("role", "").lower()) if marks and tag not in KEPT else 0
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-    drop = (drop or hidden) and tag not in ("html", "body", "main")
-    return marks, drop or marked, marked and not drop
+    return marks.lower(), (drop or hidden) and tag not in ("html", "body", "main"), hint
+
+
+def _settle(root: Node) -> None:
+    """Decide which elements with a hint go: never what holds an article or main, nor what holds most of its surroundings' text as prose.
+
+    The surroundings are the article or main around the element, or else the page.
+    Beside an article, what a strong hint names goes whatever its size.  A
+    header inside an article stays if it holds a heading.
+    """
+    nodes = list(_preorder(root))
+    size: dict[int, list[int]] = {}  # characters of text and of links in each element, without what is dropped
+    for node, _ in reversed(nodes):
+        own, links = 0, 0
+        for child in node.children:
+            if isinstance(child, str):
+                own += len(child.strip())
+            elif not child.drop:
+                own, links = own + size[id(child)][0], links + size[id(child)][1]
+        size[id(node)] = [own, own if node.tag == "a" else links]
+    parted = any(node.tag in ("article", "main") for node, _ in nodes)
+    around: dict[int, Node] = {}
+    for node, inside in nodes:
+        above = around.get(id(node.parent), root) if node.parent is not None else root
+        around[id(node)] = node if node.tag in ("article", "main") else above
+        if node.tag == "header" and inside and node.drop and any(not isinstance(c, str) and c.tag in KEPT for c in node.children):
+            node.drop = False
+        if node.hint and not node.core and not node.drop:
+            text, links = size[id(node)]
+            most = 2 * text + (node.hint == 2) > size[id(above)][0] and 5 * links < 3 * text
+            node.drop = not most or (node.hint >= 2 and parted and not inside)
 
 
 def parse(page: str) -> Node:
     """A lenient element tree: unclosed and misplaced tags, cut-off pages and stray ``<`` never fail."""
     root = top = Node("#root")
     opened: dict[str, int] = {}
-    place = 0
+    place, hinted = 0, False
 
     def back_to(node: Node) -> None:
         nonlocal top
@@ -117,13 +162,14 @@ def parse(page: str) -> Node:
                     break
                 at = at.parent
             back_to(closed)
-        marks, drop, marked = _judged(name, attributes)
-        node = Node(name, marks, drop, top, marked=marked)
+        marks, drop, hint = _judged(name, attributes)
+        hinted |= hint > 0 or name == "header"
+        node = Node(name, marks, drop, top, hint=hint)
         top.children.append(node)
         if name in ("article", "main"):
             at = node
             while at is not None and not at.core:
-                at.core, at.drop, at = True, at.drop and not at.marked, at.parent
+                at.core, at = True, at.parent
         if name in VOID or attributes.rstrip().endswith("/") and name in ("svg", "path"):
             continue
         top = node
@@ -135,6 +181,8 @@ def parse(page: str) -> Node:
                 place = end.start() if end else len(page)
             else:  # never closed: empty
                 back_to(node.parent)
+    if hinted:
+        _settle(root)
     return root
 
 

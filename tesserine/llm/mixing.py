@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
 from .common import cut
-from .ranges import running
 
 WEIGHTS = (5, 2, 1)
 

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
 from .common import cut, release
-from .ranges import running
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # after A-Z are lower-cased
 _GAP = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")

@@ -342,6 +342,31 @@ def test_words_and_hashes_do_not_cross_rows():
     assert codes[1] == codes[2] and len(set(codes.tolist())) == 4
 
 
+def test_furniture_is_told_by_words_size_and_links():
+    text, body = html_extract.main_text, "<p>" + "a sentence of the text. " * 6 + "</p>"
+    prose = ("a sentence of the text. " * 6).strip()
+    for mark in ("class='comment-list'", "id='comments-area'", "class='user-comment'", "class='site-footer'", "id=leftSidebar", "class='top_nav'", "class='menu-wrap'", "role=search", "class='cookie-bar'"):
+        assert text(f"<body><article>{body}</article><div {mark}>other words</div>") == prose
+        assert text(f"<body><article>short</article><div {mark}>{body}{body}</div>") == "short"  # beside an article whatever its size
+        assert text(f"<body><div>{body}</div><div {mark}>other words</div>") == prose  # the smaller part of a page without article
+    for mark in ("class='related'", "class='widget'", "class='post share'", "class='promo-free article-body'", "class='has-sidebar'", "class='no-comments open'", "id='header'"):
+        assert text(f"<body><div {mark}>{body}</div>") == prose
+    assert text("<body><div class='menu-items'>" + "<a href=x>link text</a> " * 20 + "</div><div>short</div>") == "short"  # most of the page, but links
+    assert text(f"<article>{body}<div class='share'>tweet</div><div class='comments'><p>me too</p></div></article>") == prose
+    assert text(f"<article><header class='post-header'><h1>Title</h1></header>{body}</article><header><h1>Site</h1></header>") == f"Title\n{prose}"
+    assert text(f"<div class='comments sidebar'><article>{body}</article></div>") == prose
+
+
+def test_neutral_furniture_goes_by_recurrence_alone(spark):
+    box = "<div><p>Call us on working days</p><p>Imprint and terms</p></div>"
+    rows = [(i, f"http://a.example/{i}", f"<body>{box}<div><p>page {i} says {'word ' * (i + 3)}</p></div>{box}", "x", 1) for i in range(6)]
+    rows += [(9, "http://b.example/9", f"<body>{box}<div><p>alone</p></div>", "x", 1), rows[0], (10, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, _host int")
+    got = sorted((r.page_id, r.text) for r in html_extract.extract(frame).collect())
+    want = [(i, f"page {i} says {('word ' * (i + 3)).strip()}") for i in range(6)] + [(0, "page 0 says word word word"), (9, "Call us on working days\nImprint and terms\nalone"), (10, "")]
+    assert got == sorted(want)
+
+
 def test_html_raw_text_and_deep_pages():
     text = html_extract.main_text
     assert text("<p>one</p><script>for(i=0;i<n;i++){}</script><p>main text</p>") == "one\nmain text"

@@ -10,7 +10,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tesserine.llm import divergence, mixing, ranges, resampling
+from tesserine.llm import divergence, mixing, resampling
+from tesserine.operators import ranges
 
 TERM, WORD, SPACED = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "\n\t ", "a", "B b B b 12 b", "word " * 3000, "\x00\x01 x", "日本語 テスト 한국어 Àé", "é́ ﬁ 😀😀", "a" * 3000, "x²,y a.b!c"]
