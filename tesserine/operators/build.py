@@ -13,13 +13,14 @@ from .patterns import Graph
 
 @dataclass(frozen=True)
 class Node:
-    """Rows of ``source`` (where ``where``: a column and its value) are nodes of ``label`` with ``key`` and ``props``."""
+    """Rows of ``source`` (where ``where``: a column and its value) are nodes of ``label`` with ``key`` and ``props``; of several values that of the row with the greatest ``newest`` stays."""
 
     label: str
     source: str
     key: str
     props: tuple[str, ...] = ()
     where: tuple[str, str] | None = None
+    newest: str | None = None
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,7 @@ def build(spec: Spec, sources: dict[str, DataFrame]) -> Graph:
     """``nodes`` (``id, label, key, props``) and ``edges`` (``src, rel, dst, props``) of a specification.
 
     A node is merged from all rows with its label and key: a property has the
-    greatest non-null value of the last rule that gives one.  Rows without key are no
+    newest non-null value (the greatest of equally new ones) of the last rule that gives one.  Rows without key are no
     nodes.  An edge counts once, and only if both its ends are nodes.  Both merges
     are partial aggregates, so a key that most rows name costs one row a task.
     """
@@ -61,7 +62,7 @@ def build(spec: Spec, sources: dict[str, DataFrame]) -> Graph:
         props = list(dict.fromkeys(p for r in rules for p in r.props))
         parts = []
         for k, r in enumerate(rules):
-            ranked = [F.when(F.col(p).isNotNull(), F.struct(F.lit(k).alias("k"), F.col(p).cast("string").alias("v"))) if p in r.props else F.lit(None).cast("struct<k:int,v:string>") for p in props]
+            ranked = [F.when(F.col(p).isNotNull(), F.struct(F.lit(k).alias("k"), (F.col(r.newest) if r.newest else F.lit(None)).cast("timestamp").alias("t"), F.col(p).cast("string").alias("v"))) if p in r.props else F.lit(None).cast("struct<k:int,t:timestamp,v:string>") for p in props]
             parts.append(_chosen(sources, r).select(F.col(r.key).cast("string").alias("_key"), *(c.alias(f"_{p}") for c, p in zip(ranked, props, strict=True))).filter("_key is not null"))
         merged = reduce(DataFrame.unionByName, parts).groupBy("_key").agg(*([F.max(f"_{p}").alias(f"_{p}") for p in props] or [F.lit(1).alias("_")]))
         values = F.map_filter(F.create_map(*(x for p in props for x in (F.lit(p), F.col(f"_{p}.v")))), lambda _, v: v.isNotNull()) if props else F.create_map().cast("map<string,string>")

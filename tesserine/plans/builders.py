@@ -21,7 +21,7 @@ BUILDERS: dict[str, Spec] = {
     "relaxed_json": Spec((Node("Requirement", "items", "key", ("name", "status")), Node("Function", "functions", "name", ("file", "kind"))), (Edge("IMPLEMENTS", "functions", ("Function", "name"), ("Requirement", "requirements")),)),
     "relaxed_parsers": Spec(
         (Node("Function", "functions", "name", ("file", "kind")), Node("Struct", "types", "name", ("kind",)), Node("HardwareRegister", "registers", "name", ("address",)), Node("RegisterField", "fields", "name", ("low", "high"))),
-        (Edge("DEPENDS_ON", "calls", ("Function", "caller"), ("Function", "callee"), ("place",)), Edge("HAS_FIELD", "fields", ("HardwareRegister", "register"), ("RegisterField", "name")), Edge("ACCESSES_REGISTER", "accesses", ("Function", "function"), ("HardwareRegister", "register"), ("access",)), Edge("USES_TYPE", "functions", ("Function", "name"), ("Struct", "kind"))),
+        (Edge("DEPENDS_ON", "calls", ("Function", "caller"), ("Function", "callee"), ("place",)), Edge("HAS_FIELD", "fields", ("HardwareRegister", "register"), ("RegisterField", "name")), Edge("ACCESSES_REGISTER", "accesses", ("Function", "function"), ("HardwareRegister", "register"), ("access",)), Edge("USES_TYPE", "functions", ("Function", "name"), ("Struct", "types"))),
     ),
     "test_specification": Spec(
         (Node("TS_Document", "tests", "document"), Node("TS_FunctionalTestCase", "tests", "test_id", ("objective", "status"), ("kind", "functional")), Node("TS_ConfigTestCase", "tests", "test_id", ("objective", "status"), ("kind", "config")), Node("TS_StaticTestCase", "tests", "test_id", ("objective",), ("kind", "static")), Node("TS_WCETTestCase", "tests", "test_id", ("objective",), ("kind", "wcet")), Node("ProductRequirement", "items", "key")),

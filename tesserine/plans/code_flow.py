@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..operators import dataflow
+from ..operators.source_graph import source_graph
 from ..registry import register
 from ..sources import c_access
+from ..sources.c_source import c_findings
 from ..tables import table
 
 #: The call graph and what belongs to it, the same text for Spark and the oracle.  Every fourth nation is a dispatcher (its suppliers are cases);
@@ -169,3 +171,21 @@ def register_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = code_graph(spark, sf_dir)
     own = spark.sql(_OWN_REGISTERS, nation=table(spark, sf_dir, "nation"))
     return dataflow.propagate_registers(cut(g["public"]), cut(g["calls"]), own, most=5, cut=cut)
+
+
+_FILE_SQL = """s as (select s_suppkey as s, s_nationkey as n, (s_suppkey * 7) % 100 as c from supplier), calls as (select a.s, b.s as c from s a join s b on a.c = b.s),
+    w(s, spot, depth) as (select s, s, 0 from s union select w.s, calls.c, depth + 1 from w join calls on calls.s = w.spot where depth < 5 and calls.c <> w.s)
+    select 'CALLS' as rel, 'Function:Fn_' || s as src, 'Function:Fn_' || c as dst from calls union select 'DEFINED_IN', 'Function:Fn_' || s, 'SourceFile:src/f' || n || '.c' from s union select 'DEFINED_IN', 'GlobalVariable:src/f' || n || '.c:Count_' || n, 'SourceFile:src/f' || n || '.c' from s
+    union select 'HAS_GLOBAL', 'SourceFile:src/f' || n || '.c', 'GlobalVariable:src/f' || n || '.c:Count_' || n from s union select 'BELONGS_TO_MODULE', 'SourceFile:src/f' || n || '.c', 'Module:drv' from s
+    union select 'USES_GLOBAL', 'Function:Fn_' || s, 'GlobalVariable:src/f' || n || '.c:Count_' || n from s union select 'ACCESSES_REGISTER', 'Function:Fn_' || s, 'Register:REG' || (spot % 40) from w"""
+
+
+@register("source_graph", f"with recursive {_FILE_SQL}")
+def source_graph_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relationships of a tree of C files, a nation's suppliers each: parsed, resolved over files, and propagated along calls."""
+    key = lambda c: F.col(c).cast("string")
+    text = F.concat(F.lit("void Fn_"), key("s_suppkey"), F.lit("(uint8 Mode)\n{\n    Count_"), key("s_nationkey"), F.lit(" += 1u; /* one more */\n    Fn_"), (F.col("s_suppkey") * 7 % 100).cast("string"), F.lit("(1u);\n    AdcSFR->REG"), (F.col("s_suppkey") % 40).cast("string"), F.lit(".U = Mode;\n}\n"))
+    parts = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", text.alias("text")))).alias("f"))
+    head = F.concat(F.lit("static uint32 Count_"), key("s_nationkey"), F.lit(" = 0u;\n"))
+    files = parts.select(F.concat(F.lit("src/f"), key("s_nationkey"), F.lit(".c")).alias("file"), F.concat(head, F.array_join(F.transform("f", lambda x: x["text"]), "")).alias("text"))
+    return source_graph(c_findings(files), "drv", cut=cut).edges.select("rel", "src", "dst").distinct()

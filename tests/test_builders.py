@@ -68,3 +68,23 @@ def test_builder_equals_row_by_row(spark, name):
     nodes, edges = brute(spec, sources)
     assert {r.id: dict(r.props) for r in g.nodes.collect()} == nodes
     assert {(r.src, r.rel, r.dst): dict(r.props) for r in g.edges.collect()} == edges
+
+
+def test_the_newest_property_wins(spark):
+    from tesserine.operators.build import Node, Spec
+
+    rows = [("a", "9", "2024-01-01 00:00:00"), ("a", "10", "2024-03-01 00:00:00"), ("a", None, "2025-01-01 00:00:00"), ("b", "x", None), ("b", "y", None), (None, "z", None)]
+    frame = spark.createDataFrame(rows, "key string, version string, changed string")
+    spec = Spec((Node("Item", "items", "key", ("version",), newest="changed"),))
+    assert {r.key: dict(r.props) for r in build(spec, {"items": frame}).nodes.collect()} == {"a": {"version": "10"}, "b": {"version": "y"}}
+
+
+def test_functions_use_the_types_of_their_signatures(spark):
+    functions = spark.createDataFrame([("f", "a.c", "inline", ["State", "uint8"]), ("g", "a.c", "State", [])], "name string, file string, kind string, types array<string>")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    sources = {
+        "functions": functions, "types": spark.createDataFrame([("State", "struct")], "name string, kind string"), "registers": empty("name string, address string"), "fields": empty("name string, low string, high string, register string"),
+        "calls": empty("caller string, callee string, place string"), "accesses": empty("function string, register string, access string"),
+    }
+    g = build(BUILDERS["relaxed_parsers"], sources)
+    assert [(r.src, r.rel, r.dst) for r in g.edges.collect()] == [("Function:f", "USES_TYPE", "Struct:State")]
