@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..operators import dataflow
+from ..operators.interfaces import register_interface
 from ..operators.source_graph import source_graph
 from ..registry import register
 from ..sources import c_access
@@ -189,3 +190,37 @@ def source_graph_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.lit("static uint32 Count_"), key("s_nationkey"), F.lit(" = 0u;\n"))
     files = parts.select(F.concat(F.lit("src/f"), key("s_nationkey"), F.lit(".c")).alias("file"), F.concat(head, F.array_join(F.transform("f", lambda x: x["text"]), "")).alias("text"))
     return source_graph(c_findings(files), "drv", cut=cut).edges.select("rel", "src", "dst").distinct()
+
+
+_REG = "'MOD_REG' || cast(l_suppkey % 60 as string)"
+_EVIDENCE = {
+    "edges": f"select l_partkey as function, {_REG} as register, case l_returnflag when 'R' then 'read' when 'A' then 'WRITE' end as access_type, case when l_suppkey % 2 = 0 then 'F' || cast(l_suppkey % 3 as string) end as field, cast(l_suppkey as int) as line, 'D' || cast(l_linenumber as string) as device from {{lineitem}} where l_linenumber <= 2 and l_partkey % 3 > 0",
+    "recorded": f"select l_partkey as function, {_REG} as register, case when l_suppkey % 2 = 0 then 'READ' else 'write' end as access_type, 'U' as field, cast(l_suppkey as int) as line from {{lineitem}} where l_linenumber between 2 and 3",
+    "listed": f"select l_partkey as function, {_REG} as register, case when l_linenumber = 4 then 'WRITE' else 'READ' end as access_type from {{lineitem}} where l_linenumber between 4 and 5",
+    "twins": "select case when s_suppkey % 3 = 0 then 'MOD_REG' || cast(s_suppkey as string) end as sfr_id, 'REG' || cast(s_suppkey as string) as name, case s_suppkey % 5 when 0 then 'PTOP0' when 1 then 'pcpu1' when 2 then 'X' end as read_apu, case s_suppkey % 7 when 0 then 'PCPU' when 1 then 'Y' end as write_apu from {supplier} where s_suppkey % 4 > 0",
+    "twin_edges": "select l_partkey as function, case when l_suppkey % 2 = 0 then 'MOD_REG' || cast(l_suppkey % 60 as string) end as sfr_id, 'REG' || cast(l_suppkey % 60 as string) as name, case l_returnflag when 'R' then 'READ' when 'A' then 'write' end as access_type, case l_suppkey % 3 when 0 then 'PTOP' when 1 then 'Z' end as read_apu, cast(null as string) as write_apu from {lineitem} where l_linenumber >= 6",
+}
+_ZONE = "case when {r} is null and {w} is null then null when upper(concat_ws(' ', {r}, {w})) like '%PTOP%' then 'Untrusted' when upper(concat_ws(' ', {r}, {w})) like '%PCPU%' then 'Trusted' else 'APU: ' || concat_ws(', ', {r}, {w}) end".format(r="read_apu", w="write_apu")
+
+
+@register(
+    "interface_evidence",
+    "with "
+    + ", ".join(f"{n} as ({t.format(lineitem='lineitem', supplier='supplier')})" for n, t in _EVIDENCE.items())
+    + f""", noted as (select function, register, arg_min(access_type, line) as access_type, min(line) as line, 'U' as field from (select *, row_number() over (partition by function, register order by line, access_type) as r from recorded) where r = 1 group by 1, 2),
+    own as (select function, register, (array_agg(upper(access_type) order by line, access_type) filter (access_type is not null))[1] as access_type, (array_agg(field order by line, field) filter (field is not null))[1] as field, min(line) as line, array_to_string(list_sort(list_distinct(list(device))), ', ') as device from edges group by 1, 2),
+    c as (select o.function, o.register, coalesce(o.access_type, upper(n.access_type), 'UNKNOWN') as access_type, o.field, o.line, o.device, 1 as rank from own o left join noted n on n.function = o.function and n.register = o.register
+        union all select function, register, upper(access_type), field, line, '', 2 from noted where function not in (select function from edges) union all select distinct function, register, access_type, null, null::int, '', case when access_type = 'WRITE' then 3 else 4 end from listed),
+    held as (select * from c qualify row_number() over (partition by function, register order by rank) = 1), z as (select sfr_id, name, {_ZONE} as zone from twins), d as (select distinct function, sfr_id, name, upper(access_type) as said, {_ZONE} as zone from twin_edges),
+    entry as (select h.*, (select arg_min(coalesce(zone, ''), name || coalesce(zone, '')) from z where z.sfr_id = h.register or z.name = regexp_replace(h.register, '^[^_]*_', '')) as zone from held h),
+    met as (select d.function, d.sfr_id, d.name, d.said, d.zone, e.register, e.rank from d join entry e on e.function = d.function and (d.sfr_id = e.register or contains(e.register, d.name))),
+    one as (select * from met qualify row_number() over (partition by function, sfr_id, name, said, zone order by rank, register) = 1), given as (select function, register, min(zone) as zone from one group by 1, 2),
+    fresh as (select coalesce(sfr_id, name) as register, function, min(said) as said, min(zone) as zone from d where not exists (select 1 from met m where m.function = d.function and m.name = d.name and m.sfr_id is not distinct from d.sfr_id) group by 1, 2)
+    select e.function, e.register, e.access_type, e.field, e.line, e.device, coalesce(nullif(e.zone, ''), g.zone) as trust_zone, ['edge', 'record', 'written', 'read'][rank] as evidence from entry e left join given g on g.function = e.function and g.register = e.register
+    union all select function, register, coalesce(said, 'UNKNOWN'), null, null, '', zone, 'design' from fresh""",
+)
+def interface_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers of each function by the evidence of both graphs and its own records, which disagree."""
+    given = {t: table(spark, sf_dir, t) for t in ("lineitem", "supplier")}
+    rows = {n: spark.sql(t, **{k: v for k, v in given.items() if "{" + k + "}" in t}) for n, t in _EVIDENCE.items()}
+    return register_interface(**rows)
