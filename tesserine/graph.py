@@ -101,6 +101,20 @@ def pairs(spark: SparkSession, sf_dir: str, kind: tuple) -> DataFrame:
     return out.distinct() if repeats else out
 
 
+def edge_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rel, n``: the number of edges of each kind; a table is read once for all kinds it holds, and repeated pairs are deduplicated as tagged integer keys."""
+    parts = []
+    for source in dict.fromkeys(k[1] for k in EDGE_KINDS):
+        kinds = [k for k in EDGE_KINDS if k[1] == source]
+        rows = table(spark, sf_dir, source)
+        if any(k[6] for k in kinds):
+            tagged = [F.struct(F.lit(k[0]).alias("rel"), F.col(k[3]).cast("long").alias("a"), F.col(k[5]).cast("long").alias("b")) for k in kinds]
+            parts.append(rows.select(F.inline(F.array(*tagged))).distinct().select("rel"))
+        else:
+            parts += [rows.select(F.lit(k[0]).alias("rel")) for k in kinds]
+    return reduce(DataFrame.unionByName, parts).groupBy("rel").agg(F.count("*").alias("n"))
+
+
 def both_ways(links: DataFrame) -> DataFrame:
     """``node, rel, other, direction``: every edge seen from either end; a self-loop counts at both."""
     out = links.select(F.col("src").alias("node"), "rel", F.col("dst").alias("other"), F.lit("out").alias("direction"))

@@ -11,6 +11,7 @@ from ..checkpoints import cut
 from ..operators.patterns import listed
 from ..operators.traversal import reach
 from ..registry import register
+from ..sources import exports
 from ..tables import table
 from .typed_graph import sql_graph, typed_graph
 
@@ -280,11 +281,11 @@ def aggregation_search(spark: SparkSession, sf_dir: str, module: str = "M2") ->
 
 @register(
     "node_text",
-    _A + "select id, '[' || label || ']' || coalesce(chr(10) || '  Name: ' || name, '') || coalesce(chr(10) || '  Module: ' || module, '') || coalesce(chr(10) || '  Kind: ' || case when length(kind) > 5 then substr(kind, 1, 5) || '…' else kind end, '') || coalesce(chr(10) || '  Status: ' || status, '') as text from n where label in ('EA_Function', 'ProductRequirement', 'EA_Diagram')",
+    _A + "select id, '[' || label || ']' || coalesce(chr(10) || '  Name: ' || name, '') || coalesce(chr(10) || '  Module: ' || module, '') || coalesce(chr(10) || '  Kind: ' || case when length(kind) > 5 then substr(kind, 1, 5) || '…' else kind end, '') || coalesce(chr(10) || '  Status: ' || status, '') as text from n",
 )
 def node_text(spark: SparkSession, sf_dir: str, most: int = 5) -> DataFrame:
     """A node as labelled lines of its non-empty properties, long values cut."""
-    nodes = typed_graph(spark, sf_dir, "A").nodes.filter(C("label").isin("EA_Function", "ProductRequirement", "EA_Diagram"))
+    nodes = typed_graph(spark, sf_dir, "A").nodes
     kind = F.when(F.length("kind") > most, F.concat(F.substring("kind", 1, most), F.lit("…"))).otherwise(C("kind"))
     line = lambda title, value: F.concat(F.lit(f"  {title}: "), value)
     return nodes.select("id", F.concat_ws("\n", F.concat(F.lit("["), "label", F.lit("]")), line("Name", C("name")), line("Module", C("module")), line("Kind", kind), line("Status", C("status"))).alias("text"))
@@ -315,14 +316,14 @@ def slot_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "hit_formatting",
-    "select doc_id, md5('[VECTOR] ' || source || chr(10) || 'Module: ' || lang || chr(10) || case when length(trim(text)) > 2000 then substr(trim(text), 1, 2000) || chr(10) || '... (truncated)' else trim(text) end) as formatted_md5 from documents where text is not null and source is not null and lang is not null",
+    "select doc_id, md5('[VECTOR] ' || coalesce(source, '') || chr(10) || coalesce('Module: ' || lang || chr(10), '') || case when length(trim(coalesce(text, ''))) > 2000 then substr(trim(text), 1, 2000) || chr(10) || '... (truncated)' else trim(coalesce(text, '')) end) as formatted_md5 from documents",
 )
 def hit_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hit with its tag, its metadata and its text, cut at 2000 characters."""
-    docs = table(spark, sf_dir, "documents").filter(C("text").isNotNull() & C("source").isNotNull() & C("lang").isNotNull())
-    body = F.trim("text")
+    """A hit with its tag, its metadata and its text, cut at 2000 characters; a hit without module has no such line."""
+    docs = table(spark, sf_dir, "documents")
+    body = F.trim(F.coalesce("text", F.lit("")))
     body = F.when(F.length(body) > 2000, F.concat(F.substring(body, 1, 2000), F.lit("\n... (truncated)"))).otherwise(body)
-    return docs.select("doc_id", F.md5(F.concat_ws("\n", F.concat(F.lit("[VECTOR] "), "source"), F.concat(F.lit("Module: "), "lang"), body)).alias("formatted_md5"))
+    return docs.select("doc_id", F.md5(F.concat_ws("\n", F.concat(F.lit("[VECTOR] "), F.coalesce("source", F.lit(""))), F.concat(F.lit("Module: "), "lang"), body)).alias("formatted_md5"))
 
 
 def register_map_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -331,16 +332,27 @@ def register_map_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-@register("scoped_write", _A + "select e.src, e.rel, e.dst from e join n a on a.id = e.src join n b on b.id = e.dst where a.module = 'M1' and b.module = 'M1' and e.rel = 'EA_CALLS'")
+@register("scoped_write", _A + "select e.src, e.rel, e.dst from e join n a on a.id = e.src join n b on b.id = e.dst where a.module = 'M1' and b.module = 'M1'")
 def scoped_write(spark: SparkSession, sf_dir: str, module: str = "M1") -> DataFrame:
     """What a tenant's load may write: edges between nodes of its own scope."""
     g = typed_graph(spark, sf_dir, "A")
-    return register_map_links(g.edges.filter(C("rel") == "EA_CALLS"), g.nodes.filter(C("module") == module)).select("src", "rel", "dst")
+    return register_map_links(g.edges, g.nodes.filter(C("module") == module)).select("src", "rel", "dst")
 
 
-@register("graph_export", _A + "select md5(id || '|' || label || '|' || coalesce(name, '')) as line_md5 from n where label like 'EA%' union all select md5(e.src || '>' || e.rel || '>' || e.dst) from e where rel like 'EA%'")
+@register("graph_export", _A + "select '{\"type\":\"node\",\"id\":\"' || id || '\",\"label\":\"' || label || '\"' || coalesce(',\"name\":\"' || name || '\"', '') || '}' as line from n union all select '{\"type\":\"edge\",\"src\":\"' || src || '\",\"rel\":\"' || rel || '\",\"dst\":\"' || dst || '\"' || coalesce(',\"seq\":' || seq, '') || '}' from e")
 def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes and edges as export lines (digests of them here); each is written where it lies."""
+    """All nodes and edges as JSON lines; :func:`exports.write_lines` writes them where they lie."""
     g = typed_graph(spark, sf_dir, "A")
-    nodes = g.nodes.filter(C("label").startswith("EA")).select(F.md5(F.concat_ws("|", "id", "label", F.coalesce("name", F.lit("")))).alias("line_md5"))
-    return nodes.union(g.edges.filter(C("rel").startswith("EA")).select(F.md5(F.concat_ws(">", "src", "rel", "dst"))))
+    return exports.graph_lines(g, ("name",), ("seq",))
+
+
+@register(
+    "subgraph_export",
+    _A + """, s as (select id from n where label = 'EA_Function' and module = 'M2'), one as (select case when e.src = s.id then e.dst else e.src end as id from e join s on s.id in (e.src, e.dst)), k as (select id from s union select one.id from one join n using (id))
+    select '{"type":"node","id":"' || id || '","label":"' || label || '"' || coalesce(',"name":"' || name || '"', '') || '}' as line from n join k using (id) union all select '{"type":"edge","src":"' || src || '","rel":"' || rel || '","dst":"' || dst || '"}' from e where src in (select id from k) and dst in (select id from k)""",
+)
+def subgraph_export(spark: SparkSession, sf_dir: str, module: str = "M2") -> DataFrame:
+    """A module's functions, what is one relationship away, and all relationships among these, as JSON lines."""
+    g = typed_graph(spark, sf_dir, "A")
+    starts = g.nodes.filter((C("label") == "EA_Function") & (C("module") == module)).select("id")
+    return exports.graph_lines(exports.subgraph(g, starts, 1), ("name",))

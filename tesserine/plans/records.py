@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import overlay
 from ..operators.components import components
 from ..registry import register
+from ..sources import exports
 from ..tables import table
 from .typed_graph import sql_graph, typed_graph
 
@@ -127,10 +128,11 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.merge(own, fresh, "vec_id")
 
 
-@register("vector_export", "select vec_id // 100 as page, count(*) as n, min(vec_id) as first_id from embeddings group by 1")
+@register("vector_export", "select (row_number() over (order by vec_id, label) - 1) // 100 as page, (row_number() over (order by vec_id, label) - 1) % 100 as place, vec_id, label, len(embedding) as n_dimensions from embeddings")
 def vector_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scroll pages of a hundred ids each; a page is a range of ids, so pages are written apart."""
-    return table(spark, sf_dir, "embeddings").groupBy(F.floor(C("vec_id") / 100).alias("page")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+    """Every vector with its scroll page and its place there, a hundred to a page in order of the ids; :func:`exports.write_pages` writes such pages to files."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("n_dimensions"))
+    return exports.paged(rows, [F.asc("vec_id"), F.asc("label")], 100).select("page", "place", "vec_id", "label", "n_dimensions")
 
 
 @register("cascade_delete", _A + ", gone as (select id from n where label = 'EA_SourceFile' or module = 'M4') select rel, count(*) as n from e where src not in (select id from gone) and dst not in (select id from gone) group by 1")
@@ -189,17 +191,17 @@ def leaf_sections(spark: SparkSession, sf_dir: str, most: int = 4) -> DataFrame:
     return sections.filter(F.size(F.split("number", r"\.")) <= most).join(parents, "number", "left_anti")
 
 
-@register("metadata_coercion", "select doc_id, array_to_string(list_filter([case when lang is not null then 'lang=' || lang end, case when source is not null then 'source=' || source end, 'n_chars=' || n_chars], lambda x: x is not null), ';') as metadata from documents where n_chars is not null")
+@register("metadata_coercion", "select doc_id, array_to_string(list_filter([case when lang is not null then 'lang=' || lang end, case when source is not null then 'source=' || source end, case when n_chars is not null then 'n_chars=' || n_chars end], lambda x: x is not null), ';') as metadata from documents")
 def metadata_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata as text values, nulls left out."""
-    rows = table(spark, sf_dir, "documents").filter(C("n_chars").isNotNull())
+    rows = table(spark, sf_dir, "documents")
     pair = lambda k: F.concat(F.lit(f"{k}="), C(k).cast("string"))
     return rows.select("doc_id", F.concat_ws(";", pair("lang"), pair("source"), pair("n_chars")).alias("metadata"))
 
 
-@register("chunk_record", "select doc_id, regexp_replace(lower('docs/' || coalesce(source, '') || '#' || doc_id), '[^a-z0-9]+', '_', 'g') || '_' || substr(md5(text), 1, 10) as chunk_id, coalesce(lang, 'none') as collection, length(text) // 4 as tokens from documents where text is not null")
+@register("chunk_record", "select doc_id, regexp_replace(lower('docs/' || coalesce(source, '') || '#' || doc_id), '[^a-z0-9]+', '_', 'g') || '_' || substr(md5(coalesce(text, '')), 1, 10) as chunk_id, coalesce(lang, 'none') as collection, length(coalesce(text, '')) // 4 as tokens from documents")
 def chunk_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(C("text").isNotNull())
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     path = F.regexp_replace(F.lower(F.concat(F.lit("docs/"), F.coalesce("source", F.lit("")), F.lit("#"), C("doc_id").cast("string"))), "[^a-z0-9]+", "_")
     return docs.select("doc_id", F.concat_ws("_", path, F.substring(F.md5("text"), 1, 10)).alias("chunk_id"), F.coalesce("lang", F.lit("none")).alias("collection"), F.floor(F.length("text") / 4).alias("tokens"))
 
@@ -281,13 +283,12 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(micros(F.min(F.when(C("event_type") == "click", C("ts"))), F.min("ts")).alias("first_us"), micros(F.max("ts"), F.min("ts")).alias("total_us"), F.count("*").alias("n"))
 
 
-@register("entity_validation", _A + "select id, case when label not in ('EA_Function', 'EA_Register', 'ProductRequirement', 'StakeholderRequirement', 'MCALModule') then 'unknown type' when key is null and label like '%Requirement' then 'missing identifier' end as issue from n where label in ('EA_Function', 'EA_Requirement', 'StakeholderRequirement') and (label = 'EA_Requirement' or key is null and label like '%Requirement')")
+@register("entity_validation", _A + "select id, case when label not in ('EA_Function', 'EA_Register', 'ProductRequirement', 'StakeholderRequirement', 'MCALModule') then 'unknown type' when key is null and label like '%Requirement' then 'missing identifier' end as issue from n where label not in ('EA_Function', 'EA_Register', 'ProductRequirement', 'StakeholderRequirement', 'MCALModule') or (key is null and label like '%Requirement')")
 def entity_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues of entities: a type that the catalogue has not, or no identifier where the type needs one."""
+    """Issues of all entities: a type that the catalogue has not, or no identifier where the type needs one."""
     known = ("EA_Function", "EA_Register", "ProductRequirement", "StakeholderRequirement", "MCALModule")
-    nodes = typed_graph(spark, sf_dir, "A").nodes.filter(C("label").isin("EA_Function", "EA_Requirement", "StakeholderRequirement"))
     issue = F.when(~C("label").isin(*known), "unknown type").when(C("key").isNull() & C("label").endswith("Requirement"), "missing identifier")
-    return nodes.select("id", issue.alias("issue")).filter(C("issue").isNotNull())
+    return typed_graph(spark, sf_dir, "A").nodes.select("id", issue.alias("issue")).filter(C("issue").isNotNull())
 
 
 @register(

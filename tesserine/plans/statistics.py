@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import SQL_GRAPH, both_ways, edges, nodes
+from ..graph import SQL_GRAPH, both_ways, edge_tallies, edges, nodes
 from ..registry import register
 from ..tables import table
 
@@ -19,7 +19,7 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("edge_counts", SQL_GRAPH + "select rel, count(*) as n from edges group by 1")
 def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).groupBy("rel").agg(F.count("*").alias("n"))
+    return edge_tallies(spark, sf_dir)
 
 
 @register(

@@ -324,8 +324,8 @@ def conversation_context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.sum(F.length("text")).alias("n_chars"), F.max_by("role", "turn").alias("last_role"))
 
 
-@register("render_turns", "select conv_id, md5(string_agg(role || ': ' || text, chr(10) order by turn, role, text)) as rendered_md5 from conversations where text is not null and role is not null group by 1")
+@register("render_turns", "select conv_id, md5(string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) order by turn nulls first, role nulls first, text nulls first)) as rendered_md5 from conversations group by 1")
 def render_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull() & F.col("role").isNotNull())
-    turns = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_t"))
-    return turns.select("conv_id", F.md5(F.array_join(F.transform("_t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")).alias("rendered_md5"))
+    """A conversation's turns as lines; a missing role or text is empty."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_t"))
+    return turns.select("conv_id", F.md5(F.array_join(F.transform("_t", lambda x: F.concat(F.coalesce(x["role"], F.lit("")), F.lit(": "), F.coalesce(x["text"], F.lit("")))), "\n")).alias("rendered_md5"))

@@ -143,3 +143,22 @@ def test_log_rotates_and_repeats_no_epoch(spark, tmp_path):
     generations = {p[0] for p in telemetry._parts(spark, path)}
     assert len(generations) <= 2 and min(generations) > 0
     assert [r.ts for r in telemetry.newest(spark, path, 2, schema).collect()] == [11.3, 11.2]
+
+
+def test_exports_of_a_part_and_in_pages(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tesserine.operators.patterns import Graph
+    from tesserine.sources import exports
+
+    g = Graph(frame(spark, [("a", "X", 'q"uote'), ("b", "X", None), ("c", "Y", "n"), ("d", "Y", "n")], "id string, label string, name string"), frame(spark, [("a", "R", "b"), ("c", "R", "b"), ("c", "S", "d"), ("a", "R", "gone")], "src string, rel string, dst string"))
+    part = exports.subgraph(g, frame(spark, [("a",)], "id string"), 1)
+    lines = sorted(r.line for r in exports.graph_lines(part, ("name",)).collect())
+    assert [json.loads(x) for x in lines] == [{"type": "edge", "src": "a", "rel": "R", "dst": "b"}, {"type": "node", "id": "a", "label": "X", "name": 'q"uote'}, {"type": "node", "id": "b", "label": "X"}]
+    assert {r.id for r in exports.subgraph(g, frame(spark, [("a",)], "id string"), 3).nodes.collect()} == set("abcd")
+    exports.write_lines(exports.graph_lines(g), str(tmp_path / "g"))
+    assert spark.read.text(str(tmp_path / "g")).count() == 8
+    rows = spark.range(250).select((F.col("id") * 3).alias("vec_id"))
+    exports.write_pages(rows.repartition(5), str(tmp_path / "v"), [F.asc("vec_id")], 10, pages_per_folder=10)
+    back = spark.read.json(str(tmp_path / "v"))
+    assert {(r.vec_id, r.page, r.place, r.folder) for r in back.collect()} == {(k * 3, k // 10, k % 10, k // 100) for k in range(250)}
