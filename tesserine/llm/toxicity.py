@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, small_batches
+from .common import cut, held, release, small_batches
+from .piece_bpe import Memo
 
 _WORD = re.compile(r"[^\W_]+(?:[*@$!][^\W_]+)*")
 _QUOTES = "\"“”„«»‹›‘’"
@@ -52,33 +54,35 @@ def allowed_edits(term: str) -> int:
 def matches(trie: Trie, word: str, clean: frozenset[str] = frozenset()) -> tuple[str, int] | None:
     """The lexicon term nearest to ``word`` within its allowed edits, and the distance.
 
-    Runs the word's Levenshtein automaton and the trie side by side.  A state is a
-    set of (letters of the word read, edits so far); a trie path whose set is empty
-    is left.  Words of ``clean`` match exactly only.
+    Runs the word's Levenshtein automaton and the trie side by side.  The automaton's
+    states are kept as two sets of places in the word, those reached without and
+    with one edit, as bits of two numbers; a trie path whose sets are empty is left.
+    Words of ``clean`` match exactly only.
     """
-    most, n = 0 if word in clean else 1, len(word)
+    n, fuzzy = len(word), word not in clean
+    at: dict[str, int] = {}
+    for i, c in enumerate(word):
+        at[c] = at.get(c, 0) | 1 << i
     best: tuple[int, str] | None = None
-    stack = [(trie, {(0, 0)})]
+    stack = [(trie, 1, 0)]
     while stack:
-        node, states = stack.pop()
+        node, none, one = stack.pop()
         if node.term:
-            ends = [e + (0 if node.stem else n - i) for i, e in states]
-            distance = min(ends, default=2)
-            if distance <= min(most, allowed_edits(node.term)) and (best is None or (distance, node.term) < best):
+            if node.stem:
+                distance = 0 if none else 1
+            else:
+                distance = 0 if none >> n & 1 else 1 if (one >> n | none << 1 >> n) & 1 else 2
+            if distance <= (allowed_edits(node.term) if fuzzy else 0) and (best is None or (distance, node.term) < best):
                 best = distance, node.term
         for c, child in node.next.items():
-            new = set()
-            for i, e in states:
-                if i < n and word[i] == c:
-                    new.add((i + 1, e))
-                if e < most:
-                    new.add((i, e + 1))  # a letter is missing in the word
-                    if i < n:
-                        new.add((i + 1, e + 1))  # another letter
-                        if i + 1 < n and word[i + 1] == c:
-                            new.add((i + 2, e + 1))  # a letter too many
-            if new:
-                stack.append((child, new))
+            here = at.get(c, 0)
+            read = (none & here) << 1
+            if fuzzy:  # one edit more: a letter is missing in the word, is another one, or is one too many
+                edited = (one & here) << 1 | none | (none << 1) & ((2 << n) - 1) | (none << 1 & here) << 1
+                if read or edited:
+                    stack.append((child, read, edited))
+            elif read:
+                stack.append((child, read, 0))
     return (best[1], best[0]) if best else None
 
 
@@ -122,7 +126,8 @@ class Scanner:
     """The features of texts; what was found for a word is remembered in bounded space, which goes with the scanner."""
 
     def __init__(self, terms: dict[str, bool], clean: frozenset[str]):
-        self.memo = _Memo(Finder(terms, clean).find)
+        find = Finder(terms, clean).find
+        self.memo = Memo(lambda word: find(word) or False, _MEMO)  # False: looked up, none found
 
     def features(self, text: str, window: int = 6) -> list[float]:
         """The features of a whole text; hits are judged by the ``window`` words on either side."""
@@ -130,8 +135,7 @@ class Scanner:
         words = _WORD.findall(folded)
         look = self.memo
         hits = [i for i, word in enumerate(words) if look[word]]
-        if len(look) > _MEMO:
-            look.clear()
+        look.trim()
         if not hits:
             return [0.0] * len(FEATURES)
         spans = [m.span() for m in _WORD.finditer(folded)]
@@ -154,16 +158,6 @@ class Scanner:
         return [min(exact, 3), min(misspelled, 3), min(quoted, 3), min(addressed, 3), math.log(len(hits)), len(hits) / math.sqrt(len(words))]
 
 
-class _Memo(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        value = self[key] = self.make(key)
-        return value
-
-
 @dataclass
 class Model:
     terms: dict[str, bool]
@@ -183,7 +177,7 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def _lexicon(rows: DataFrame, n_toxic: int, n_clean: int, most_terms: int, least_share: float) -> tuple[dict[str, bool], list[str]]:
+def _lexicon(rows: DataFrame, n_toxic: int, n_clean: int, least_share: float) -> tuple[dict[str, bool], list[str]]:
     """Words and word beginnings that go with the label, from document counts made in Spark.
 
     A candidate's evidence is its count times the divergence of its label share from
@@ -210,7 +204,7 @@ def _lexicon(rows: DataFrame, n_toxic: int, n_clean: int, most_terms: int, least
     part = lambda x, p: F.when(x > 0, x * F.log(x / (total * F.lit(p)))).otherwise(0.0)
     likely = both.withColumn("gain", part(F.col("pos"), share) + part(F.col("neg"), 1 - share))
     strong = likely.filter((F.col("pos") >= least_share * total) & (F.length("word") >= 3) & (F.col("gain") >= math.log(1e6) + 2) & (~F.col("stem") | (F.col("forms") >= 3)))
-    found = strong.orderBy(F.desc("gain"), "word", "stem").limit(most_terms).collect()
+    found = strong.orderBy(F.desc("gain"), "word", "stem").collect()  # the sample bounds them
     terms: dict[str, bool] = {}
     whole = {r["word"]: r["gain"] for r in found if not r["stem"]}
     for r in sorted((r for r in found if r["stem"]), key=lambda r: (len(r["word"]), r["word"])):
@@ -244,12 +238,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, held_out: int = 0,
-    sample_rows: int = 20_000, most_terms: int = 400, least_share: float = 0.9,
+    sample_rows: int = 20_000, least_share: float = 0.9,
 ) -> Model | None:
     """Lexicon and weights from at most ``sample_rows`` labelled rows outside the held-out fold, chosen by hash.
 
-    The lexicon has at most ``most_terms`` words and stems, those with the most
-    evidence, of which toxic rows have at least ``least_share``.  Words of the
+    The lexicon has all words and stems of the sample with enough evidence, of which
+    toxic rows have at least ``least_share``; the sample bounds them.  Words of the
     sample that are mostly clean match exactly only.
 
     Only the text is an input of the score.  Rows with a null id, text or label are
@@ -264,7 +258,7 @@ def learn(
     sizes = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
     if len(sizes) < 2:
         return None
-    terms, clean = _lexicon(rows, sizes[1], sizes[0], most_terms, least_share)
+    terms, clean = _lexicon(rows, sizes[1], sizes[0], least_share)
     known = frozenset(clean)
     scanner = None
 
@@ -295,14 +289,11 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         return docs.select(F.col(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast("array<double>").alias("features"))
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    held: dict[str, Scanner] = {}  # filled in each Python worker
+    name = ("toxicity", uuid.uuid4().hex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         model = shared.value
-        if "scanner" not in held:
-            held["scanner"] = Scanner(model.terms, model.clean)
-        scanner = held["scanner"]
+        scanner = held(name, lambda: Scanner(model.terms, model.clean))  # for all of a worker's tasks
         for batch in batches:
             features = [scanner.features(t or "") for t in batch.column(1).to_pylist()]
             scores = model.score(np.array(features).reshape(len(features), len(FEATURES)))
