@@ -161,12 +161,18 @@ def _states(codes: np.ndarray, table: np.ndarray, loop: np.ndarray) -> np.ndarra
     return out
 
 
-def position_chances(net: Network, codes: np.ndarray) -> np.ndarray:
-    """Label probabilities of every position: ``codes`` (steps, rows) to (steps, rows, labels)."""
+def position_chances(net: Network, codes: np.ndarray, turned: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Label probabilities of every position, (steps, rows, labels).
+
+    ``codes`` and ``turned`` (steps, rows) hold each row's bytes forwards and
+    backwards from its first step on; what follows a row's ``sizes`` is padding, which
+    neither direction reads before the row's own bytes.
+    """
     table_f, loop_f, table_b, loop_b, matrix, bias = net.weights
-    codes = codes.astype(np.intp)
-    out = _states(codes, table_f, loop_f) @ matrix[: net.size]
-    out += _states(codes[::-1], table_b, loop_b)[::-1] @ matrix[net.size :]
+    out = _states(codes.astype(np.intp), table_f, loop_f) @ matrix[: net.size]
+    back = _states(turned.astype(np.intp), table_b, loop_b) @ matrix[net.size :]
+    place = np.maximum(sizes[None, :] - 1 - np.arange(len(codes))[:, None], 0)
+    out += back[place, np.arange(codes.shape[1])[None, :]]
     out += bias
     out -= out.max(axis=2, keepdims=True)
     np.exp(out, out=out)
@@ -181,7 +187,8 @@ def document_chances(net: Network, data: np.ndarray, offsets: np.ndarray, segmen
     are shorter still; so a text costs its length and not its longest chain of steps.
 
     Segments of one row may differ by one byte in length, so none is much shorter
-    than the others; shorter ones are padded and the padding is left out.
+    than the others.  Shorter ones are padded at the end of either direction's run, so a
+    row's result depends on no other row, and the padding is left out.
     """
     sizes = np.diff(offsets)
     pieces = -(-sizes // segment)
@@ -194,9 +201,11 @@ def document_chances(net: Network, data: np.ndarray, offsets: np.ndarray, segmen
         own = order[at : at + block]
         size = ends[own] - starts[own]
         steps = int(size.max())
-        grid = starts[own][None, :] + np.arange(steps)[:, None]
-        live = grid < ends[own][None, :]
-        chances = position_chances(net, data[np.where(live, grid, starts[own][None, :])])
+        step = np.arange(steps)[:, None]
+        live = step < size[None, :]
+        ahead = data[np.where(live, starts[own][None, :] + step, starts[own][None, :])]
+        behind = data[np.where(live, ends[own][None, :] - 1 - step, starts[own][None, :])]
+        chances = position_chances(net, ahead, behind, size)
         chances *= live[:, :, None]
         np.add.at(totals, row[own], chances.sum(axis=0))
     return totals / np.maximum(sizes, 1)[:, None]
