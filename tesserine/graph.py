@@ -102,14 +102,16 @@ def pairs(spark: SparkSession, sf_dir: str, kind: tuple) -> DataFrame:
 
 
 def edge_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``rel, n``: the number of edges of each kind; a table is read once for all kinds it holds, and repeated pairs are deduplicated as tagged integer keys."""
+    """``rel, n``: the number of edges of each kind; a table whose pairs may repeat is read once for all kinds it holds, by grouping sets of its integer keys."""
     parts = []
     for source in dict.fromkeys(k[1] for k in EDGE_KINDS):
         kinds = [k for k in EDGE_KINDS if k[1] == source]
         rows = table(spark, sf_dir, source)
         if any(k[6] for k in kinds):
-            tagged = [F.struct(F.lit(k[0]).alias("rel"), F.col(k[3]).cast("long").alias("a"), F.col(k[5]).cast("long").alias("b")) for k in kinds]
-            parts.append(rows.select(F.inline(F.array(*tagged))).distinct().select("rel"))
+            keys = list(dict.fromkeys(c for k in kinds for c in (k[3], k[5])))
+            sets = rows.groupingSets([(k[3], k[5]) for k in kinds], *keys).agg(F.grouping_id().alias("_g"))
+            names = {sum(1 << i for i, c in enumerate(reversed(keys)) if c not in (k[3], k[5])): k[0] for k in kinds}  # a bit for each key that a set leaves out
+            parts.append(sets.select(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("_g").cast("int")).alias("rel")))
         else:
             parts += [rows.select(F.lit(k[0]).alias("rel")) for k in kinds]
     return reduce(DataFrame.unionByName, parts).groupBy("rel").agg(F.count("*").alias("n"))

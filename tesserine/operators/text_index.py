@@ -11,13 +11,14 @@ the table ``live`` says which segment holds a block, so document counts stay exa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..sources.snapshots import Snapshots
 
 WIDTH = 4096
@@ -74,9 +75,15 @@ class TextIndex:
         docs = docs.filter(F.col("id").isNotNull()).select("id", "text", F.coalesce("label", F.lit("")).alias("label"))
         n = docs.count()
         buckets = buckets or max(8, n // 1_000_000)
-        sizes = self.spark.createDataFrame([(buckets,)], "buckets int")
-        live = docs.select(F.floor(F.col("id") / WIDTH).cast("long").alias("block")).groupBy("block").agg(F.count("*").alias("docs")).withColumn("segment", F.lit("segment-1"))
-        self.store.stage({"segment-1": _postings(docs, words, buckets), "live": live, "sizes": sizes}, partition_by={"segment-1": ["bucket"]})
+        live = docs.select(F.floor(F.col("id") / WIDTH).cast("long").alias("block"), "label").groupBy("block").agg(F.count("*").alias("docs"), F.count_distinct("label").alias("labels")).withColumn("segment", F.lit("segment-1"))
+        self._publish({"segment-1": _postings(docs, words, buckets), "live": live}, (), buckets)
+
+    def _publish(self, new: dict[str, DataFrame], keep: Iterable[str], buckets: int) -> None:
+        """One new version, with the number of documents and blocks beside it."""
+        (name,) = (n for n in new if n != "live")
+        new["live"] = live = cut(new["live"])
+        docs, blocks, labels = live.agg(F.sum("docs"), F.count("*"), F.max("labels")).first()
+        self.store.stage(new, keep, {name: ["bucket"]}, {"buckets": buckets, "docs": docs or 0, "blocks": blocks, "labels": labels or 0})
         self.store.commit()
 
     def update(self, docs: DataFrame, words: Column, changed: DataFrame) -> None:
@@ -90,21 +97,17 @@ class TextIndex:
         now = docs.withColumn("block", block).join(touched, "block", "left_semi")
         name = f"segment-{(self.store.current() or 0) + 1}"
         live = self.store.read("live")
-        fresh = now.groupBy("block").agg(F.count("*").alias("docs")).withColumn("segment", F.lit(name))
+        fresh = now.groupBy("block").agg(F.count("*").alias("docs"), F.count_distinct("label").alias("labels")).withColumn("segment", F.lit(name))
         live = live.join(touched, "block", "left_anti").unionByName(fresh)
-        self.store.stage({name: _postings(now.drop("block"), words, self._buckets()), "live": live}, keep=[*self._segments(), "sizes"], partition_by={name: ["bucket"]})
-        self.store.commit()
+        buckets = self.store.facts()["buckets"]
+        self._publish({name: _postings(now.drop("block"), words, buckets), "live": live}, self._segments(), buckets)
 
     def compact(self) -> None:
         """Write all live blocks as one segment again."""
         name = f"segment-{(self.store.current() or 0) + 1}"
         rows = self._live().drop("segment").repartitionByRange("bucket", "word", "block").sortWithinPartitions("bucket", "word", "block", "label")
         live = self.store.read("live").withColumn("segment", F.lit(name))
-        self.store.stage({name: rows, "live": live}, keep=["sizes"], partition_by={name: ["bucket"]})
-        self.store.commit()
-
-    def _buckets(self) -> int:
-        return self.store.read("sizes").first()[0]
+        self._publish({name: rows, "live": live}, (), self.store.facts()["buckets"])
 
     def _live(self) -> DataFrame:
         """Posting rows of all segments that are not superseded."""
@@ -115,7 +118,7 @@ class TextIndex:
             rows = rows.unionByName(part)
         return rows if len(names) == 1 else rows.join(self.store.read("live").select("block", "segment"), ["block", "segment"], "left_semi")
 
-    def search(self, queries: DataFrame, k: int = 10, share: bool = False, factors: dict[str, float] | None = None, labels: list[str] | None = None, first_blocks: int = 4, few: int = 100_000) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, share: bool = False, factors: dict[str, float] | None = None, labels: list[str] | None = None, first_blocks: int = 64) -> DataFrame:
         """The ``k`` best documents of each query (``query``, ``words`` array): ``query, id, score``, ties to the smaller id.
 
         ``share``: the part of the query's distinct words that a document has.  Else the
@@ -130,20 +133,17 @@ class TextIndex:
         """
         asked = queries.select("query", F.explode(F.array_distinct("words")).alias("word")).filter(F.col("word").isNotNull())
         asked = asked.withColumn("k", F.count("*").over(Window.partitionBy("query")))
-        words = asked.select("word").distinct().limit(NAMED_WORDS + 1).collect()
-        named = [r.word for r in words] if len(words) <= NAMED_WORDS else None
-        total = self._buckets()
+        facts = self.store.facts()
+        words = asked.select("word", _bucket("word", facts["buckets"]).alias("bucket")).distinct().limit(NAMED_WORDS + 1).collect()
+        small = len(words) <= NAMED_WORDS
         rows = self._live()
-        if named is not None:
-            # the same hash on the driver would need its own code: one small projection instead
-            at = self.spark.createDataFrame([(w,) for w in named], "word string").select(_bucket("word", total)).distinct().collect() if named else []
-            rows = rows.filter(F.col("bucket").isin([r[0] for r in at]) & F.col("word").isin(named))
-        small = named is not None and len(named) <= few
+        if small:
+            rows = rows.filter(F.col("bucket").isin(sorted({r.bucket for r in words})) & F.col("word").isin(sorted(r.word for r in words)))
         if share:
             weight = F.lit(1).cast("long")
             heads = rows.select("word", "label", "block").withColumn("best", F.lit(1))
         else:
-            n = self.store.read("live").agg(F.sum("docs")).first()[0] or 0
+            n = facts["docs"]
             df = rows.groupBy("word").agg(F.sum("n").alias("_df"))
             asked = asked.join(df, "word")
             weight = F.floor(1000 * F.log(1 + F.lit(float(n)) / F.col("_df"))).cast("long")
@@ -156,8 +156,6 @@ class TextIndex:
             factor = F.when(F.col("label") == label, F.lit(float(by))).otherwise(factor)
         hint = F.broadcast if small else (lambda x: x)
         bounds = heads.join(hint(asked), "word").groupBy("query", "block", "label").agg((F.sum(F.col("best") * F.col("weight")) * factor).alias("bound"))
-        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "block", "label"))
-        bounds = bounds.withColumn("_place", place)
 
         def scored(chosen: DataFrame) -> DataFrame:
             wanted = chosen.select("query", "block", "label").join(hint(asked.select("query", "word", "weight")), "query")
@@ -172,10 +170,14 @@ class TextIndex:
             top = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("value"), "id"))
             return found.withColumn("_r", top).filter(F.col("_r") <= k)
 
-        one = best(scored(bounds.filter(F.col("_place") <= first_blocks)))
-        floor = one.filter(F.col("_r") == k).select("query", F.col("value").alias("_floor"))
-        rest = bounds.filter(F.col("_place") > first_blocks).join(floor, "query", "left").filter(F.col("_floor").isNull() | (F.col("bound") >= F.col("_floor")))
-        both = best(one.drop("_r").unionByName(scored(rest)))
+        if facts["blocks"] * facts["labels"] <= first_blocks:  # no query has more
+            both = best(scored(bounds))
+        else:
+            placed = bounds.withColumn("_place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "block", "label")))
+            one = cut(best(scored(placed.filter(F.col("_place") <= first_blocks))))
+            floor = one.filter(F.col("_r") == k).select("query", F.col("value").alias("_floor"))
+            rest = placed.filter(F.col("_place") > first_blocks).join(floor, "query", "left").filter(F.col("_floor").isNull() | (F.col("bound") >= F.col("_floor")))
+            both = best(one.drop("_r").unionByName(scored(rest)))
         if share:
             sizes = queries.select("query", F.size(F.array_distinct("words")).alias("_k"))
             return both.join(sizes, "query").select("query", "id", F.round(F.col("value") / F.col("_k"), 6).alias("score"))

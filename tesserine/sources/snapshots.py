@@ -74,8 +74,13 @@ class Snapshots:
     def _open(self, held: dict) -> DataFrame:
         return self.spark.read.schema(StructType.fromJson(held["schema"])).parquet(f"{self.root}/{held['folder']}")
 
-    def stage(self, new: dict[str, DataFrame], keep: Iterable[str] = (), partition_by: dict[str, list[str]] | None = None) -> int:
-        """Phase one: write ``new`` beside the current version, which stays in force; ``keep`` names tables carried over as they are.
+    def facts(self, version: int | None = None) -> dict:
+        """The small facts staged with a committed version."""
+        version = self.current() if version is None else version
+        return {} if version is None else self._manifest(f"commits/{version}.json").get("facts", {})
+
+    def stage(self, new: dict[str, DataFrame], keep: Iterable[str] = (), partition_by: dict[str, list[str]] | None = None, facts: dict | None = None) -> int:
+        """Phase one: write ``new`` beside the current version, which stays in force; ``keep`` names tables carried over as they are, ``facts`` go into the manifest.
 
         What an earlier run staged and did not commit is replaced, so a crashed run is simply run again.
         """
@@ -86,7 +91,7 @@ class Snapshots:
             folder = f"versions/{version}/{name}"
             df.write.mode("overwrite").partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{self.root}/{folder}")
             named[name] = {"folder": folder, "schema": df.schema.jsonValue()}
-        self._write(f"versions/{version}/pending.json", {"version": version, "tables": named})
+        self._write(f"versions/{version}/pending.json", {"version": version, "tables": named, "facts": facts or {}})
         return version
 
     def commit(self) -> int | None:
