@@ -75,12 +75,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written as Parquet to the shared folder and read again."""
+    """All stages over ``documents``; each stage's rows are written as Parquet to the shared folder and read again.
+
+    A stage's folder goes when the next one is written; the last one is the result.
+    """
     common.ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = common.table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs, path = common.table(spark, sf_dir, "documents").select(*COLUMNS), ""
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
+        before, path = path, f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
     return docs
