@@ -89,41 +89,54 @@ def _judged(tag: str, attributes: str) -> tuple[str, bool, int]:
     return marks.lower(), (drop or hidden) and tag not in ("html", "body", "main"), hint
 
 
-def _settle(root: Node) -> None:
-    """Decide which elements with a hint go: never what holds an article or main, nor what holds most of its surroundings' text as prose.
-
-    The surroundings are the article or main around the element, or else the page.
-    Beside an article, what a strong hint names goes whatever its size.  A
-    header inside an article stays if it holds a heading.
-    """
-    nodes = list(_preorder(root))
-    size: dict[int, list[int]] = {}  # characters of text and of links in each element, without what is dropped
-    for node, _ in reversed(nodes):
+def _sizes(root: Node) -> dict[int, tuple[int, int]]:
+    """Characters of text and of links in each element (by ``id``), without what is dropped."""
+    size: dict[int, tuple[int, int]] = {}
+    for node, _ in reversed(list(_preorder(root))):
         own, links = 0, 0
         for child in node.children:
             if isinstance(child, str):
                 own += len(child.strip())
             elif not child.drop:
                 own, links = own + size[id(child)][0], links + size[id(child)][1]
-        size[id(node)] = [own, own if node.tag == "a" else links]
-    parted = any(node.tag in ("article", "main") for node, _ in nodes)
-    around: dict[int, Node] = {}
-    for node, inside in nodes:
-        above = around.get(id(node.parent), root) if node.parent is not None else root
-        around[id(node)] = node if node.tag in ("article", "main") else above
-        if node.tag == "header" and inside and node.drop and any(not isinstance(c, str) and c.tag in KEPT for c in node.children):
+        size[id(node)] = (own, own if node.tag == "a" else links)
+    return size
+
+
+def _around(node: Node) -> Node:
+    """The article or main around an element, or else the root."""
+    at = node.parent
+    while at.parent is not None and at.tag not in ("article", "main"):
+        at = at.parent
+    return at
+
+
+def _settle(root: Node, hinted: list[Node], parted: bool) -> None:
+    """Decide which elements with a hint go: never what holds an article or main, nor what holds most of its surroundings' text as prose.
+
+    The surroundings are the article or main around the element, or else the page.
+    Beside an article (the page is ``parted``), what a strong hint names goes whatever its size.  A
+    header inside an article stays if it holds a heading.  Sizes are taken only where they decide.
+    """
+    within = [(node, _around(node)) for node in hinted if not node.core]
+    plain = lambda node, above: node.hint >= 2 and parted and above is root
+    size = _sizes(root) if any(node.hint and not node.drop and not plain(node, above) for node, above in within) else {}
+    for node, above in within:
+        if node.tag == "header" and node.drop and above is not root and any(not isinstance(c, str) and c.tag in KEPT for c in node.children):
             node.drop = False
-        if node.hint and not node.core and not node.drop:
+        if node.hint and not node.drop:
+            if plain(node, above):
+                node.drop = True
+                continue
             text, links = size[id(node)]
-            most = 2 * text + (node.hint == 2) > size[id(above)][0] and 5 * links < 3 * text
-            node.drop = not most or (node.hint >= 2 and parted and not inside)
+            node.drop = not (2 * text + (node.hint == 2) > size[id(above)][0] and 5 * links < 3 * text)
 
 
 def parse(page: str) -> Node:
     """A lenient element tree: unclosed and misplaced tags, cut-off pages and stray ``<`` never fail."""
     root = top = Node("#root")
     opened: dict[str, int] = {}
-    place, hinted = 0, False
+    place, parted, hinted = 0, False, []
 
     def back_to(node: Node) -> None:
         nonlocal top
@@ -163,11 +176,12 @@ def parse(page: str) -> Node:
                 at = at.parent
             back_to(closed)
         marks, drop, hint = _judged(name, attributes)
-        hinted |= hint > 0 or name == "header"
         node = Node(name, marks, drop, top, hint=hint)
         top.children.append(node)
+        if hint or name == "header":
+            hinted.append(node)
         if name in ("article", "main"):
-            at = node
+            at, parted = node, True
             while at is not None and not at.core:
                 at.core, at = True, at.parent
         if name in VOID or attributes.rstrip().endswith("/") and name in ("svg", "path"):
@@ -182,7 +196,7 @@ def parse(page: str) -> Node:
             else:  # never closed: empty
                 back_to(node.parent)
     if hinted:
-        _settle(root)
+        _settle(root, hinted, parted)
     return root
 
 
