@@ -10,6 +10,9 @@ from ..registry import register
 from ..tables import table
 
 _MODULE = Node("Module", "items", "module")
+_MODULE_OF_TESTS = Node("Module", "tests", "module")
+#: Kinds of test cases and their labels.
+TEST_KINDS = {"functional": "TS_FunctionalTestCase", "config": "TS_ConfigTestCase", "static": "TS_StaticTestCase", "wcet": "TS_WCETTestCase"}
 
 BUILDERS: dict[str, Spec] = {
     "requirements": Spec(
@@ -24,8 +27,16 @@ BUILDERS: dict[str, Spec] = {
         (Edge("DEPENDS_ON", "calls", ("Function", "caller"), ("Function", "callee"), ("place",)), Edge("HAS_FIELD", "fields", ("HardwareRegister", "register"), ("RegisterField", "name")), Edge("ACCESSES_REGISTER", "accesses", ("Function", "function"), ("HardwareRegister", "register"), ("access",)), Edge("USES_TYPE", "functions", ("Function", "name"), ("Struct", "types"))),
     ),
     "test_specification": Spec(
-        (Node("TS_Document", "tests", "document"), Node("TS_FunctionalTestCase", "tests", "test_id", ("objective", "status"), ("kind", "functional")), Node("TS_ConfigTestCase", "tests", "test_id", ("objective", "status"), ("kind", "config")), Node("TS_StaticTestCase", "tests", "test_id", ("objective",), ("kind", "static")), Node("TS_WCETTestCase", "tests", "test_id", ("objective",), ("kind", "wcet")), Node("ProductRequirement", "items", "key")),
-        tuple(Edge(rel, "tests", (label, "test_id"), dst) for label in ("TS_FunctionalTestCase", "TS_ConfigTestCase") for rel, dst in (("TS_VERIFIES", ("ProductRequirement", "requirements")), ("TS_IN_DOCUMENT", ("TS_Document", "document")))),
+        (Node("TS_Document", "tests", "document"), _MODULE_OF_TESTS, *(Node(label, "tests", "test_id", ("objective", "status"), ("kind", kind)) for kind, label in TEST_KINDS.items()), Node("ProductRequirement", "items", "key"), Node("EA_Element", "elements", "element_id", ("name", "label"))),
+        (
+            *(Edge("TS_VERIFIES", "tests", (TEST_KINDS[k], "test_id"), ("ProductRequirement", "requirements")) for k in ("functional", "config", "static")),
+            *(Edge("TS_VALIDATES_EA", "design_links", (label, "test_id"), ("EA_Element", "element_id"), ("by",)) for label in TEST_KINDS.values()),
+            *(Edge("TRACES_TO", "design_links", ("EA_Element", "element_id"), (label, "test_id")) for label in TEST_KINDS.values()),
+            Edge("TS_TESTS_CONFIG_ELEMENT", "config_links", (TEST_KINDS["config"], "test_id"), ("EA_Element", "element_id")),
+            Edge("TS_MEASURES_TIMING_OF", "timing_links", (TEST_KINDS["wcet"], "test_id"), ("EA_Element", "element_id")),
+            *(Edge("TS_BELONGS_TO_MODULE", "tests", (label, "test_id"), ("Module", "module")) for label in TEST_KINDS.values()),
+            *(Edge("TS_CONTAINS_TESTCASE", "tests", ("TS_Document", "document"), (label, "test_id")) for label in TEST_KINDS.values()),
+        ),
     ),
     "source_code": Spec(
         (Node("SRC_SourceFile", "files", "path", ("hash",)), Node("SRC_Function", "functions", "name", ("kind",)), Node("SRC_Macro", "macros", "name", ("value",)), Node("SRC_DataType", "types", "name", ("kind",)), Node("SRC_GlobalVariable", "globals", "name", ("kind",)), Node("SRC_Register", "registers", "name")),
@@ -44,6 +55,29 @@ BUILDERS: dict[str, Spec] = {
 }
 
 
+def specification_sources(rows: DataFrame, module: str, items: DataFrame, elements: DataFrame) -> dict[str, DataFrame]:
+    """The sources of the test specification's builder from rows of its sheets.
+
+    ``rows``: ``path, sheet, test_id, objective, method, requirement, design, target,
+    status`` (references as text, separated by commas, semicolons or blanks).  The kind is told by the sheet's or
+    method's name, functional without any word.  A test validates design ``elements`` (``element_id, name,
+    label``) by their id among its references, or by their name as a word of its objective; a configuration test's
+    and a timing test's target is an element's name.
+    """
+    said = F.lower(F.concat_ws(" ", "sheet", "method"))
+    kind = F.when(said.contains("wcet") | said.contains("timing"), "wcet").when(said.contains("config"), "config").when(said.contains("static") | said.contains("interface"), "static").otherwise("functional")
+    listed = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"[\s,;]+"), lambda x: x != "")
+    tests = rows.filter(F.col("test_id").isNotNull()).select("test_id", "objective", "status", F.regexp_extract("path", r"([^/]*)$", 1).alias("document"), F.lit(module).alias("module"), kind.alias("kind"), listed("requirement").alias("requirements"), listed("design").alias("_design"), F.trim("target").alias("_target"))
+    by_id = tests.select("test_id", F.explode("_design").alias("element_id")).join(elements.select("element_id"), "element_id", "left_semi").withColumn("by", F.lit("id"))
+    words = tests.select("test_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("objective", F.lit("")), F.lit(r"(\w+)"), F.lit(1)))).alias("name"))
+    by_name = words.join(elements.select("element_id", "name"), "name").select("element_id", "test_id", F.lit("name").alias("by"))
+    aimed = tests.join(elements.select("element_id", F.col("name").alias("_target")), "_target").select("test_id", "kind", "element_id")
+    return {
+        "tests": tests.drop("_design", "_target"), "items": items, "elements": elements, "design_links": by_id.select("element_id", "test_id", "by").unionByName(by_name),
+        "config_links": aimed.filter("kind = 'config'").drop("kind"), "timing_links": aimed.filter("kind = 'wcet'").drop("kind"),
+    }
+
+
 @register(
     "graph_build",
     """with p as (select distinct cast(o_custkey as varchar) as k from orders), n as (select 'Customer' as label, count(*) as n from (select distinct c_custkey from customer) union all select 'Order', count(*) from (select distinct o_orderkey from orders) union all select 'Module', count(distinct c_mktsegment) from customer),

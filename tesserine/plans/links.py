@@ -300,17 +300,22 @@ SLOT_RULES = (
 _HEADINGS = (("interface", "api_functions"), ("exported", "api_functions"), ("safety", "safety"), ("config", "api_functions"))
 
 
+# The same for a document's type, after label and heading.
+_TYPES = (("architectural", "dependencies"), ("decision", "dependencies"), ("safety", "safety"), ("config", "api_functions"), ("requirement", "requirements"))
+
+
 @register(
     "slot_classification",
-    _A + ", t as (select id, case when seq % 3 = 0 then '' else label end as label, case seq % 5 when 0 then 'Exported Interface' when 1 then 'Safety notes' when 2 then 'Other' else kind end as heading from n) select id, case "
-    + " ".join(f"when contains(lower(label), '{w}') then '{s}'" for w, s in SLOT_RULES) + " " + " ".join(f"when contains(lower(heading), '{w}') then '{s}'" for w, s in _HEADINGS) + " else 'custom' end as slot from t",
+    _A + ", t as (select id, case when seq % 3 = 0 then '' else label end as label, case seq % 5 when 0 then 'Exported Interface' when 1 then 'Safety notes' when 2 then 'Other' else kind end as heading, case seq % 7 when 0 then 'Architectural Decision' when 1 then 'Config item' when 2 then 'Requirement' when 3 then 'SAFETY case' end as type from n) select id, case "
+    + " ".join(f"when contains(lower(label), '{w}') then '{s}'" for w, s in SLOT_RULES) + " " + " ".join(f"when contains(lower(heading), '{w}') then '{s}'" for w, s in _HEADINGS) + " " + " ".join(f"when contains(lower(type), '{w}') then '{s}'" for w, s in _TYPES) + " else 'custom' end as slot from t",
 )
 def slot_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context slot of a hit, by its label, then by its heading."""
+    """The context slot of a hit, by its label, then by its heading, then by its document's type."""
     seq = C("seq")
     heading = F.when(seq % 5 == 0, "Exported Interface").when(seq % 5 == 1, "Safety notes").when(seq % 5 == 2, "Other").otherwise(C("kind"))
-    rows = typed_graph(spark, sf_dir, "A").nodes.select("id", F.lower(F.when(seq % 3 == 0, "").otherwise(C("label"))).alias("_l"), F.lower(heading).alias("_h"))
-    rules = [(C("_l").contains(w), s) for w, s in SLOT_RULES] + [(C("_h").contains(w), s) for w, s in _HEADINGS]
+    kind = F.when(seq % 7 == 0, "Architectural Decision").when(seq % 7 == 1, "Config item").when(seq % 7 == 2, "Requirement").when(seq % 7 == 3, "SAFETY case")
+    rows = typed_graph(spark, sf_dir, "A").nodes.select("id", F.lower(F.when(seq % 3 == 0, "").otherwise(C("label"))).alias("_l"), F.lower(heading).alias("_h"), F.lower(kind).alias("_t"))
+    rules = [(C(c).contains(w), s) for c, own in (("_l", SLOT_RULES), ("_h", _HEADINGS), ("_t", _TYPES)) for w, s in own]
     return rows.select("id", reduce(lambda rest, r: F.when(r[0], r[1]).otherwise(rest), reversed(rules), F.lit("custom")).alias("slot"))
 
 

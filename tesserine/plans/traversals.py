@@ -203,17 +203,16 @@ def text_mention_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mentions(texts: DataFrame, names: DataFrame, keys: tuple[str, ...], text: str, scope: str) -> DataFrame:
     """``keys, name`` for every name of the same ``scope`` that a text has as a substring.
 
-    Names and texts meet by an equi-join on the name's length-bounded pieces: every run of
-    word characters in the text, and each of its prefixes, so the number of names
-    does not multiply the texts.  Names are runs of word characters; one may start inside a run.
+    Names and texts meet by an equi-join on pieces of the text's runs of word characters, at
+    every place those of the lengths that names have, so the number of names
+    does not multiply the texts and a long run makes its length times the number of lengths.  Names are runs of word characters; one may start inside a run.
     """
     runs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\w+)"), F.lit(1)))
-    sizes = names.agg(F.min(F.length("name")), F.max(F.length("name"))).first()
-    if sizes[0] is None:
+    sizes = sorted(r[0] for r in names.select(F.length("name").alias("n")).distinct().collect() if r[0])  # as many as names have lengths
+    if not sizes:
         return texts.select(*keys, F.lit("").alias("name")).limit(0)
-    at = lambda w: F.sequence(F.lit(1), F.length(w) - sizes[0] + 1)
-    cuts = lambda w, p: F.transform(F.sequence(F.lit(sizes[0]), F.least(F.lit(sizes[1]), F.length(w) - p + 1)), lambda n: F.substring(w, p, n))
-    inside = F.flatten(F.transform(F.filter(runs, lambda w: (F.length(w) >= sizes[0]) & w.contains("_")), lambda w: F.flatten(F.transform(at(w), lambda p: cuts(w, p)))))
+    cuts = lambda w, n: F.transform(F.when(F.length(w) >= n, F.sequence(F.lit(1), F.length(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda p: F.substring(w, p, F.lit(n)))
+    inside = F.flatten(F.transform(F.filter(runs, lambda w: w.contains("_")), lambda w: F.concat(*(cuts(w, n) for n in sizes))))
     pieces = texts.select(*keys, scope, F.explode(F.array_distinct(F.filter(inside, lambda x: x.contains("_")))).alias("name"))
     return pieces.join(names.select("name", scope).distinct(), ["name", scope]).select(*keys, "name").distinct()
 

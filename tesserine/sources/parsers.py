@@ -159,6 +159,29 @@ def expand_indexed(names: Column) -> Column:
     return F.when(names.rlike(pattern), each).otherwise(F.array(names))
 
 
+def expand_letter(text: Column, letter: Column, value: Column) -> Column:
+    """A name or sentence with its index letter replaced by a number: between capitals (``CXPI_CHx_CTL1``) and as a word of its own; a note like ``(x=0-3)`` goes."""
+    bare = F.regexp_replace(text, F.concat(F.lit(r"\s*\(\s*"), letter, F.lit(r"\s*=\s*\d+\s*(?:-|\u2013|\u2014|\.\.|\u2026|to)\s*\d+\s*\)")), F.lit(""))
+    inside = F.regexp_replace(bare, F.concat(F.lit(r"(?<=[A-Z])"), letter, F.lit(r"(?=[A-Z_0-9]|$)")), value.cast("string"))
+    return F.regexp_replace(inside, F.concat(F.lit(r"(?<!\w)"), letter, F.lit(r"(?!\w)")), value.cast("string"))
+
+
+def expand_rows(rows: DataFrame, noted: str, *columns: str) -> DataFrame:
+    """A row for each value of the index that ``noted`` (``... (x=0-3)``) declares, its letter replaced in ``columns`` and ``noted``; ``index`` is null in rows without one."""
+    pattern = r"\(\s*([a-z])\s*=\s*(\d+)\s*(?:-|\u2013|\u2014|\.\.|\u2026|to)\s*(\d+)\s*\)"
+    part = lambda k: F.regexp_extract(noted, pattern, k)
+    values = F.when(C(noted).rlike(pattern), F.sequence(part(2).cast("int"), part(3).cast("int")))
+    out = rows.withColumn("_letter", part(1)).select("*", F.explode_outer(values).alias("index"))
+    changed = {c: F.when(C("index").isNull(), C(c)).otherwise(expand_letter(C(c), C("_letter"), C("index"))) for c in dict.fromkeys((noted, *columns))}
+    return out.withColumns(changed).drop("_letter")
+
+
+def coverage_verdict(counted: DataFrame) -> DataFrame:
+    """Adds ``percent`` and ``verdict`` to ``n_lines, n_hit``: PASS from 80 percent, WARNING from 50, else FAIL; files without lines have 0."""
+    percent = F.when(C("n_lines") > 0, F.round(100.0 * C("n_hit") / C("n_lines"), 2)).otherwise(F.lit(0.0))
+    return counted.withColumn("percent", percent).withColumn("verdict", F.when(C("percent") >= 80, "PASS").when(C("percent") >= 50, "WARNING").otherwise("FAIL"))
+
+
 def merge_unique(first: DataFrame, second: DataFrame, *keys: str) -> DataFrame:
     """All rows of the first extractor, and those of the second whose key it has not."""
     return first.unionByName(second.dropDuplicates(list(keys)).join(first.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)

@@ -88,3 +88,23 @@ def test_functions_use_the_types_of_their_signatures(spark):
     }
     g = build(BUILDERS["relaxed_parsers"], sources)
     assert [(r.src, r.rel, r.dst) for r in g.edges.collect()] == [("Function:f", "USES_TYPE", "Struct:State")]
+
+
+def test_test_specification_from_its_sheets(spark):
+    from tesserine.plans.builders import specification_sources
+
+    rows = [
+        ("d/spec.xlsx", "Functional", "T1", "check Adc_Init and Adc_Read twice", "auto", "PRQ-1; PRQ-2,PRQ-9", "{G1} {G7}", None, "open"), ("d/spec.xlsx", "Config tests", "T2", "values", None, "PRQ-1", None, " AdcMax ", "done"),
+        ("d/spec.xlsx", "Timing", "T3", "WCET", None, "PRQ-1", None, "Adc_Read", None), ("d/spec.xlsx", "Static interface", "T4", None, None, "PRQ-2", None, "Adc_Read", None), ("d/spec.xlsx", "Functional", None, "no id", None, None, None, None, None),
+    ]
+    frame = spark.createDataFrame(rows, "path string, sheet string, test_id string, objective string, method string, requirement string, design string, target string, status string")
+    items = spark.createDataFrame([("PRQ-1",), ("PRQ-2",)], "key string")
+    elements = spark.createDataFrame([("{G1}", "Adc_Init", "EA_Function"), ("{G2}", "Adc_Read", "EA_Function"), ("{G3}", "AdcMax", "EA_ConfigParameter")], "element_id string, name string, label string")
+    g = build(BUILDERS["test_specification"], specification_sources(frame, "ADC", items, elements))
+    got = {(r.src.split(":")[1], r.rel, r.dst.split(":")[1]) for r in g.edges.collect()}
+    checks = {("T1", "PRQ-1"), ("T1", "PRQ-2"), ("T2", "PRQ-1"), ("T4", "PRQ-2")}
+    valid = {("T1", "{G1}"), ("T1", "{G2}")}
+    assert got == {(a, "TS_VERIFIES", b) for a, b in checks} | {(a, "TS_VALIDATES_EA", b) for a, b in valid} | {(b, "TRACES_TO", a) for a, b in valid} | {("T2", "TS_TESTS_CONFIG_ELEMENT", "{G3}"), ("T3", "TS_MEASURES_TIMING_OF", "{G2}")} | {
+        (t, "TS_BELONGS_TO_MODULE", "ADC") for t in ("T1", "T2", "T3", "T4")
+    } | {("spec.xlsx", "TS_CONTAINS_TESTCASE", t) for t in ("T1", "T2", "T3", "T4")}
+    assert {r.label for r in g.nodes.filter("key like 'T%'").collect()} == {"TS_FunctionalTestCase", "TS_ConfigTestCase", "TS_StaticTestCase", "TS_WCETTestCase"}
