@@ -131,11 +131,13 @@ class Snapshots:
                         self._fs.delete(status.getPath(), True)
 
 
-def fingerprint(spark: SparkSession, path: str) -> str:
-    """A digest of the names, lengths and times of the files of a table; it changes when the table does."""
+def fingerprint(spark: SparkSession, path: str, listed: int = 10_000) -> str:
+    """A digest of a table's files that changes when the table does: their names, lengths and times, or, above ``listed`` files, their number and total length and the folder's time."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    seen, at = hashlib.md5(), [where]
+    total, top = fs.getContentSummary(where), fs.getFileStatus(where)
+    seen = hashlib.md5(f"{path} {total.getFileCount()} {total.getLength()} {top.getModificationTime()}".encode())
+    at = [where] if total.getFileCount() <= listed else []
     while at:
         for status in sorted(fs.listStatus(at.pop()), key=lambda s: s.getPath().toString()):
             if status.isDirectory():
