@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +27,48 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def _forests(links: DataFrame, blocks: int, most: int) -> DataFrame:
+    """The links dealt to at most ``blocks`` tasks; each gives stars with the same components as its own links have, from at most ``most`` nodes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead: dict[int, int] = {}
+
+        def top(n: int) -> int:
+            while (up := lead.setdefault(n, n)) != n:
+                lead[n] = n = lead[up]
+            return n
+
+        def stars() -> pa.RecordBatch:
+            found = [(n, t) for n in list(lead) if (t := top(n)) != n]
+            lead.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = top(x), top(y)
+                lead[max(x, y)] = min(x, y)
+            if len(lead) > most:
+                yield stars()
+        yield stars()
+
+    return links.coalesce(blocks).mapInArrow(run, "a long, b long")
+
+
+def components(links: DataFrame, a: str, b: str, block: int = 50_000) -> DataFrame:
     """``node, component`` for every node that has a link; the component is its smallest reachable node.
 
     ``links`` may hold both directions, repeats and self-links; null ends are ignored.
+    First tasks of about ``block`` links each shorten their own links to stars, so
+    chains shrink before any round and no more than ``block`` links need none.
     Each round is written to the checkpoint folder; rounds grow with the logarithm
     of the number of links.
     """
     pairs = links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter(F.col("x") != F.col("y"))
-    stars = cut(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    state = _state(stars)
-    while True:
+    stars = cut(pairs.select(F.greatest("x", "y").cast("long").alias("a"), F.least("x", "y").cast("long").alias("b")).distinct())
+    blocks = max(1, -(-stars.count() // block))
+    stars = cut(_forests(stars, blocks, 2 * block))
+    state = _state(stars) if blocks > 1 else None
+    while state is not None:
         stars = cut(_star(_star(stars, large=True), large=False))
         now = _state(stars)
         if now == state:

@@ -128,6 +128,31 @@ def likely_similarity(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarr
     return (low + high) / 2
 
 
+def reaches(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, sketch: Sketch, least: float) -> np.ndarray:
+    """Whether :func:`likely_similarity` of row pairs is at least ``least``.
+
+    The log-likelihood is concave, so its maximum lies there if, and only if, it
+    does not fall at ``least``: one slope for each pair instead of a search.
+    """
+    c = (sketch.b - 1) / sketch.b
+    up, down = _ones(x > y), _ones(x < y)
+    same = x.shape[1] - up - down
+    u, v = nx / (nx + ny), ny / (nx + ny)
+    s, t = u - v * least, v - u * least
+    inside = (s > 0) & (t > 0)  # else no sets of these sizes are so similar
+    s, t = np.where(inside, s, 0.5), np.where(inside, t, 0.5)
+    log_b = np.log(sketch.b)
+    more, less = -np.log1p(-s * c) / log_b, -np.log1p(-t * c) / log_b
+    more_by, less_by = c / (1 - s * c) / log_b, c / (1 - t * c) / log_b
+    rise = same * (v * more_by + u * less_by) / np.maximum(1 - more - less, 1e-12)
+    return inside & (rise >= up * v * more_by / more + down * u * less_by / less)
+
+
+def _ones(flags: np.ndarray) -> np.ndarray:
+    """The number of true values in each row."""
+    return np.bitwise_count(np.packbits(flags, axis=1)).sum(1, dtype=np.int64)
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, sketch: Sketch) -> DataFrame:
     """``_id, _n, _fa, _fb, _sketch``: set size, an order-free 128-bit digest of the set, and its registers."""
 
@@ -185,59 +210,60 @@ def _likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch, least: float)
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
             nx, ny = (batch.column(i).to_numpy().astype(float) for i in (4, 5))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1, 4, 5)], ["x", "y", "nx", "ny"]).filter(pa.array(likely_similarity(x, y, nx, ny, sketch) >= least))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1, 4, 5)], ["x", "y", "nx", "ny"]).filter(pa.array(reaches(x, y, nx, ny, sketch, least)))
 
     one = classes.select(F.col("_rep").alias("x"), F.col("_sketch").alias("sx"), F.col("_n").alias("nx"))
     two = classes.select(F.col("_rep").alias("y"), F.col("_sketch").alias("sy"), F.col("_n").alias("ny"))
     return pairs.join(one, "x").join(two, "y").select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(run, "x long, y long, nx long, ny long")
 
 
-def _pairs(band: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, most: int = 10_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows to compare, at most about ``most`` at a time; rows come sorted by band, block pair and own block."""
+def _pairs(band: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, inside: np.ndarray, most: int = 10_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows to compare, those of different components, about ``most`` at a time.
+
+    Rows come sorted by band, block pair, own block and component, so the partners
+    of a row are one range of rows, or two around its own component in the other block.
+    """
     n = len(band)
     if not n:
         return
-    head = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-    size = np.diff(np.r_[head, n])
-    small = (size <= 64) & (low[head] == high[head])
-    for k in np.unique(size[small & (size > 1)]):
-        i, j = np.triu_indices(int(k), 1)
-        starts = head[small & (size == k)]
-        step = max(most // len(i), 1)
-        for at in range(0, len(starts), step):
-            base = starts[at : at + step, None]
-            yield (base + i).ravel(), (base + j).ravel()
-    for at, k in zip(head[~small], size[~small], strict=True):
-        rows = np.arange(at, at + k)
-        if low[at] == high[at]:
-            for r in rows[:-1]:
-                yield np.full(at + k - r - 1, r), np.arange(r + 1, at + k)
-        else:
-            one, two = rows[own[rows] == low[at]], rows[own[rows] == high[at]]
-            for r in one if len(two) else []:
-                yield np.full(len(two), r), two
+    block = np.cumsum(np.r_[False, (band[1:] != band[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+    code = np.unique(inside, return_inverse=True)[1]
+    many = int(code.max()) + 1
+    key = (block * 2 + (own != low)) * many + code
+    alone, across = np.flatnonzero(low == high), np.flatnonzero((low != high) & (own == low))
+    other = (block[across] * 2 + 1) * many
+    rows = np.concatenate([alone, across, across])
+    start = np.searchsorted(key, np.concatenate([key[alone] + 1, other, other + code[across] + 1]))
+    stop = np.searchsorted(key, np.concatenate([(block[alone] + 1) * 2 * many, other + code[across], other + many]))
+    some = stop > start
+    rows, start, size = rows[some], start[some], (stop - start)[some]
+    if not len(rows):
+        return
+    before = np.cumsum(size) - size
+    heads = np.flatnonzero(np.r_[True, np.diff(before // most) > 0])
+    for a, b in zip(heads, [*heads[1:], len(rows)], strict=True):
+        place, step = packed.within(size[a:b])
+        yield rows[a:b][place], start[a:b][place] + step
 
 
 def _candidates(table: pa.Table, sketch: Sketch, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of a group's rows, and pairs of places in it: likely similar, in different components, here in the first band that they share."""
     names = ("_band", "_lo", "_hi", "_own", "_in", "_n")
     band, low, high, own, inside, size = (table.column(c).to_numpy() for c in names)
-    order = np.lexsort((own, high, low, band))
+    order = np.lexsort((inside, own, high, low, band))
     band, low, high, own, inside, size = (x[order] for x in (band, low, high, own, inside, size))
     regs = np.frombuffer(b"".join(table.column("_sketch").to_pylist()), np.uint16).reshape(len(order), -1)[order]
     found = []
     groups = sketch.m // sketch.rows
-    for i, j in _pairs(band, low, high, own):
-        apart = inside[i] != inside[j]
-        i, j = i[apart], j[apart]
-        if not len(i):
-            continue
+    for i, j in _pairs(band, low, high, own, inside):
+        even = np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j])
+        i, j = i[even], j[even]
         same = regs[i] == regs[j]
-        near = same.sum(1) >= sketch.m * (least - 0.02)
+        near = _ones(same) >= sketch.m * (least - 0.02)
         i, j, same = i[near], j[near], same[near]
         if not len(i):
             continue
-        good = likely_similarity(regs[i], regs[j], size[i].astype(float), size[j].astype(float), sketch) >= least
+        good = reaches(regs[i], regs[j], size[i].astype(float), size[j].astype(float), sketch, least)
         i, j, same = i[good], j[good], same[good]
         if len(i):
             first = np.logical_and.reduce([same[:, r :: sketch.rows][:, :groups] for r in range(sketch.rows)]).argmax(1)
