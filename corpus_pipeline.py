@@ -59,7 +59,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document that is left, with its text decoded from them."""
     coded = sentencepiece_codec.encode_decode(docs, public_tokenizers.path(PIECE_MODEL))
-    return coded.select("doc_id", "ids", (F.length("ids") - F.length(F.translate("ids", " ", "")) + 1).cast("long").alias("n_tokens"), "decoded")
+    return coded.select("doc_id", "ids", "n_tokens", "decoded")
 
 
 STAGES = [

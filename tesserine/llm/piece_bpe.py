@@ -15,8 +15,8 @@ from __future__ import annotations
 import heapq
 import re
 import string
+from collections.abc import Iterable
 
-import ahocorasick
 import sentencepiece
 
 SPACE_MARK = "▁"
@@ -38,12 +38,12 @@ class PieceModel:
         self.end = sp.eos_id()
         self.ids = {self.text[i]: i for i in plain}
         self.score = {self.text[i]: sp.get_score(i) for i in plain}
-        self.matcher = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for piece in self.ids:
-            self.matcher.add_word(piece[::-1])
-        self.matcher.make_automaton()
-        self.next_shorter = {p: next((p[:n] for n in range(len(p) - 1, 1, -1) if p[:n] in self.ids), p[0] if len(p) > 1 else "") for p in self.ids}
-        self._fits = Memo(self._merge_keeps, _CACHED_ITEMS // 2)
+        self.id_text = {piece: str(i) for piece, i in self.ids.items()}
+        self.said = {piece: piece.replace(SPACE_MARK, " ") for piece in self.ids}
+        self.matcher = matcher(self.ids)
+        known = {p: p for p in self.ids}  # one object for each piece: its hash is computed once
+        self.next_shorter = {p: known.setdefault(q, q) for p in self.ids if (q := next((p[:n] for n in range(len(p) - 1, 1, -1) if p[:n] in self.ids), p[0] if len(p) > 1 else ""))}
+        self._after = Neighbours(self._merge_keeps)
         self.segment, self.part = map(re.compile, self._cuts())
 
     def _cuts(self) -> tuple[str, str]:
@@ -89,40 +89,47 @@ class PieceModel:
                 heapq.heappush(heap, (-score[p], h, p))
         return [p for p in parts if p]
 
-    def _merge_keeps(self, pair: tuple[str, str]) -> bool:
+    def _merge_keeps(self, a: str, b: str) -> bool:
         """Whether two adjacent tokens stay as they are when merged side by side (the first may be empty)."""
-        a, b = pair
-        self._fits.trim()
         return self.merge(a + b) == ([a, b] if a else [b])
 
     def tokens(self, s: str) -> list[str]:
         """Encode one segment by backtracking."""
         n = len(s)
-        longest = [1] * n
-        for end, length in self.matcher.iter(s[::-1]):
-            start = n - 1 - end
-            if length > longest[start]:
-                longest[start] = length
-        failed, out, at = bytearray(n // 8 + 1), [], 0
-        fits, shorter = self._fits, self.next_shorter
-        before, token = "", s[: longest[0]] if n else ""
+        node, longest = self.matcher, []
+        for c in reversed(s):
+            node = node[c]
+            longest.append(node.longest or c)
+        longest.reverse()
+        failed, stuck, out, at = bytearray(n // 8 + 1), False, [], 0
+        after, shorter = self._after, self.next_shorter
+        fits, token = after[""], longest[0] if n else ""
         while at < n:
             while token:
                 to = at + len(token)
-                if not failed[to >> 3] >> (to & 7) & 1 and fits[before, token]:
+                if fits[token] and not (stuck and failed[to >> 3] >> (to & 7) & 1):
                     break
                 token = shorter.get(token, "")  # a single character has none
             if token:
                 out.append(token)
-                before, at = token, to
-                token = s[at : at + longest[at]] if at < n else ""
+                fits, at = after[token], to
+                token = longest[at] if at < n else ""
             else:
                 failed[at >> 3] |= 1 << (at & 7)
+                stuck = True
                 token = out.pop()
                 at -= len(token)
-                before, token = out[-1] if out else "", shorter.get(token, "")
+                fits, token = after[out[-1] if out else ""], shorter.get(token, "")
         return out
 
+    def spell(self, tokens: list[str]) -> tuple[str, str]:
+        """The tokens' decimal ids joined by one space, and what they decode to."""
+        try:
+            return " ".join([self.id_text[t] for t in tokens]), "".join([self.said[t] for t in tokens])
+        except KeyError:  # characters that are no pieces
+            ids = self.to_ids(tokens)
+            return " ".join(map(str, ids)), self.surface(ids)
+
     def to_ids(self, tokens: list[str]) -> list[int]:
         out = []
         for token in tokens:
@@ -181,6 +188,88 @@ def _utf8(raw: bytearray) -> str:
     return "".join(out)
 
 
+class Node(dict):
+    """A state of an Aho-Corasick automaton that reads backwards: the next state for each character, and the longest word that starts here ("" if none does).
+
+    Transitions by way of ``back``, the longest other suffix that is a state, are
+    kept as they are met, so a text costs one look-up for each character; all
+    states together keep no more than ``room`` of them.
+    """
+
+    __slots__ = ("longest", "back", "room")
+
+    def __missing__(self, c: str) -> Node:
+        node = self
+        while c not in node and node.back is not None:
+            node = node.back
+        to = node.get(c, node)  # the first state has no ``back`` and stays
+        if self.room[0] > 0:
+            self.room[0] -= 1
+            self[c] = to
+        return to
+
+
+def matcher(words: Iterable[str], room: int = 400_000) -> Node:
+    """The first state of the automaton of ``words``, each entered from its end."""
+    left = [room]
+
+    def state() -> Node:
+        node = Node()
+        node.longest, node.back, node.room = "", None, left
+        return node
+
+    root = state()
+    for word in words:
+        node = root
+        for c in reversed(word):
+            if c not in node:
+                node[c] = state()
+            node = node[c]
+        node.longest = word
+    level = [root]
+    while level:  # states of fewer characters first, as those of more lead back to them
+        after = []
+        for node in level:
+            for c, to in node.items():
+                back = node.back
+                while back is not None and c not in back:
+                    back = back.back
+                to.back = root if back is None else back[c]
+                to.longest = to.longest or to.back.longest
+                after.append(to)
+        level = after
+    return root
+
+
+class Neighbours(dict):
+    """For each token a dictionary of what was found for the tokens after it; all is dropped when ``most`` results are kept."""
+
+    def __init__(self, find, most: int = 600_000):
+        super().__init__()
+        self.find, self.most, self.kept = find, most, 0
+
+    def __missing__(self, token: str) -> dict:
+        self[token] = row = _Row(self, token)
+        return row
+
+
+class _Row(dict):
+    __slots__ = ("table", "token")
+
+    def __init__(self, table: Neighbours, token: str):
+        super().__init__()
+        self.table, self.token = table, token
+
+    def __missing__(self, token: str) -> bool:
+        table = self.table
+        if table.kept >= table.most:
+            table.clear()
+            table.kept = 0
+        self[token] = found = table.find(self.token, token)
+        table.kept += 1
+        return found
+
+
 class Memo(dict):
     """Results for short keys, looked up at C speed, in bounded space.
 
