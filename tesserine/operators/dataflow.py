@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut as checkpoint
@@ -50,33 +50,99 @@ def reach(starts: DataFrame, calls: DataFrame, most: int = 4, cases: str = "foll
     return seen
 
 
-def open_branches(flows: DataFrame, wide: DataFrame, constants: DataFrame, parameters: DataFrame, branches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _links(calls: DataFrame) -> DataFrame:
+    """``caller, callee, plain``: each link once; ``plain`` if one of its calls is outside of cases."""
+    links = calls.filter(F.col("caller").isNotNull() & F.col("callee").isNotNull()).groupBy("caller", "callee")
+    return links.agg(F.bool_or(F.coalesce("case_label", F.lit("")) == "").alias("plain"))
+
+
+def _upward(base: DataFrame, links: DataFrame, rounds: int, merge: Callable[[DataFrame], DataFrame], cut: Cut, closed: DataFrame | None = None) -> DataFrame:
+    """What a caller gets from each function: the function's own rows (``base``: ``callee`` and more) and those of what it calls, through at most ``rounds`` calls.
+
+    ``merge`` makes the rows of a function few in each round, so what is kept grows
+    with functions times what they come to, never with pairs of functions.  A ``depth`` counts the calls.
+    Functions in ``closed`` pass on only what is their own; only callers that are called themselves take part.
+    """
+    called = cut(links.select("callee").distinct())
+    base = base.join(called, "callee", "left_semi")
+    inner = links.join(called.withColumnRenamed("callee", "caller"), "caller", "left_semi")
+    if closed is not None:
+        inner = inner.join(closed.select(F.col("node").alias("caller")), "caller", "left_anti")
+    inner = cut(inner.select("caller", "callee"))
+    found = cut(merge(base))
+    for _ in range(rounds):
+        found = cut(merge(base.unionByName(_step(inner, found).withColumnRenamed("caller", "callee"))))
+    return found
+
+
+def _step(links: DataFrame, found: DataFrame) -> DataFrame:
+    """What callers (``caller``) get through their links."""
+    given = links.select("caller", "callee").join(found, "callee").drop("callee")
+    return given.withColumn("depth", F.col("depth") + 1) if "depth" in given.columns else given
+
+
+def _alike(starts: DataFrame, links: DataFrame, passed: DataFrame | None, cut: Cut, few: int = 64) -> DataFrame:
+    """``node, twin``: starts that call anything, and the start that stands for each.
+
+    Starts that nobody calls, that have the same links (at most ``few`` with their constants) and pass
+    the same constants come to the same callees, so one of them is enough.
+    """
+    own = links.select(F.col("caller").alias("node"), F.struct(F.col("callee"), F.col("plain").cast("string").alias("name"), F.lit(None).cast("string").alias("value")).alias("_l"))
+    if passed is not None:
+        own = own.unionByName(passed.select(F.col("caller").alias("node"), F.struct(F.col("to").alias("callee"), F.col("name").cast("string").alias("name"), F.col("value").cast("string").alias("value")).alias("_l")))
+    callers = cut(links.select(F.col("caller").alias("node")).join(starts.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.lit(0).alias("_0")).drop("_0"))
+    own = own.join(callers.join(links.select(F.col("callee").alias("node")).distinct(), "node", "left_anti"), "node", "left_semi")
+    small = own.groupBy("node").agg(F.count("*").alias("_n")).filter(F.col("_n") <= few)
+    keys = cut(own.join(small.select("node"), "node", "left_semi").groupBy("node").agg(F.sort_array(F.collect_set("_l")).alias("_key")))
+    twins = keys.groupBy("_key").agg(F.min("node").alias("twin"))
+    return cut(callers.join(keys.join(twins, "_key").select("node", "twin"), "node", "left").select("node", F.coalesce("twin", "node").alias("twin")))
+
+
+def _nearest_two(rows: DataFrame) -> DataFrame:
+    """The two nearest callees of each thing accessed: the nearest other than any one function, so also than a start that calls itself on a way round, is among them."""
+    key = [c for c in rows.columns if c not in ("depth", "source")]
+    near = Window.partitionBy(*key).orderBy("depth", "source")
+    once = rows.groupBy(*key, "source").agg(F.min("depth").alias("depth"))
+    return once.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= 2).drop("_r")
+
+
+def open_branches(passed: DataFrame, branches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Which branches of a callee a start can reach: the pairs ``node, at`` that constants decide, and their open ``node, at, branch_id``.
 
-    A pair is decided if the callee has branches on parameters and some caller of it that the
-    start reaches (``wide``, or the start itself) passes it a constant
-    (``constants``: ``caller, callee, position, value``).  A branch on a parameter
+    ``passed``: ``node, at, name, least, largest``, the constants that a start (``node``) and what it reaches pass
+    to a callee (``at``) for each of its parameters.  A pair is decided if the callee has branches on
+    parameters and a constant is passed.  A branch on a parameter
     (``branches``: ``callee, branch_id, param, op, value, is_else, chain``) is open
-    if these callers disagree about the parameter or pass none, if its
+    if the callers disagree about the parameter or pass none, if its
     condition holds for the one value passed, or, for an else, if no ``==`` of its
     chain does; other operators leave it open.  Branches on nothing that a
     parameter decides are not among them, the body always is.
     """
-    tested = branches.filter(F.col("param").isNotNull() & (F.col("branch_id") != BODY))
-    named = constants.filter(F.col("value").isNotNull()).join(parameters.withColumnRenamed("function_id", "callee"), ["callee", "position"], "left")
-    around = wide.select("node", F.col("at").alias("caller")).unionByName(wide.select("node", F.col("node").alias("caller"))).distinct()
-    passed = named.join(around, "caller").withColumnRenamed("callee", "at").join(flows.select("node", "at"), ["node", "at"])
+    tested = _tested(branches)
     decided = passed.select("node", "at").distinct().join(tested.select(F.col("callee").alias("at")).distinct(), "at", "left_semi")
-    values = passed.filter(F.col("name").isNotNull()).groupBy("node", "at", F.col("name").alias("param")).agg(F.count_distinct("value").alias("_n"), F.min("value").alias("_passed"))
+    values = passed.filter(F.col("name").isNotNull()).select("node", "at", F.col("name").alias("param"), F.col("least").alias("_passed"), (F.col("least") == F.col("largest")).alias("_one"))
     equal = tested.filter(F.col("op") == "==").groupBy("callee", "chain").agg(F.collect_set("value").alias("_equal"))
     rows = decided.join(tested.join(equal, ["callee", "chain"], "left").withColumnRenamed("callee", "at"), "at").join(values, ["node", "at", "param"], "left")
-    known = F.coalesce(F.col("_n") == 1, F.lit(False))
+    known = F.coalesce("_one", F.lit(False))
     other = ~F.coalesce(F.array_contains("_equal", F.col("_passed")), F.lit(False))
     holds = F.when(F.coalesce("is_else", F.lit(False)), other).when(F.col("op") == "==", F.col("value").eqNullSafe(F.col("_passed"))).when(F.col("op") == "!=", ~F.col("value").eqNullSafe(F.col("_passed"))).otherwise(True)
     taken = rows.filter(~known | holds).select("node", "at", "branch_id")
     return decided, taken.unionByName(decided.withColumn("branch_id", F.lit(BODY))).distinct()
 
 
+def _tested(branches: DataFrame) -> DataFrame:
+    return branches.filter(F.col("param").isNotNull() & (F.col("branch_id") != BODY))
+
+
+def _kinds(met: DataFrame, *key: str) -> DataFrame:
+    """The kinds of access of each key, one a row: what is read and written has READ_WRITE."""
+    kind = lambda k: F.bool_or(F.col("access_type") == k)
+    each = met.groupBy(*key).agg(kind("READ").alias("_r"), kind("WRITE").alias("_w"), kind("READ_WRITE").alias("_b"))
+    both = F.col("_r") & F.col("_w") & ~F.col("_b")
+    types = F.when(both, F.array(F.lit("READ_WRITE"))).otherwise(F.filter(F.array(F.when(F.col("_r"), "READ"), F.when(F.col("_w"), "WRITE"), F.when(F.col("_b"), "READ_WRITE")), lambda x: x.isNotNull()))
+    return each.select(*key, F.explode(types).alias("access_type"))
+
+
 def propagate(public: DataFrame, calls: DataFrame, accesses: DataFrame, constants: DataFrame | None = None, parameters: DataFrame | None = None, branches: DataFrame | None = None, most: int = 4, cut: Cut = checkpoint) -> DataFrame:
     """What public functions access through their callees: ``node, target, member, access_type, callee, depth``.
 
@@ -84,33 +150,53 @@ def propagate(public: DataFrame, calls: DataFrame, accesses: DataFrame, constant
     ``node, target, member, access_type, context, branch_id`` (READ, WRITE or
     READ_WRITE); rows without a member are no struct accesses and stay where they are.
 
-    Callees are those of :func:`reach` with dispatchers closed.  Where constants decide
-    (:func:`open_branches`), only accesses in the body and in open branches count.  A
+    Callees are reached through at most ``most`` calls.  Dispatchers count but nothing goes on from them;
+    of a public function that is one, only calls outside of cases are followed, as one case is taken at a time.
+    Where constants decide (:func:`open_branches`; any call leads to who passes them), only accesses in the body and in open branches count.  A
     member that the function accesses itself is not propagated.  A callee that reads and writes
     a member gives READ_WRITE; across callees READ_WRITE comes before
     WRITE, and WRITE before READ.  One row for each member: the nearest callee,
     then the least name.
+
+    Nothing lists the pairs of functions and all that they reach: each function keeps the two nearest
+    callees of each kind of access, and pairs only with callees whose branches constants may decide.
     """
-    flows = reach(public, calls, most, "own", cut)
+    links, closed = cut(_links(calls)), cut(dispatchers(calls))
     held = accesses.filter(F.coalesce("member", F.lit("")) != "").select(F.col("node").alias("at"), "target", "member", F.coalesce("access_type", F.lit("READ")).alias("access_type"), F.coalesce("context", F.lit("DIRECT")).alias("context"), F.coalesce("branch_id", F.lit(BODY)).alias("branch_id"))
-    met = flows.join(held.drop("context"), "at")
+    key, passed, base = ["target", "member"], None, held
     if constants is not None:
-        decided, taken = open_branches(flows, reach(public, calls, most, "follow", cut), constants, parameters, branches)
-        met = met.join(decided.withColumn("_decided", F.lit(True)), ["node", "at"], "left").join(taken.withColumn("_open", F.lit(True)), ["node", "at", "branch_id"], "left")
-        met = met.filter(F.col("_decided").isNull() | F.col("_open"))
-    key = ["node", "target", "member"]
-    own = held.withColumnRenamed("at", "node")
-    met = met.join(own.filter(F.col("context").isin(*OWN_CONTEXTS)).select(*key).distinct(), key, "left_anti")
-    kind = lambda k: F.bool_or(F.col("access_type") == k)
-    each = met.groupBy(*key, "at").agg(F.min("depth").alias("depth"), kind("READ").alias("_r"), kind("WRITE").alias("_w"), kind("READ_WRITE").alias("_b"))
-    both = F.col("_r") & F.col("_w") & ~F.col("_b")
-    types = F.when(both, F.array(F.lit("READ_WRITE"))).otherwise(F.filter(F.array(F.when(F.col("_r"), "READ"), F.when(F.col("_w"), "WRITE"), F.when(F.col("_b"), "READ_WRITE")), lambda x: x.isNotNull()))
-    rows = each.select(*key, "at", "depth", F.explode(types).alias("access_type"))
-    rows = rows.join(own.select(*key, "access_type").distinct(), [*key, "access_type"], "left_anti")
-    nearest = rows.groupBy(*key, "access_type").agg(F.min(F.struct("depth", F.col("at").alias("callee"))).alias("_c"))
-    rank = F.when(F.col("access_type") == "READ_WRITE", 0).when(F.col("access_type") == "WRITE", 1).otherwise(2)
-    first = nearest.groupBy(*key).agg(F.min(F.struct(rank.alias("rank"), "access_type", "_c")).alias("_f"))
-    return first.select(*key, "_f.access_type", "_f._c.callee", "_f._c.depth")
+        able = constants.filter(F.col("value").isNotNull()).join(_tested(branches).select("callee").distinct(), "callee", "left_semi").join(held.select(F.col("at").alias("callee")).distinct(), "callee", "left_semi")
+        passed = cut(able.join(parameters.withColumnRenamed("function_id", "callee"), ["callee", "position"], "left").select("caller", F.col("callee").alias("to"), "name", "value").distinct())
+        open_ = passed.select(F.col("to").alias("at")).distinct()
+        base = held.join(open_, "at", "left_anti")
+    base = _kinds(base, "at", *key).withColumn("whole", F.lit(None).cast(held.schema["at"].dataType))
+    if passed is not None:
+        base = base.unionByName(open_.withColumn("whole", F.col("at")), allowMissingColumns=True)
+    base = cut(base.select(F.col("at").alias("callee"), *key, "access_type", "whole", F.col("at").alias("source"), F.lit(0).alias("depth")))
+    below = _upward(base, links, most - 1, _nearest_two, cut, closed)
+
+    twins = _alike(public, links, passed, cut)
+    first = links.join(twins.select(F.col("twin").alias("caller")).distinct(), "caller", "left_semi")
+    followed = first.join(closed.select(F.col("node").alias("caller"), F.lit(True).alias("_closed")), "caller", "left").filter(F.col("_closed").isNull() | F.col("plain"))
+    met = _step(followed, below).filter(F.col("caller") != F.col("source")).groupBy("caller", *key, "access_type", "whole").agg(F.min(F.struct("depth", "source")).alias("_c"))
+    if passed is not None:
+        met = cut(met)
+        flows = met.filter(F.col("whole").isNotNull()).select(F.col("caller").alias("node"), F.col("whole").alias("at"), F.col("_c"))
+        merge = lambda rows: rows.groupBy("callee", "to", "name").agg(F.min("least").alias("least"), F.max("largest").alias("largest"))
+        given = cut(merge(passed.select(F.col("caller").alias("callee"), "to", "name", F.col("value").alias("least"), F.col("value").alias("largest"))))
+        around = _step(first, _upward(given, links, most - 1, merge, cut)).unionByName(given.withColumnRenamed("callee", "caller"))
+        decided, taken = open_branches(merge(around.withColumnRenamed("caller", "callee")).withColumnsRenamed({"callee": "node", "to": "at"}).join(flows.select("node", "at"), ["node", "at"], "left_semi"), branches)
+        chosen = flows.join(held.drop("context"), "at").join(decided.withColumn("_decided", F.lit(True)), ["node", "at"], "left").join(taken.withColumn("_open", F.lit(True)), ["node", "at", "branch_id"], "left")
+        chosen = _kinds(chosen.filter(F.col("_decided").isNull() | F.col("_open")), "node", "_c", *key)
+        met = met.filter(F.col("whole").isNull()).select(F.col("caller").alias("node"), *key, "access_type", "_c").unionByName(chosen)
+    else:
+        met = met.withColumnRenamed("caller", "node")
+    kinds = ("READ_WRITE", "WRITE", "READ")
+    nearest = met.groupBy(F.col("node").alias("twin"), *key).agg(*(F.min(F.when(F.col("access_type") == k, F.col("_c"))).alias(k) for k in kinds))
+    own = held.withColumnRenamed("at", "node").groupBy("node", *key).agg(F.bool_or(F.col("context").isin(*OWN_CONTEXTS)).alias("_direct"), F.collect_set("access_type").alias("_own"))
+    rows = twins.join(cut(nearest), "twin").join(own, ["node", *key], "left").filter(~F.coalesce("_direct", F.lit(False)))
+    left = [F.when(F.col(k).isNotNull() & ~F.coalesce(F.array_contains("_own", k), F.lit(False)), F.struct(F.lit(k).alias("access_type"), F.col(k).alias("_c"))) for k in kinds]
+    return rows.select("node", *key, F.coalesce(*left).alias("_f")).filter(F.col("_f").isNotNull()).select("node", *key, "_f.access_type", F.col("_f._c.source").alias("callee"), "_f._c.depth")
 
 
 def propagate_registers(public: DataFrame, calls: DataFrame, accesses: DataFrame, most: int = 5, cut: Cut = checkpoint) -> DataFrame:

@@ -162,3 +162,70 @@ def test_propagation_equals_a_walk(spark):
         )
         want = plain_propagation(public, calls, accesses, constants, parameters, branches)
         assert {tuple(r) for r in got.collect()} == want and want
+
+
+def plain_registers(public, calls, accesses, most=5):
+    out = {}
+    for api in public:
+        rows = [(True, r, a, f) for at in plain_reach(api, calls, most, "closed") for n, r, a, f in accesses if n == at] + [(False, r, a, f) for n, r, a, f in accesses if n == api]
+        for r, a in {x[1:3] for x in rows}:
+            fields = lambda own: [x[3] for x in rows if x[1:3] == (r, a) and x[3] and not (own and x[0])]  # noqa: E731, B023
+            out[api, r, a] = (min(fields(True) or fields(False), default=None), all(x[0] for x in rows if x[1:3] == (r, a)))
+    return {(*k, *v) for k, v in out.items()}
+
+
+def test_propagation_equals_a_walk_in_many_graphs(spark):
+    """Rings of public functions, and entries (e) that nobody calls, many of which call the same."""
+    rows, want, want_registers = {k: [] for k in ("public", "calls", "accesses", "constants", "parameters", "branches", "registers")}, set(), set()
+    for seed in range(40):
+        rnd = random.Random(seed)
+        names, entries = [f"{seed}f{i}" for i in range(9)], [f"{seed}e{i}" for i in range(8)]
+        calls = [(a, rnd.choice(names), rnd.choice([None, None, "", "1", "2"])) for a in rnd.choices(names, k=14)] + [(a, b, None) for a, b in zip(names, names[1:] + names[:1]) if seed % 3 == 0]
+        calls += [(e, names[rnd.randrange(2)], rnd.choice([None, None, "1"])) for e in entries for _ in range(rnd.choice([1, 1, 1, 2]))]
+        accesses = [(rnd.choice(names + entries), rnd.choice("GH"), rnd.choice(["a", "b", "c", ""]), rnd.choice(["READ", "WRITE", "READ", "READ_WRITE"]), rnd.choice([None, "DIRECT", "ALIAS", "ALIAS"]), rnd.choice([None, "B0", "B1", "B2", "B3"])) for _ in range(32)]
+        parameters = [(f, p, f"p{p}") for f in names for p in range(2) if rnd.random() < 0.8]
+        constants = [(a, b, rnd.randrange(2), rnd.choice("01")) for a, b, _ in calls if rnd.random() < 0.4]
+        branches = [(f, f"B{k}", rnd.choice(["p0", "p0", "p1", None]), rnd.choice(["==", "==", "!=", ">"]) if k < 3 else None, rnd.choice("012") if k < 3 else None, k == 3, "x") for f in names[::2] for k in range(4)]
+        registers = [(rnd.choice(names + entries[:3]), rnd.choice("RST"), rnd.choice(["READ", "WRITE"]), rnd.choice(["A", "B", "C", None])) for _ in range(8)]
+        public = names[::2] + entries
+        for k, new in (("public", [(x,) for x in public]), ("calls", calls), ("accesses", accesses), ("constants", constants), ("parameters", parameters), ("branches", branches), ("registers", registers)):
+            rows[k] += new
+        want |= plain_propagation(public, calls, accesses, constants, parameters, branches)
+        want_registers |= plain_registers(public, calls, registers)
+    schemas = {
+        "public": "node string", "calls": "caller string, callee string, case_label string", "accesses": "node string, target string, member string, access_type string, context string, branch_id string", "constants": "caller string, callee string, position int, value string",
+        "parameters": "function_id string, position int, name string", "branches": "callee string, branch_id string, param string, op string, value string, is_else boolean, chain string", "registers": "node string, register string, access_type string, field string",
+    }
+    g = {k: frame(spark, rows[k], schema) for k, schema in schemas.items()}
+    got = [tuple(r) for r in dataflow.propagate(*(g[k] for k in ("public", "calls", "accesses", "constants", "parameters", "branches"))).collect()]
+    assert len(got) == len(want) and set(got) == want
+    got = [tuple(r) for r in dataflow.propagate_registers(g["public"], g["calls"], g["registers"]).collect()]
+    assert len(got) == len(want_registers) and set(got) == want_registers
+
+
+def _hub(spark, n=60):
+    """As many entries as callees, all through one function."""
+    calls = [(f"e{i}", "hub", None) for i in range(n)] + [("hub", f"c{i}", None) for i in range(n)]
+    return frame(spark, [(f"e{i}",) for i in range(n)], "node string"), frame(spark, calls, "caller string, callee string, case_label string")
+
+
+def _counted(spark, kept):
+    from tesserine.checkpoints import cut
+
+    def count(df):
+        kept.append((done := cut(df)).count())
+        return done
+
+    return count
+
+
+def test_propagation_keeps_no_pairs(spark):
+    public, calls = _hub(spark)
+    accesses = frame(spark, [(f"c{i}", "G", "m", "READ", None, "B1") for i in range(60)], "node string, target string, member string, access_type string, context string, branch_id string")
+    constants = frame(spark, [("hub", f"c{i}", 0, str(i % 3)) for i in range(0, 60, 20)], "caller string, callee string, position int, value string")
+    parameters = frame(spark, [(f"c{i}", 0, "p") for i in range(60)], "function_id string, position int, name string")
+    branches = frame(spark, [(f"c{i}", "B1", "p", "==", "1", False, "x") for i in range(60)], "callee string, branch_id string, param string, op string, value string, is_else boolean, chain string")
+    kept = []
+    got = dataflow.propagate(public, calls, accesses, constants, parameters, branches, cut=_counted(spark, kept)).collect()
+    assert {tuple(r) for r in got} == {(f"e{i}", "G", "m", "READ", "c1", 2) for i in range(60)}
+    assert max(kept) < 200  # 60 x 60 pairs are 3,600
