@@ -22,34 +22,6 @@ def dispatchers(calls: DataFrame) -> DataFrame:
     return cases.filter(F.col("n") >= 2).select(F.col("caller").alias("node"))
 
 
-def reach(starts: DataFrame, calls: DataFrame, most: int = 4, cases: str = "follow", cut: Cut = checkpoint) -> DataFrame:
-    """``node, at, depth``: what each start (``node``) calls through at most ``most`` calls, by the shortest way, without itself.
-
-    ``cases``: ``follow`` follows every call; ``closed`` counts dispatchers but never
-    goes on from them; ``own`` does too, and of a start that is a dispatcher it
-    follows only the calls outside of cases, as one case is taken at a time.
-    """
-    links = calls.groupBy(F.col("caller").alias("at"), F.col("callee").alias("_next")).agg(F.bool_or(F.coalesce("case_label", F.lit("")) == "").alias("_plain"))
-    links = cut(links.filter(F.col("_next").isNotNull() & F.col("at").isNotNull()))
-    closed = cut(dispatchers(calls).select(F.col("node").alias("at")).withColumn("_closed", F.lit(True)))
-    front = starts.select("node", F.col("node").alias("at")).distinct()
-    if cases == "own":
-        front = front.join(closed, "at", "left").withColumnRenamed("_closed", "_only_plain")
-    seen = None
-    for depth in range(1, most + 1):
-        step = front.join(links, "at")
-        if cases == "own" and depth == 1:
-            step = step.filter(F.col("_only_plain").isNull() | F.col("_plain"))
-        step = step.select("node", F.col("_next").alias("at")).filter(F.col("node") != F.col("at")).distinct()
-        fresh = step if seen is None else step.join(seen.select("node", "at"), ["node", "at"], "left_anti")
-        fresh = cut(fresh.withColumn("depth", F.lit(depth)))
-        seen = fresh if seen is None else seen.unionByName(fresh)
-        front = fresh.select("node", "at")
-        if cases != "follow":
-            front = front.join(closed, "at", "left_anti")
-    return seen
-
-
 def _links(calls: DataFrame) -> DataFrame:
     """``caller, callee, plain``: each link once; ``plain`` if one of its calls is outside of cases."""
     links = calls.filter(F.col("caller").isNotNull() & F.col("callee").isNotNull()).groupBy("caller", "callee")
@@ -203,11 +175,14 @@ def propagate_registers(public: DataFrame, calls: DataFrame, accesses: DataFrame
     """``node, register, access_type, field, propagated``: a public function's own register accesses and those of what it calls.
 
     Dispatchers are not gone through, but a start may be one.  The field is the
-    own one or else the least of the callees'.
+    own one or else the least of the callees'.  Each function keeps its registers
+    and the least fields, not the functions that it reaches; a way round to the start adds nothing to its own.
     """
-    flows = reach(public, calls, most, "closed", cut)
-    own = accesses.join(public.select("node").distinct(), "node", "left_semi").select("node", "register", "access_type", "field", F.lit(False).alias("propagated"))
-    through = flows.join(accesses.select(F.col("node").alias("at"), "register", "access_type", "field"), "at").select("node", "register", "access_type", "field", F.lit(True).alias("propagated"))
+    starts, links = cut(public.select("node").distinct()), cut(_links(calls))
+    merge = lambda rows: rows.groupBy("callee", "register", "access_type").agg(F.min("field").alias("field"))
+    below = _upward(accesses.select(F.col("node").alias("callee"), "register", "access_type", "field"), links, most - 1, merge, cut, dispatchers(calls))
+    own = accesses.join(starts, "node", "left_semi").select("node", "register", "access_type", "field", F.lit(False).alias("propagated"))
+    through = _step(links.join(starts.withColumnRenamed("node", "caller"), "caller", "left_semi"), below).withColumnRenamed("caller", "node").withColumn("propagated", F.lit(True))
     both = own.unionByName(through).groupBy("node", "register", "access_type")
     return both.agg(F.coalesce(F.min(F.when(~F.col("propagated"), F.col("field"))), F.min("field")).alias("field"), F.bool_and("propagated").alias("propagated"))
 

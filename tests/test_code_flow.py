@@ -229,3 +229,12 @@ def test_propagation_keeps_no_pairs(spark):
     got = dataflow.propagate(public, calls, accesses, constants, parameters, branches, cut=_counted(spark, kept)).collect()
     assert {tuple(r) for r in got} == {(f"e{i}", "G", "m", "READ", "c1", 2) for i in range(60)}
     assert max(kept) < 200  # 60 x 60 pairs are 3,600
+
+
+def test_register_propagation_keeps_no_pairs(spark):
+    public, calls = _hub(spark)
+    registers = frame(spark, [(f"c{i}", "R", "READ", f"F{i}") for i in range(60)], "node string, register string, access_type string, field string")
+    kept = []
+    got = dataflow.propagate_registers(public, calls, registers, cut=_counted(spark, kept)).collect()
+    assert {tuple(r) for r in got} == {(f"e{i}", "R", "READ", "F0", True) for i in range(60)}
+    assert max(kept) < 200  # 60 x 60 pairs are 3,600
