@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut
 from ..functions import text as T
 from ..functions.text import token_estimate
-from ..operators import overlay, packing
+from ..operators import compression, overlay, packing
 from ..registry import register
 from ..tables import table
 
@@ -200,11 +200,8 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("extractive_compression")
 def extractive_compression(spark: SparkSession, sf_dir: str, most: int = 5, budget: int = 4000) -> DataFrame:
     """Each document's best sentences in their own order, and what of these fits one budget a language, in order of the ids."""
-    ranked = F.transform(T.sentences(F.col("text")), lambda s, i: F.struct((-T.sentence_score(s, ("the",))).alias("minus"), i.alias("place"), s.alias("sentence")))
-    chosen = F.transform(F.array_sort(F.transform(F.slice(F.array_sort(ranked), 1, most), lambda x: F.struct(x["place"], x["sentence"]))), lambda x: x["sentence"])
     docs = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    items = docs.select(F.col("lang").alias("query_id"), F.col("doc_id").alias("item_id"), F.array_join(chosen, " ").alias("content")).withColumn("tokens", T.token_estimate(F.col("content")))
-    return packing.take_in_order(items, budget).select("query_id", "item_id", "tokens", F.md5("content").alias("content_md5"))
+    return packing.take_in_order(cut(compression.compressed(docs, most, ("the",))), budget)
 
 
 @register("single_queue_pack")
