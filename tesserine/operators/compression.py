@@ -57,29 +57,23 @@ def best_sentences(text: str, most: int, terms: tuple[str, ...] = ()) -> str:
     Terms are in lower case and ASCII.  What occurs nowhere in the text is not looked for in its sentences.
     """
     held = _held(text)
-    parts = (s.strip(" ") for s in _END.sub("\\1\x02", held).replace("\x01", ".").split("\x02"))
-    kept = [s for s in parts if s]
+    kept = [s for part in _END.sub("\\1\x02", held).replace("\x01", ".").split("\x02") if (s := part.strip(" "))]
     if len(kept) <= most:
         return " ".join(kept)
     low = text.lower()
     names, norms, code = any(w in low for w in _NAMES), any(w in text for w in _NORMS), any(c in text for c in "{};()#")
-    wanted, minus = [t.encode() for t in terms], []
-    for s in kept:  # scores in tenths
-        raw = s.encode()
-        n = len(raw.split())
-        score = 5 if 10 <= n <= 40 else -3 if n < 5 else 0
-        if wanted:
-            raw = raw.lower()
-            for term in wanted:
-                if term in raw:
-                    score += 10
-        if names and _bounded(_NAME, s):
-            score += 5
-        if norms and _bounded(_NORM, s):
-            score += 3
-        if code and _CODE.search(s):
-            score += 7
-        minus.append(-score)
+    raws = list(map(str.encode, kept))
+    minus = [-5 if 10 <= n <= 40 else 3 if n < 5 else 0 for n in map(len, map(bytes.split, raws))]  # scores in tenths, the best first
+    if terms:
+        raws = list(map(bytes.lower, raws))
+    for term in (t.encode() for t in terms):
+        minus = [m - 10 if term in raw else m for m, raw in zip(minus, raws, strict=True)]
+    if names:
+        minus = [m - 5 if _bounded(_NAME, s) else m for m, s in zip(minus, kept, strict=True)]
+    if norms:
+        minus = [m - 3 if _bounded(_NORM, s) else m for m, s in zip(minus, kept, strict=True)]
+    if code:
+        minus = [m - 7 if _CODE.search(s) else m for m, s in zip(minus, kept, strict=True)]
     return " ".join([kept[i] for i in sorted(sorted(range(len(kept)), key=minus.__getitem__)[:most])])
 
 
